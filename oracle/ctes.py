@@ -34,9 +34,9 @@ def with_(*ctes: str) -> str:
 def num(col: str) -> str:
     """Tolerant number parse, NULL when not a finite decimal number."""
     t = f"trim({col})"
-    return (f"(CASE WHEN TRY_CAST({t} AS DOUBLE) IS NOT NULL AND NOT isnan(TRY_CAST({t} AS DOUBLE)) "
-            f"AND NOT regexp_matches({t}, '(?i)(nan|inf|infinity|[dfl])$') "
-            f"THEN TRY_CAST({t} AS DOUBLE) END)")
+    v = f"TRY_CAST({t} AS DOUBLE)"
+    return (f"(CASE WHEN NOT isnan({v}) AND abs({v}) <> 'inf'::DOUBLE "
+            f"AND right({t}, 1) NOT IN ('d', 'D', 'f', 'F') THEN {v} END)")
 
 
 def dec(expr: str) -> str:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from promolens.functions.dates import period_start, prev_year
 from promolens.operators.aggregate import sum_by
 from promolens.schemas import (
-    ARTICLE_FACT_COLUMNS, CATEGORY_FACT_KEYS, DESCRIPTORS, FACT_MEASURES, PROMO_KEYS,
+    ARTICLE_FACT_COLUMNS, CATEGORY_FACT_KEYS, DESCRIPTORS, FACT_MEASURES, FACT_TYPE, PROMO_KEYS,
     PROMO_MEASURES, SALES_MEASURES,
 )
 
@@ -91,7 +91,8 @@ def article_facts(sales_clean: DataFrame, promo_clean: DataFrame,
     source (its dashboard totals count last year once per rule).
     """
     joined = join_yoy(sales_clean, promo_clean, grain)
-    return joined.select(*ARTICLE_FACT_COLUMNS)
+    return joined.select(*[F.col(c).cast(FACT_TYPE).alias(c) if c in FACT_MEASURES else F.col(c)
+                           for c in ARTICLE_FACT_COLUMNS])
 
 
 def category_facts(facts: DataFrame) -> DataFrame:

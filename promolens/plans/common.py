@@ -3,6 +3,8 @@ presentation of decimal measures."""
 
 from __future__ import annotations
 
+import os
+import threading
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +14,8 @@ from pyspark.sql.types import DecimalType
 from promolens.functions.numeric import round2
 from promolens.operators.clean import clean_promo, clean_sales
 from promolens.operators.yoy import REFERENCE_GRAIN, Grain, article_facts
+from promolens.session import scratch_path
+from promolens.sources.files import read_clean, write_facts
 from promolens.sources.fixtures import raw_feed
 
 
@@ -28,3 +32,27 @@ def facts_from_tables(spark: SparkSession, sf_dir: str, grain: Grain = REFERENCE
     (``sources.files.read_clean``)."""
     feed = raw_feed(spark, sf_dir)
     return article_facts(clean_sales(feed), clean_promo(feed), grain)
+
+
+_FACT_TABLES: dict[tuple, str] = {}
+_LOCK = threading.Lock()
+
+
+def facts_table(spark: SparkSession, sf_dir: str, grain: Grain = REFERENCE_GRAIN) -> str:
+    """Path of the article fact table built from ``sf_dir`` (the nightly
+    build's output), written once per session into the shared checkpoint
+    folder.  Dashboard queries read it back with partition pruning; being a
+    written table it also cuts the lineage, so a lost executor costs a re-read,
+    not a re-run of the whole build."""
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), grain)
+    with _LOCK:
+        if key not in _FACT_TABLES:
+            path = scratch_path(spark, "facts")
+            write_facts(facts_from_tables(spark, sf_dir, grain), path)
+            _FACT_TABLES[key] = path
+        return _FACT_TABLES[key]
+
+
+def read_facts(spark: SparkSession, sf_dir: str, grain: Grain = REFERENCE_GRAIN,
+               start=None, end=None) -> DataFrame:
+    return read_clean(spark, facts_table(spark, sf_dir, grain), start, end)

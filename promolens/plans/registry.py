@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from promolens.plans import nightly
+from promolens.plans import dashboard, nightly
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,4 +20,11 @@ def queries() -> dict[str, Query]:
         "q_article_growth_monthly": nightly.q_article_growth_monthly,
         "q_category_growth_monthly": nightly.q_category_growth_monthly,
     }
+    for name in ["q_promo_scope", "q_promo_scope_category", "q_promo_scope_directorate",
+                 "q_promo_scope_division", "q_kpi", "q_kpi_store", "q_kpi_by_store",
+                 "q_daily_during", "q_daily_before", "q_daily_article", "q_type_growth",
+                 "q_category_growth_top", "q_type_share", "q_category_share", "q_store_best",
+                 "q_store_worst", "q_article_detail", "q_divisions", "q_categories",
+                 "q_chain_stores", "q_directorates"]:
+        q[name] = getattr(dashboard, name)
     return q

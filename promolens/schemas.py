@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 # Money and quantities are carried as DECIMAL(18,6): sums are then exact and
 # independent of the order in which partitions are combined.
 MEASURE_TYPE = T.DecimalType(18, 6)
+# Fact measures are sums of row measures: 22 integer digits, never narrowed.
+FACT_TYPE = T.DecimalType(28, 6)
 
 # --- raw feeds --------------------------------------------------------------
 
@@ -80,6 +82,6 @@ CATEGORY_FACT_COLUMNS = CATEGORY_FACT_KEYS + FACT_MEASURES
 ARTICLE_FACT_SCHEMA = T.StructType(
     [T.StructField("bdate_y", T.DateType())]
     + [T.StructField(c, T.StringType()) for c in ARTICLE_FACT_COLUMNS[1:12]]
-    + [T.StructField(c, MEASURE_TYPE) for c in FACT_MEASURES]
+    + [T.StructField(c, FACT_TYPE) for c in FACT_MEASURES]
     + [T.StructField("rulecode", T.StringType()), T.StructField("ruletype", T.StringType())]
 )

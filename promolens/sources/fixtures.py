@@ -36,7 +36,7 @@ def raw_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dirty daily feed, all columns text (sales and promotion columns)."""
     l = read_table(spark, sf_dir, "lineitem",
                    ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
-                    "l_extendedprice", "l_discount", "l_returnflag", "l_shipdate"])
+                    "l_extendedprice", "l_discount", "l_returnflag", "l_shipdate"], spread=True)
     o = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_orderpriority"])
     p = read_table(spark, sf_dir, "part", ["p_partkey", "p_name", "p_brand", "p_type", "p_retailprice"])
     s = read_table(spark, sf_dir, "supplier", ["s_suppkey", "s_name"])

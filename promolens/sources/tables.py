@@ -15,6 +15,24 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
+def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None,
+               spread: bool = False) -> DataFrame:
     df = spark.read.parquet(table_path(sf_dir, name))
-    return df.select(*columns) if columns else df
+    df = df.select(*columns) if columns else df
+    return spread_scan(spark, df) if spread else df
+
+
+def spread_scan(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """Spread an under-split scan over the cluster's cores.
+
+    A fact table stored as one Parquet row group is read by a single task, and
+    every per-row step before the first shuffle would then run on one core.
+    When the scan has fewer splits than ``spark.default.parallelism``, a
+    round-robin repartition spreads it; a normally laid-out large table
+    (thousands of splits) is returned untouched, so no extra shuffle is paid
+    at scale.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
