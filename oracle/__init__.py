@@ -1,10 +1,10 @@
 """DuckDB oracle SQL for every registered query that SQL can express."""
 
-from oracle import dashboard, nightly
+from oracle import commerce, dashboard, nightly
 
 
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
-    for mod in (nightly, dashboard):
+    for mod in (nightly, dashboard, commerce):
         out.update(mod.SQL)
     return out

@@ -105,9 +105,13 @@ def order_net(gross: ColumnOrName, shipping: ColumnOrName,
                   - _c(shipping_discount).cast("double") - _c(voucher_discount).cast("double"))
 
 
-def pos_discount(discount: ColumnOrName, is_percent: ColumnOrName, total: ColumnOrName) -> Column:
+def pos_discount_value(discount: ColumnOrName, is_percent: ColumnOrName, total: ColumnOrName) -> Column:
     """Discount as a percentage of the total when flagged, else an amount
-    (PRJ_POS_DISCOUNT)."""
+    (PRJ_POS_DISCOUNT), unrounded."""
     d = _c(discount).cast("double")
-    return round2(F.when(_c(is_percent) == 1, d / F.lit(100.0) * _c(total).cast("double"))
-                  .otherwise(d))
+    return F.when(_c(is_percent) == 1, d / F.lit(100.0) * _c(total).cast("double")).otherwise(d)
+
+
+def pos_discount(discount: ColumnOrName, is_percent: ColumnOrName, total: ColumnOrName) -> Column:
+    """PRJ_POS_DISCOUNT rounded to two decimals for display."""
+    return round2(pos_discount_value(discount, is_percent, total))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from promolens.plans import dashboard, nightly
+from promolens.plans import commerce, dashboard, nightly
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,4 +27,6 @@ def queries() -> dict[str, Query]:
                  "q_store_worst", "q_article_detail", "q_divisions", "q_categories",
                  "q_chain_stores", "q_directorates"]:
         q[name] = getattr(dashboard, name)
+    for name in commerce.NAMES:
+        q[name] = getattr(commerce, name)
     return q
