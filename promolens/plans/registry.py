@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from promolens.plans import commerce, dashboard, nightly
+from promolens.plans import commerce, dashboard, nightly, operators
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,4 +29,8 @@ def queries() -> dict[str, Query]:
         q[name] = getattr(dashboard, name)
     for name in commerce.NAMES:
         q[name] = getattr(commerce, name)
+    for name in operators.NAMES:
+        q[name] = getattr(operators, name)
+    for alias, target in operators.ALIASES.items():
+        q[alias] = q[target]
     return q

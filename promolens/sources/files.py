@@ -3,8 +3,8 @@
 Layouts
   raw zone    text files, ``|``-separated.  Sales files carry no header and 32
               positional columns; promotion files carry a header.
-              Spark layout: ``<base>/yymm=<yyMM>/fday=<yyyyMMdd>/part-*``
-              (written by ``write_raw_feed``); day pruning is partition pruning.
+              Spark layout: ``<base>/yymm=<yyMM>/part-*`` (``write_raw_feed``);
+              month pruning is partition pruning, the day a pushed filter.
               Legacy layout: ``<base>/<yyMM>/<name>_<yyyyMMdd>*.txt``; day
               pruning is a filter on ``_metadata.file_name``.
   clean zone  Parquet article facts partitioned by ``yymm`` (month folder, as
@@ -48,16 +48,14 @@ def file_days(start: dt.date | str, end: dt.date | str) -> list[str]:
 # --- raw zone -------------------------------------------------------------------
 
 def write_raw_feed(feed: DataFrame, base: str, kind: str) -> None:
-    """Write a text feed into the raw zone, one folder per month and day.
+    """Write a text feed into the raw zone, one folder per month (``yymm``).
 
     ``kind='sales'`` writes the 32 positional columns without a header (unused
     positions empty); ``kind='promo'`` writes the promotion columns with one.
+    Rows whose date does not parse land in ``yymm=0000``.
     """
     day = F.try_to_date(F.col("bdate"), "dd-MM-yyyy")
-    df = feed.withColumns({
-        "yymm": F.coalesce(F.date_format(day, MONTH_FOLDER), F.lit("0000")),
-        "fday": F.coalesce(F.date_format(day, FILE_DATE), F.lit("00000000")),
-    })
+    df = feed.withColumn("yymm", F.coalesce(F.date_format(day, MONTH_FOLDER), F.lit("0000")))
     if kind == "sales":
         cols = [F.col(c.lower()).alias(c) if c in RAW_SALES_USED and c.lower() in feed.columns
                 else F.lit(None).cast("string").alias(c) for c in RAW_SALES_COLUMNS]
@@ -65,27 +63,29 @@ def write_raw_feed(feed: DataFrame, base: str, kind: str) -> None:
     else:
         cols = [F.col(c) if c in feed.columns else F.lit("1").alias(c) for c in RAW_PROMO_USED]
         header = True
-    (df.select(*cols, "yymm", "fday")
+    (df.select(*cols, "yymm").sortWithinPartitions("yymm")
      .write.mode("overwrite").option("sep", "|").option("header", header)
-     .partitionBy("yymm", "fday").csv(base))
+     .partitionBy("yymm").csv(base))
 
 
-def _day_filter(df: DataFrame, start, end) -> DataFrame:
+def _day_filter(df: DataFrame, start, end, date_col: str) -> DataFrame:
+    """Month folders of the range (partition pruning) and rows whose business
+    date text is one of its days (a pushed-down string IN filter)."""
     if start is None:
         return df
-    return df.where(F.col("yymm").isin(months_between(start, end))
-                    & F.col("fday").isin(file_days(start, end)))
+    s, e = as_date(start), as_date(end)
+    days = [(s + dt.timedelta(days=i)).strftime("%d-%m-%Y") for i in range((e - s).days + 1)]
+    return df.where(F.col("yymm").isin(months_between(start, end)) & F.col(date_col).isin(days))
 
 
 def read_sales_csv(spark: SparkSession, base: str, start=None, end=None) -> DataFrame:
     """SRC_SALES_CSV: headerless pipe file, 32 positional text columns, the 16
     used ones kept (codes stay text so leading zeros survive)."""
-    schema = T.StructType(RAW_SALES_SCHEMA.fields + [T.StructField("yymm", T.StringType()),
-                                                     T.StructField("fday", T.StringType())])
+    schema = T.StructType(RAW_SALES_SCHEMA.fields + [T.StructField("yymm", T.StringType())])
     df = (spark.read.schema(schema)
           .option("sep", "|").option("header", False).option("mode", "PERMISSIVE")
           .csv(base))
-    df = _day_filter(df, start, end)
+    df = _day_filter(df, start, end, "BDATE")
     return df.select(*[na_to_null(c).alias(c) for c in RAW_SALES_USED])
 
 
@@ -94,7 +94,7 @@ def read_promo_csv(spark: SparkSession, base: str, start=None, end=None) -> Data
     name; everything read as text (no schema inference)."""
     df = (spark.read.option("sep", "|").option("header", True).option("inferSchema", False)
           .csv(base))
-    df = _day_filter(df, start, end)
+    df = _day_filter(df, start, end, "bdate")
     return df.select(*[na_to_null(c).alias(c) for c in RAW_PROMO_USED if c != "member"])
 
 
