@@ -25,6 +25,11 @@ RECOMMENDED_CONF = {
     "spark.sql.ansi.enabled": "true",
 }
 
+# JVM flag for driver and executors: whole-stage generated methods of wide
+# cleaning projections exceed HotSpot's 8 KB JIT limit and would otherwise run
+# interpreted (Spark logs "Generated method too long to be JIT compiled").
+JIT_HUGE_METHODS = "-XX:-DontCompileHugeMethods"
+
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   app: str = "promolens") -> SparkSession:
@@ -36,6 +41,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.driver.extraJavaOptions", JIT_HUGE_METHODS)
+        .config("spark.executor.extraJavaOptions", JIT_HUGE_METHODS)
         # local runs only: a cluster names its own shared folder
         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="promolens-ckpt-"))
     )

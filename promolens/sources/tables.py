@@ -6,6 +6,8 @@ filters written on the returned frame reach the scan as ``PushedFilters``.
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
@@ -17,22 +19,40 @@ def table_path(sf_dir: str, name: str) -> str:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None,
                spread: bool = False) -> DataFrame:
-    df = spark.read.parquet(table_path(sf_dir, name))
-    df = df.select(*columns) if columns else df
-    return spread_scan(spark, df) if spread else df
+    path = table_path(sf_dir, name)
+    if spread:
+        path = spread_path(spark, path)
+    df = spark.read.parquet(path)
+    return df.select(*columns) if columns else df
+
+
+_SPREAD: dict[tuple[str, str], str] = {}
+_LOCK = threading.Lock()
 
 
-def spread_scan(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Spread an under-split scan over the cluster's cores.
+def spread_path(spark: SparkSession, path: str) -> str:
+    """A copy of an under-split table with one file per core.
 
-    A fact table stored as one Parquet row group is read by a single task, and
-    every per-row step before the first shuffle would then run on one core.
-    When the scan has fewer splits than ``spark.default.parallelism``, a
-    round-robin repartition spreads it; a normally laid-out large table
-    (thousands of splits) is returned untouched, so no extra shuffle is paid
-    at scale.
+    A fact table stored as a single Parquet row group is read by one task,
+    and everything Catalyst pushes into the scan stage (filters, projections,
+    the probe side of broadcast joins) then runs on one core.  A repartition
+    after the scan does not help: filters are pushed below it.  So when the
+    table has fewer splits than ``spark.default.parallelism``, it is rewritten
+    once per session into that many files in the shared checkpoint folder.
+    A normally laid-out large table (thousands of splits) is read in place:
+    no copy is ever made at scale.
     """
     cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)
+    key = (spark.sparkContext.applicationId, path)
+    with _LOCK:
+        if key in _SPREAD:
+            return _SPREAD[key]
+        df = spark.read.parquet(path)
+        if df.rdd.getNumPartitions() >= cores:
+            _SPREAD[key] = path
+            return path
+        from promolens.session import scratch_path
+        out = scratch_path(spark, "spread-" + path.rstrip("/").rsplit("/", 1)[-1].split(".")[0])
+        df.repartition(cores).write.mode("overwrite").parquet(out)
+        _SPREAD[key] = out
+        return out
