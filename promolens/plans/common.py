@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
 from promolens.functions.numeric import round2
-from promolens.operators.clean import clean_promo, clean_sales
-from promolens.operators.yoy import REFERENCE_GRAIN, Grain, article_facts
+from promolens.operators.clean import clean_promo_rows, clean_sales_rows
+from promolens.operators.yoy import REFERENCE_GRAIN, Grain, article_facts_from_rows
 from promolens.session import scratch_path
 from promolens.sources.files import read_clean, write_facts
 from promolens.sources.fixtures import raw_feed
@@ -31,7 +31,7 @@ def facts_from_tables(spark: SparkSession, sf_dir: str, grain: Grain = REFERENCE
     year-over-year).  A deployment reads the written fact table instead
     (``sources.files.read_clean``)."""
     feed = raw_feed(spark, sf_dir)
-    return article_facts(clean_sales(feed), clean_promo(feed), grain)
+    return article_facts_from_rows(clean_sales_rows(feed), clean_promo_rows(feed), grain)
 
 
 _FACT_TABLES: dict[tuple, str] = {}
