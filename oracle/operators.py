@@ -1,7 +1,7 @@
 """Oracle SQL of the operator-level queries."""
 
 from oracle import commerce, dashboard, nightly
-from oracle.ctes import CLEAN, FEED, SALES_KEYS, dec, num, present_facts, r2, with_
+from oracle.ctes import CLEAN, FEED, SALES_KEYS, dec, facts, num, present_facts, r2, with_
 
 _CLEAN_SALES_SQL = nightly.SQL["q_clean_sales"]
 
@@ -26,6 +26,7 @@ _FM = ("qty_x", "cogs_x", "netsales_x", "profit_x", "qty_y", "cogs_y", "netsales
        "tqty", "tnetsales", "tcogs", "tprofit")
 
 SQL = {
+    "stream_article_growth": with_(*CLEAN, *facts("facts", ("sku",), "day")) + present_facts("facts"),
     "src_sales_csv": _CLEAN_SALES_SQL,
     "src_promo_csv": nightly.SQL["q_clean_promo"],
     "src_date_prune": _DATE_PRUNE,

@@ -14,7 +14,8 @@ from promolens.functions import text as X
 from promolens.functions.numeric import measure, round2
 from promolens.operators import clean as CL
 from promolens.operators.aggregate import sum_by
-from promolens.operators.yoy import category_facts
+from promolens.operators.yoy import Grain, category_facts
+from promolens.schemas import ARTICLE_FACT_SCHEMA
 from promolens.plans import dashboard as DB
 from promolens.plans.common import facts_from_tables, present, read_facts
 from promolens.session import scratch_path
@@ -28,10 +29,37 @@ from promolens.sources.tables import read_table
 PRUNE_START, PRUNE_END = "1998-03-15", "1998-03-28"
 
 
+_RAW: dict[tuple, str] = {}
+
+
 def _raw_zone(spark: SparkSession, sf: str, kind: str) -> str:
-    path = scratch_path(spark, f"raw-{kind}")
-    FS.write_raw_feed(raw_feed(spark, sf), path, kind)
-    return path
+    """The feed written as a raw text zone, once per session and kind."""
+    key = (spark.sparkContext.applicationId, sf, kind)
+    if key not in _RAW:
+        path = scratch_path(spark, f"raw-{kind}")
+        FS.write_raw_feed(raw_feed(spark, sf), path, kind)
+        _RAW[key] = path
+    return _RAW[key]
+
+
+STREAM_GRAIN = Grain(keys=("sku",), period="day")
+
+
+def stream_article_growth(spark, sf):
+    """The incremental nightly build (Structured Streaming, AvailableNow) over
+    the raw zones (one micro-batch per run); the written facts equal the batch
+    build's facts at the same grain."""
+    from promolens.streaming.nightly import start_incremental_build
+    out = scratch_path(spark, "stream-facts")
+    q = start_incremental_build(spark, _raw_zone(spark, sf, "promo"), _raw_zone(spark, sf, "sales"), out,
+                                grain=STREAM_GRAIN)
+    q.awaitTermination()
+    try:
+        facts = FS.read_clean(spark, out)
+        facts.schema  # noqa: B018 - resolves the path
+    except Exception:  # noqa: BLE001 - nothing written: no fact day at all
+        facts = spark.createDataFrame([], ARTICLE_FACT_SCHEMA)
+    return present(facts)
 
 
 def src_sales_csv(spark, sf):
@@ -320,6 +348,7 @@ NAMES = [
     "cln_inactive", "cln_site_suffix", "cln_cast", "cln_lower_cols", "agg_by_type", "agg_by_category",
     "fn_substr", "fn_length", "fn_isnumeric", "fn_contains", "fn_split", "fn_replace", "fn_to_number",
     "fn_parse_date", "fn_format_date", "fn_date_range", "fn_date_shift", "fn_format_number", "fn_percent_text",
+    "stream_article_growth",
 ]
 
 # Operator IDs whose behaviour is exactly a named query's: same callable.

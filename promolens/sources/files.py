@@ -7,10 +7,10 @@ Layouts
               month pruning is partition pruning, the day a pushed filter.
               Legacy layout: ``<base>/<yyMM>/<name>_<yyyyMMdd>*.txt``; day
               pruning is a filter on ``_metadata.file_name``.
-  clean zone  Parquet article facts partitioned by ``yymm`` (month folder, as
-              in the source's clean zone) with the business day as a column.
-              Writes use dynamic partition overwrite, so re-running a day
-              replaces exactly the months it covers.
+  clean zone  Parquet article facts in month folders with one sub-folder per
+              business day (``yymm=<yyMM>/bdate_y=<date>``), as in the
+              source's clean zone.  Writes use dynamic partition overwrite,
+              so re-running a day replaces exactly that day.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from promolens.functions.dates import FILE_DATE, MONTH_FOLDER, as_date, in_window
+from promolens.functions.dates import MONTH_FOLDER, as_date, in_window
 from promolens.functions.text import na_to_null
 from promolens.schemas import (
     ARTICLE_FACT_SCHEMA, RAW_PROMO_USED, RAW_SALES_COLUMNS, RAW_SALES_SCHEMA, RAW_SALES_USED,
@@ -115,26 +115,27 @@ def read_legacy_day_files(spark: SparkSession, base: str, start, end, token: int
 # --- clean zone -------------------------------------------------------------------
 
 def write_facts(facts: DataFrame, path: str) -> None:
-    """SNK_ARTICLE / SNK_CATEGORY: Parquet, one folder per month (``yymm``),
-    dynamic partition overwrite (re-running a day replaces only its month
-    folder's content for the rows written).  Rows are clustered by month
-    inside each task so a task keeps one open file at a time."""
+    """SNK_ARTICLE / SNK_CATEGORY: Parquet in month folders holding one
+    folder per business day (``yymm=…/bdate_y=…``), the source's clean-zone
+    layout.  Dynamic partition overwrite: re-running a day replaces exactly
+    that day.  Rows are clustered by day inside each task so a task keeps one
+    open file at a time."""
     out = facts.withColumn("yymm", F.date_format("bdate_y", MONTH_FOLDER))
-    (out.sortWithinPartitions("yymm")
+    (out.sortWithinPartitions("yymm", "bdate_y")
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("yymm").parquet(path))
+     .partitionBy("yymm", "bdate_y").parquet(path))
 
 
 def read_clean(spark: SparkSession, path: str, start=None, end=None,
                schema: T.StructType = ARTICLE_FACT_SCHEMA) -> DataFrame:
-    """SRC_CLEAN: typed re-read of the facts, pruned to the months of the
-    window (partition pruning) and to its days (pushed Parquet filter)."""
+    """SRC_CLEAN: typed re-read of the facts, pruned to the month and day
+    folders of the window (partition pruning on both levels)."""
     full = T.StructType(schema.fields + [T.StructField("yymm", T.StringType())])
     df = spark.read.schema(full).parquet(path)
     if start is not None:
         df = df.where(F.col("yymm").isin(months_between(start, end))
                       & in_window("bdate_y", start, end))
-    return df.drop("yymm")
+    return df.select(*[f.name for f in schema.fields])
 
 
 # --- masters, article list, JSON ---------------------------------------------------
