@@ -63,7 +63,7 @@ def write_raw_feed(feed: DataFrame, base: str, kind: str) -> None:
     else:
         cols = [F.col(c) if c in feed.columns else F.lit("1").alias(c) for c in RAW_PROMO_USED]
         header = True
-    (df.select(*cols, "yymm").sortWithinPartitions("yymm")
+    (df.select(*cols, "yymm").hint("rebalance", "yymm").sortWithinPartitions("yymm")
      .write.mode("overwrite").option("sep", "|").option("header", header)
      .partitionBy("yymm").csv(base))
 
@@ -118,10 +118,14 @@ def write_facts(facts: DataFrame, path: str) -> None:
     """SNK_ARTICLE / SNK_CATEGORY: Parquet in month folders holding one
     folder per business day (``yymm=…/bdate_y=…``), the source's clean-zone
     layout.  Dynamic partition overwrite: re-running a day replaces exactly
-    that day.  Rows are clustered by day inside each task so a task keeps one
-    open file at a time."""
+    that day.
+
+    The ``rebalance`` hint lets AQE shuffle the rows by day folder, coalesce
+    small partitions and split a hot day over several tasks, so each day is
+    written as a few right-sized files rather than one file per task and day,
+    and a day holding a third of the rows does not land in one task."""
     out = facts.withColumn("yymm", F.date_format("bdate_y", MONTH_FOLDER))
-    (out.sortWithinPartitions("yymm", "bdate_y")
+    (out.hint("rebalance", "yymm", "bdate_y").sortWithinPartitions("yymm", "bdate_y")
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("yymm", "bdate_y").parquet(path))
 
