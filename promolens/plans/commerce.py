@@ -40,16 +40,24 @@ def _image_or_none(alias: str = "m", first_only: bool = True):
 
 # --- report views (reconstructed: their definitions are not in the source) ----
 
-def report_sales_view(spark: SparkSession, sf: str) -> DataFrame:
+def report_sales_view(spark: SparkSession, sf: str, header_filter=None) -> DataFrame:
     """``view_report_sales``: POS and non-cart online orders as one set
     (SET_SALES_TYPES) with total = Σ qty·price, total_cogs = Σ qty·cogs and
-    total_profit = total − total_cogs, customer and class names."""
+    total_profit = total − total_cogs, customer and class names.
+
+    ``header_filter`` (a report's date range or status) is applied to the
+    order headers *before* their lines are joined and summed, so a one-month
+    report aggregates one month of lines, not the whole history."""
     def orders(details, key, headers, status_col, sales_type):
-        lines = details.groupBy(F.col(key).alias("id")).agg(
-            F.sum(C.line_amount("qty", "sell_price")).alias("total"),
-            F.sum(C.line_amount("qty", "cogs")).alias("total_cogs"))
         h = headers.select("id", "code", "customer_id", "created_at", F.col(status_col).alias("status"))
-        return h.join(lines, "id").withColumn("sales_type", F.lit(sales_type))
+        if header_filter is not None:
+            h = h.where(header_filter)
+        lines = details.select(F.col(key).alias("id"), "qty", "sell_price", "cogs")
+        return (h.join(lines, "id")
+                .groupBy("id", "code", "customer_id", "created_at", "status")
+                .agg(F.sum(C.line_amount("qty", "sell_price")).alias("total"),
+                     F.sum(C.line_amount("qty", "cogs")).alias("total_cogs"))
+                .withColumn("sales_type", F.lit(sales_type)))
 
     pos = orders(C.sales_details(spark, sf), "sales_id", C.sales(spark, sf), "status", C.POS)
     onl = orders(C.online_sales_details(spark, sf), "online_sales_id",
@@ -63,11 +71,16 @@ def report_sales_view(spark: SparkSession, sf: str) -> DataFrame:
             .drop("customer_class_id"))
 
 
-def report_product_view(spark: SparkSession, sf: str) -> DataFrame:
-    """``view_report_product``: sold quantity per order and product."""
+def report_product_view(spark: SparkSession, sf: str, header_filter=None) -> DataFrame:
+    """``view_report_product``: sold quantity per order and product (header
+    filter applied before the lines are summed)."""
     def lines(details, key, headers, sales_type):
-        d = details.groupBy(F.col(key).alias("id"), "product_id").agg(F.sum("qty").alias("total_qty"))
-        return headers.select("id", "code", "created_at").join(d, "id").withColumn("sales_type", F.lit(sales_type))
+        h = headers.select("id", "code", "created_at")
+        if header_filter is not None:
+            h = h.where(header_filter)
+        d = details.select(F.col(key).alias("id"), "product_id", "qty")
+        return (h.join(d, "id").groupBy("id", "code", "created_at", "product_id")
+                .agg(F.sum("qty").alias("total_qty")).withColumn("sales_type", F.lit(sales_type)))
     pos = lines(C.sales_details(spark, sf), "sales_id", C.sales(spark, sf), C.POS)
     onl = lines(C.online_sales_details(spark, sf), "online_sales_id",
                 C.online_sales(spark, sf).where(F.col("is_cart") == 0), C.ONLINE)
@@ -116,21 +129,25 @@ def report_product(view: DataFrame, start, end, product_id=None, sales_type=None
     return detail.unionByName(footer)
 
 
+def _window(start=REPORT_START, end=REPORT_END):
+    return ts_day_range("created_at", start, end)
+
+
 def q_report_sales(spark, sf):
-    return report_sales(report_sales_view(spark, sf), REPORT_START, REPORT_END)
+    return report_sales(report_sales_view(spark, sf, _window()), REPORT_START, REPORT_END)
 
 
 def q_report_sales_pos(spark, sf):
-    return report_sales(report_sales_view(spark, sf), REPORT_START, REPORT_END, sales_type=C.POS)
+    return report_sales(report_sales_view(spark, sf, _window()), REPORT_START, REPORT_END, sales_type=C.POS)
 
 
 def q_report_product(spark, sf):
-    return report_product(report_product_view(spark, sf), REPORT_START, REPORT_END)
+    return report_product(report_product_view(spark, sf, _window()), REPORT_START, REPORT_END)
 
 
 def q_report_unpaid(spark, sf):
     """Q_REPORT_UNPAID: orders awaiting payment with the customer's contact."""
-    v = report_sales_view(spark, sf).where(F.col("status") == C.WAITING)
+    v = report_sales_view(spark, sf, F.col("status") == C.WAITING)
     c = C.customers(spark, sf).select(F.col("id").alias("customer_id"), "phone1", "address")
     return v.join(c, "customer_id").select(
         "code", "customer_id", "customer_name", "created_at", "sales_type", "status",
