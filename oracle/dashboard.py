@@ -101,7 +101,27 @@ def detail_sql(src: str) -> str:
     JOIN {DIRS} ON g.merdiv_y = d.directorate_code"""
 
 
+_RK = "bdate_y, kode_store, nama_site, rulecode, ruletype, mercat_y, mercatdesc_y"
+_RM = ("tnetsales", "tqty", "tprofit", "tcogs", "netsales_x", "qty_x", "profit_x")
+
+
+def rollup_sql(src: str) -> str:
+    sums = ", ".join(f"SUM({m}) AS {m}" for m in _RM)
+    return f"""SELECT CASE WHEN gs = 0 THEN 'store' WHEN gd = 0 THEN 'day' WHEN gt = 0 THEN 'type'
+        WHEN gc = 0 THEN 'category' ELSE 'total' END AS level, {_RK},
+      {", ".join(f"{r2(m)} AS {m}" for m in _RM)},
+      {growth('tnetsales', 'netsales_x')} AS sales_growth, {growth('tqty', 'qty_x')} AS qty_growth,
+      {growth('tprofit', 'profit_x')} AS profit_growth, {margin('tprofit', 'tnetsales')} AS margin,
+      {r2(ratio('tnetsales', 'tqty'))} AS avg_price
+    FROM (SELECT {_RK}, {sums}, GROUPING(kode_store) AS gs, GROUPING(bdate_y) AS gd, GROUPING(rulecode) AS gt,
+            GROUPING(mercat_y) AS gc
+          FROM {src}
+          GROUP BY GROUPING SETS ((), (kode_store, nama_site), (bdate_y), (rulecode, ruletype),
+                                  (mercat_y, mercatdesc_y))) g"""
+
+
 SQL = {
+    "q_dashboard_rollup": with_(*BASE, scope()) + rollup_sql("scope"),
     "q_promo_scope": with_(*BASE, scope()) + present_scope("scope"),
     "q_promo_scope_category": with_(*BASE, scope(extra="AND f.mercat_y = 'PROMO'")) + present_scope("scope"),
     "q_promo_scope_directorate": with_(*BASE, scope(

@@ -25,7 +25,7 @@ def queries() -> dict[str, Query]:
                  "q_daily_during", "q_daily_before", "q_daily_article", "q_type_growth",
                  "q_category_growth_top", "q_type_share", "q_category_share", "q_store_best",
                  "q_store_worst", "q_article_detail", "q_divisions", "q_categories",
-                 "q_chain_stores", "q_directorates"]:
+                 "q_chain_stores", "q_directorates", "q_dashboard_rollup"]:
         q[name] = getattr(dashboard, name)
     for name in commerce.NAMES:
         q[name] = getattr(commerce, name)
