@@ -75,32 +75,45 @@ def base_filter(drop_inactive: bool = False) -> Column:
     return cond
 
 
+def _parsed(df: DataFrame, measures: list[str]) -> DataFrame:
+    """Parse each measure text once into ``_<name>``; the predicates and the
+    casts below reuse the parsed column instead of re-parsing the text."""
+    return df.withColumns({f"_{m}": to_number(m) for m in measures})
+
+
 def clean_sales_rows(feed: DataFrame, drop_inactive: bool = False) -> DataFrame:
     """Cleaned last-year rows, before grouping."""
-    df = lower_columns(feed)
-    cond = base_filter(drop_inactive) & numeric(*SALES_MEASURES)
+    df = _parsed(lower_columns(feed), SALES_MEASURES)
+    cond = base_filter(drop_inactive)
+    for m in SALES_MEASURES:                                        # CLN_NUMERIC_MEASURE
+        cond = cond & F.col(f"_{m}").isNotNull()
     return (df.where(cond)
             .withColumns({
                 "nama_site": site_suffix("nama_site"),          # CLN_SITE_SUFFIX
                 "bdate": parse_feed_date("bdate"),              # FN_PARSE_DATE
-                **{m: measure(to_number(m)) for m in SALES_MEASURES},   # CLN_CAST
-            }))
+                **{m: measure(f"_{m}") for m in SALES_MEASURES},   # CLN_CAST
+            })
+            .drop(*[f"_{m}" for m in SALES_MEASURES]))
 
 
 def clean_promo_rows(feed: DataFrame, drop_inactive: bool = False) -> DataFrame:
     """Cleaned promotion rows with the promotion part of each amount."""
-    df = lower_columns(feed)
-    cond = base_filter(drop_inactive) & numeric(*PROMO_POSITIVE) & positive(*PROMO_POSITIVE)
+    df = _parsed(lower_columns(feed), PROMO_POSITIVE)
+    cond = base_filter(drop_inactive)
+    for m in PROMO_POSITIVE:                                        # CLN_NUMERIC_MEASURE + CLN_POSITIVE
+        cond = cond & (F.col(f"_{m}") > 0)
+    q, t = F.col("_qty"), F.col("_tqty")
     return (df.where(cond)
             .withColumns({
                 "nama_site": site_suffix("nama_site"),
                 "bdate": parse_feed_date("bdate"),
                 # PRJ_PROMO_SHARE: (amount / qty) * tqty, before the casts
-                "tnetsales": promo_share(to_number("netsales"), to_number("qty"), to_number("tqty")),
-                "tcogs": promo_share(to_number("cogs"), to_number("qty"), to_number("tqty")),
-                "tprofit": promo_share(to_number("profit"), to_number("qty"), to_number("tqty")),
+                "tnetsales": promo_share("_netsales", q, t),
+                "tcogs": promo_share("_cogs", q, t),
+                "tprofit": promo_share("_profit", q, t),
+                **{m: measure(f"_{m}") for m in PROMO_POSITIVE},
             })
-            .withColumns({m: measure(to_number(m)) for m in PROMO_POSITIVE}))
+            .drop(*[f"_{m}" for m in PROMO_POSITIVE]))
 
 
 def clean_sales(feed: DataFrame, drop_inactive: bool = False) -> DataFrame:
