@@ -31,6 +31,27 @@ RECOMMENDED_CONF = {
 JIT_HUGE_METHODS = "-XX:-DontCompileHugeMethods"
 
 
+def cluster_conf(executor_cores_total: int, target_partition_mb: int = 256) -> dict[str, str]:
+    """Settings for a large cluster (e.g. 1000 executors over ~100 TB).
+
+    Shuffle partitions start high and AQE coalesces them to the advisory size,
+    so a stage fits executor memory at any scale; skewed partitions above
+    ``skewedPartitionThresholdInBytes`` are split.  Scan splits are sized so
+    one task reads about one row group stripe set.  Joins stay sort-merge
+    unless a side *measures* under the broadcast threshold at run time.
+    """
+    return {
+        **RECOMMENDED_CONF,
+        "spark.sql.shuffle.partitions": str(max(2000, executor_cores_total * 3)),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": f"{target_partition_mb}m",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": f"{target_partition_mb * 2}m",
+        "spark.sql.files.maxPartitionBytes": "512m",
+        "spark.sql.autoBroadcastJoinThreshold": "64m",
+        "spark.driver.extraJavaOptions": JIT_HUGE_METHODS,
+        "spark.executor.extraJavaOptions": JIT_HUGE_METHODS,
+    }
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   app: str = "promolens") -> SparkSession:
     builder = (

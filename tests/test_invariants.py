@@ -113,3 +113,15 @@ def test_incremental_build_multi_batch_equals_batch_build(spark, tmpdir_spark):
     n = got.count()
     start_incremental_build(spark, promo, sales, out, ckpt, STREAM_GRAIN).awaitTermination()
     assert FS.read_clean(spark, out).count() == n
+
+
+def test_rollup_agrees_with_single_results(spark):
+    scoped = dashboard.scoped(spark, SMALL)
+    roll = dashboard.dashboard_rollup(scoped)
+    total = roll.where("level = 'total'").first()
+    kpi = dashboard.kpi(scoped).first()
+    assert total.sales_growth == kpi.sales_growth and total.margin == kpi.margin_promo
+    per_store = {r.kode_store: r.sales_growth for r in roll.where("level = 'store'").collect()}
+    assert per_store == {r.kode_store: r.sales_growth for r in dashboard.kpi_by_store(scoped).collect()}
+    days = roll.where("level = 'day'").count()
+    assert days == dashboard.daily(scoped).count()
