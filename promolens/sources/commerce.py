@@ -61,7 +61,9 @@ def products(spark: SparkSession, sf: str) -> DataFrame:
         F.col("p_size").alias("weight"),
         F.col("p_size").alias("point"),
         (F.col("p_size") * 10).alias("extra_fee"),
-        _ntz(F.timestamp_seconds(F.lit(757382400) + k * 3600)).alias("created_at"),  # 1994-01-01 + k h
+        # 1994-01-01 00:00 + k hours, built as wall-clock time (no time zone)
+        F.expr("TIMESTAMP_NTZ'1994-01-01 00:00:00' + make_dt_interval("
+               "cast(p_partkey div 24 as int), cast(p_partkey % 24 as int), 0, 0)").alias("created_at"),
     )
 
 
