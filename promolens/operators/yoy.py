@@ -101,6 +101,26 @@ def category_facts(facts: DataFrame) -> DataFrame:
     return sum_by(facts, CATEGORY_FACT_KEYS, FACT_MEASURES)
 
 
+def dedupe_baseline(facts: DataFrame, grain: Grain = REFERENCE_GRAIN) -> DataFrame:
+    """Optional fix of the repeated baseline: last year's
+    measures stay on one fact row per join key and period (the row with the
+    smallest store/site/rule/tag) and are zero on the others, so totals count
+    last year once.
+
+    Skew-safe: the chosen row per key comes from a ``min`` aggregate (partial
+    aggregation map-side) joined back on the key, not from a window that would
+    put a hot article's whole group into one task."""
+    keys = [*grain.keys, "bdate_y"]
+    rank = F.struct("kode_store", "nama_site", "rulecode", "ruletype", "tag", "sku_desc_y", "merdiv_y",
+                    "merdivdesc_y", "mercat_y", "mercatdesc_y", "brand_y", "principle_y", "sku")
+    first = facts.groupBy(*keys).agg(F.min(rank).alias("_first"))
+    j = facts.withColumn("_me", rank).join(first, keys)
+    keep = F.col("_me") == F.col("_first")
+    zero = F.lit(0).cast(FACT_TYPE)
+    return j.select(*[F.when(keep, F.col(c)).otherwise(zero).alias(c) if c.endswith("_x") else F.col(c)
+                      for c in ARTICLE_FACT_COLUMNS])
+
+
 def article_facts_from_rows(sales_rows: DataFrame, promo_rows: DataFrame,
                             grain: Grain = REFERENCE_GRAIN) -> DataFrame:
     """Q_ARTICLE_GROWTH computed from cleaned *rows* in one aggregation per

@@ -161,3 +161,13 @@ def test_month_grain_matches_two_step(spark):
     b = article_facts_from_rows(CL.clean_sales_rows(ly), CL.clean_promo_rows(ty), g).collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
     assert len(a) == 1 and float(a[0].netsales_x) == 400.0 and a[0].bdate_y == dt.date(1998, 3, 1)
+
+
+def test_dedupe_baseline_counts_last_year_once(spark):
+    from promolens.operators.yoy import dedupe_baseline
+    ly = _feed_rows(spark, [_row("10-03-1997", "A", "1")])
+    ty = _feed_rows(spark, [_row("10-03-1998", "A", "1"), _row("10-03-1998", "R", "2")])
+    facts = article_facts(CL.clean_sales(ly), CL.clean_promo(ty))
+    rows = dedupe_baseline(facts).collect()
+    assert len(rows) == 2 and sum(float(r.netsales_x) for r in rows) == 100.0
+    assert sum(float(r.netsales_y) for r in rows) == 200.0
