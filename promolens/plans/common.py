@@ -14,7 +14,7 @@ from pyspark.sql.types import DecimalType
 from promolens.functions.numeric import round2
 from promolens.operators.clean import clean_promo_rows, clean_sales_rows
 from promolens.operators.yoy import REFERENCE_GRAIN, Grain, article_facts_from_rows
-from promolens.session import scratch_path
+from promolens.session import scratch_path, session_key
 from promolens.sources.files import read_clean, write_facts
 from promolens.sources.fixtures import raw_feed
 
@@ -44,7 +44,7 @@ def facts_table(spark: SparkSession, sf_dir: str, grain: Grain = REFERENCE_GRAIN
     folder.  Dashboard queries read it back with partition pruning; being a
     written table it also cuts the lineage, so a lost executor costs a re-read,
     not a re-run of the whole build."""
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), grain)
+    key = (session_key(spark), os.path.abspath(sf_dir), grain)
     with _LOCK:
         if key not in _FACT_TABLES:
             path = scratch_path(spark, "facts")

@@ -18,7 +18,7 @@ from promolens.operators.yoy import Grain, category_facts
 from promolens.schemas import ARTICLE_FACT_SCHEMA
 from promolens.plans import dashboard as DB
 from promolens.plans.common import facts_from_tables, present, read_facts
-from promolens.session import scratch_path
+from promolens.session import scratch_path, session_key
 from promolens.sources import commerce as C
 from promolens.sources import files as FS
 from promolens.sources.fixtures import article_list, raw_feed, stores
@@ -34,7 +34,7 @@ _RAW: dict[tuple, str] = {}
 
 def _raw_zone(spark: SparkSession, sf: str, kind: str) -> str:
     """The feed written as a raw text zone, once per session and kind."""
-    key = (spark.sparkContext.applicationId, sf, kind)
+    key = (session_key(spark), sf, kind)
     if key not in _RAW:
         path = scratch_path(spark, f"raw-{kind}")
         FS.write_raw_feed(raw_feed(spark, sf), path, kind)

@@ -42,13 +42,18 @@ def spread_path(spark: SparkSession, path: str) -> str:
     A normally laid-out large table (thousands of splits) is read in place:
     no copy is ever made at scale.
     """
-    cores = spark.sparkContext.defaultParallelism
-    key = (spark.sparkContext.applicationId, path)
+    from promolens.session import default_parallelism, session_key
+    cores = default_parallelism(spark)
+    key = (session_key(spark), path)
     with _LOCK:
         if key in _SPREAD:
             return _SPREAD[key]
         df = spark.read.parquet(path)
-        if df.rdd.getNumPartitions() >= cores:
+        try:
+            splits = df.rdd.getNumPartitions()
+        except Exception:  # noqa: BLE001 - no RDD API (Spark Connect): read in place
+            splits = cores
+        if splits >= cores:
             _SPREAD[key] = path
             return path
         from promolens.session import scratch_path
