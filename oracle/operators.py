@@ -39,10 +39,11 @@ SQL = {
       CASE WHEN s_suppkey % 3 > 0 THEN 'CHAIN' ELSE 'OTHER' END AS type_store FROM supplier""",
     "src_article_list": "SELECT CAST(p_partkey AS VARCHAR) AS plu FROM part WHERE p_partkey % 4 = 0",
     "src_table": "SELECT p_partkey, p_name FROM part",
-    "src_json_nested": """SELECT CAST(n_nationkey AS BIGINT) AS ro_city_id, CAST(n_regionkey AS BIGINT) AS ro_province_id,
-      'Kota' AS ro_type, n_name AS ro_city_name FROM nation JOIN region ON n_regionkey = r_regionkey""",
+    "src_json_nested": """SELECT DISTINCT CAST(n_nationkey AS BIGINT) AS ro_city_id,
+      CAST(n_regionkey AS BIGINT) AS ro_province_id, 'Kota' AS ro_type, n_name AS ro_city_name
+      FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
     "src_json_provinces": """SELECT DISTINCT CAST(n_regionkey AS BIGINT) AS ro_province_id, r_name AS ro_province
-      FROM nation JOIN region ON n_regionkey = r_regionkey""",
+      FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
     "cln_sentinel": _profile("NOT COALESCE(bdate IN ('TRICLE', 'SUPREME'), false)"),
     "cln_not_null": _profile("bdate IS NOT NULL AND nama_site IS NOT NULL AND kode_store IS NOT NULL"),
     "cln_min_len": _profile("length(nama_site) >= 3"),

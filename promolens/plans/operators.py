@@ -146,39 +146,43 @@ JSON_SCHEMA = T.StructType([T.StructField("rajaongkir", T.StructType([T.StructFi
                   T.StructField("city_name", T.StringType())])))]))])
 
 
-def _region_docs(spark, sf) -> str:
-    """One nested JSON document per region (as a region/city web service
-    returns them), written as JSON lines.  A document holds the cities of
-    one region: its size is bounded by the region, not by the data."""
+def _address_docs(spark, sf) -> str:
+    """One nested JSON document per customer address lookup, shaped like the
+    region/city web service's answer (``rajaongkir.results`` = the customer's
+    city with its province), written as JSON lines.  The documents grow with
+    the customers; each holds one small array."""
+    c = read_table(spark, sf, "customer", ["c_custkey", "c_nationkey"])
     n = read_table(spark, sf, "nation", ["n_nationkey", "n_name", "n_regionkey"])
     r = read_table(spark, sf, "region", ["r_regionkey", "r_name"])
     city = F.struct(F.col("n_nationkey").cast("bigint").alias("city_id"),
                     F.col("n_regionkey").cast("bigint").alias("province_id"),
                     F.col("r_name").alias("province"), F.lit("Kota").alias("type"),
                     F.col("n_name").alias("city_name"))
-    docs = (n.join(r, n.n_regionkey == r.r_regionkey).groupBy("r_regionkey")
-            .agg(F.collect_list(city).alias("results"))
-            .select(F.to_json(F.struct(F.struct("results").alias("rajaongkir"))).alias("value")))
+    docs = (c.join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
+            .select(F.to_json(F.struct(F.struct(F.array(city).alias("results")).alias("rajaongkir")))
+                    .alias("value")))
     path = scratch_path(spark, "json-nested")
     docs.write.mode("overwrite").text(path)
     return path
 
 
-def src_json_nested(spark, sf):
-    """SRC_JSON_NESTED: nested ``rajaongkir.results`` arrays flattened into a
-    city table (``from_json`` + ``explode``)."""
-    txt = spark.read.text(_region_docs(spark, sf))
+def _flatten(spark, sf) -> DataFrame:
+    txt = spark.read.text(_address_docs(spark, sf))
     doc = txt.select(F.from_json("value", JSON_SCHEMA).alias("d"))
-    return doc.select(F.explode("d.rajaongkir.results").alias("c")).select(
+    return doc.select(F.explode("d.rajaongkir.results").alias("c"))
+
+
+def src_json_nested(spark, sf):
+    """SRC_JSON_NESTED: nested ``rajaongkir.results`` arrays flattened
+    (``from_json`` + ``explode``) into the city table, one row per city."""
+    return _flatten(spark, sf).select(
         F.col("c.city_id").alias("ro_city_id"), F.col("c.province_id").alias("ro_province_id"),
-        F.col("c.type").alias("ro_type"), F.col("c.city_name").alias("ro_city_name"))
+        F.col("c.type").alias("ro_type"), F.col("c.city_name").alias("ro_city_name")).distinct()
 
 
 def src_json_provinces(spark, sf):
     """SRC_JSON_NESTED, province part: distinct provinces of the documents."""
-    txt = spark.read.text(_region_docs(spark, sf))
-    doc = txt.select(F.from_json("value", JSON_SCHEMA).alias("d"))
-    return (doc.select(F.explode("d.rajaongkir.results").alias("c"))
+    return (_flatten(spark, sf)
             .select(F.col("c.province_id").alias("ro_province_id"), F.col("c.province").alias("ro_province"))
             .distinct())
 
