@@ -7,8 +7,10 @@ from collections.abc import Callable
 
 
 def queries() -> dict[str, Callable]:
-    from promolens.llm import sentencepiece_dropout
+    from promolens.llm import jaccard_join, quality_llr, sentencepiece_dropout
     return {
+        "op5_ngram_jaccard": jaccard_join.op5_ngram_jaccard,
+        "op4_quality_llr": quality_llr.op4_quality_llr,
         "op10_sentencepiece": sentencepiece_dropout.op10_sentencepiece,
     }
 
