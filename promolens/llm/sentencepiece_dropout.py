@@ -12,7 +12,7 @@ The key makes segmentations repeatable: the same seed and variant always give
 the same pieces, whatever the partitioning or retries.  A document's variant
 is a hash of its id modulo ``variants``; hence a word is segmented in several
 ways over the corpus, and yet each worker can remember recent words (a cache
-that is emptied at ``CACHE_WORDS`` entries, so its memory is bounded).
+of two generations of ``CACHE_WORDS`` entries, so its memory is bounded).
 
 Decoding is lossless: spaces are the meta piece character, characters outside
 the vocabulary are byte pieces, and a literal meta character in the text is
@@ -42,7 +42,7 @@ from promolens.llm.common import documents
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT, SEED, VARIANTS = 0.1, 17, 2
-CACHE_WORDS = 300_000
+CACHE_WORDS = 400_000              # of each of two generations
 META = "▁"
 LITERAL = "\0" + META                       # a meta character of the text itself, not a space
 MASK = (1 << 64) - 1
@@ -76,28 +76,36 @@ class Pieces:
         places = {x: k for k, x in enumerate(sorted(set(scores.values()), reverse=True))}
         self.rank = {piece: places[x] for piece, x in scores.items()}       # equal scores share a rank
         self.bar, self.seed = int(dropout * 2.0**32), seed
-        self.cache: dict[int, dict[str, bytes]] = {}
+        self.recent: dict[int, list[dict[str, bytes]]] = {}     # by variant: young and old generation
 
     def encode(self, text: str, variant: int = 0) -> bytes:
         """Piece ids as native 32-bit integers."""
         if not text:
             return b""
-        cache = self.cache.setdefault(variant, {})
         # with the scheme's leading space; cut where no merge can cross
         units = re.findall(r" *[^ \n]+|\n| +", " " + text)
-        out = list(map(cache.get, units))
+        recent = self.recent.setdefault(variant, [{}, {}])
+        out = list(map(recent[0].get, units))
         if None in out:
-            if sum(map(len, self.cache.values())) + len(units) > CACHE_WORDS:
-                for x in self.cache.values():
-                    x.clear()
-            for k, ids in enumerate(out):
+            self._fill(units, out, recent, variant)
+        return b"".join(out)
+
+    def _fill(self, units: list[str], out: list, recent: list[dict[str, bytes]], variant: int) -> None:
+        """Encode what the cache of recent words lacks.  The cache has two
+        generations: when the young one is full it becomes the old one, and
+        words found there move back, so frequent words stay."""
+        for k, ids in enumerate(out):
+            if ids is None:
+                unit = units[k]
+                ids = recent[0].get(unit)
                 if ids is None:
-                    unit = units[k]
-                    ids = cache.get(unit)
+                    if len(recent[0]) * len(self.recent) >= CACHE_WORDS:
+                        recent[:] = {}, recent[0]
+                    ids = recent[1].get(unit)
                     if ids is None:
-                        ids = cache[unit] = array("i", self.agenda(unit, variant)).tobytes()
-                    out[k] = ids
-        return b"".join(out)
+                        ids = array("i", self.agenda(unit, variant)).tobytes()
+                    recent[0][unit] = ids
+                out[k] = ids
 
     def agenda(self, unit: str, variant: int) -> list[int]:
         rank, bar = self.rank.get, self.bar
@@ -150,6 +158,18 @@ class Pieces:
         return b"".join([out[i] for i in np.frombuffer(ids, dtype="<i4").tolist()])[1:].decode("utf-8", "surrogatepass")
 
 
+_PIECES: dict[tuple, Pieces] = {}
+
+
+def pieces_of(model: str, dropout: float, seed: int) -> Pieces:
+    """The encoder of this worker process; the next task finds its cache filled."""
+    key = (model, dropout, seed)
+    if key not in _PIECES:
+        _PIECES.clear()
+        _PIECES[key] = Pieces(model, dropout, seed)
+    return _PIECES[key]
+
+
 def variant_of(doc_id: int | None, seed: int, variants: int) -> int:
     return xxhash.xxh64_intdigest(str(doc_id).encode(), seed) % max(1, variants)
 
@@ -165,7 +185,7 @@ def encode(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", mode
     schema = T.StructType([*keep, T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(model, dropout, seed)
+        pieces = pieces_of(model, dropout, seed)
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
