@@ -31,7 +31,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promolens.llm.common import documents, table, words_of
+from promolens.llm.common import documents, paired, table, words_of
 
 BUCKETS, ALPHA, THRESHOLD, MAX_TARGET = 16_384, 1.0, -0.05, 200_000
 RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
@@ -45,13 +45,8 @@ def trusted_ids(labels: DataFrame, max_target: int = MAX_TARGET) -> DataFrame:
     return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_target).select("doc_id")
 
 
-def _grams(hashes: Column, buckets: int) -> Column:
-    """Bucket numbers of the unigrams and bigrams of an array of word hashes."""
-    n = F.size(hashes)
-    uni = F.transform(hashes, lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
-    bi = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.pmod(
-        F.xxhash64(hashes[i - 1], hashes[i]), F.lit(buckets)).cast("int"))).otherwise(F.array().cast("array<int>"))
-    return F.concat(uni, bi)
+def _bucket(gram: Column, buckets: int) -> Column:
+    return F.pmod(gram, F.lit(buckets).cast("long")).cast("int")
 
 
 def _word_hashes(words: Column) -> Column:
@@ -65,7 +60,8 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, alpha: float
     rows = (docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
             .join(F.broadcast(good), "_id", "left")               # bounded by max_target
             .select("_good", _word_hashes(words_of(F.col("_text"))).alias("_h"))
-            .select("_good", F.explode(_grams(F.col("_h"), buckets)).alias("_b")))
+            .select("_good", F.explode(F.concat("_h", paired(F.col("_h"), 1))).alias("_g"))
+            .select("_good", _bucket(F.col("_g"), buckets).alias("_b")))
     counts = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("r"), F.count("_good").alias("t")).collect()   # <= buckets rows
     raw, target = [alpha] * buckets, [alpha] * buckets
     for b, r, t in counts:
@@ -75,13 +71,6 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, alpha: float
     return [math.log(t / n_target) - math.log(r / n_raw) for t, r in zip(target, raw, strict=True)]
 
 
-def _windows(hashes: Column, k: int = 8) -> Column:
-    """Hashes of a text's ``k``-word windows."""
-    n = F.size(hashes)
-    return F.when(n >= k, F.transform(F.sequence(F.lit(0), n - k), lambda i: F.xxhash64(
-        *[hashes[i + j] for j in range(k)]))).otherwise(F.array().cast("array<bigint>"))
-
-
 def _with_repeat_words(df: DataFrame, own: list[str], k: int = 8) -> DataFrame:
     """``df`` with ``n_repeat_words``: the words inside windows (``_win``) that
     are found twice or more in the text.
@@ -113,13 +102,19 @@ def judge(docs: DataFrame, model: list[float], threshold: float = THRESHOLD, tex
     df = docs.select(*own, words_of(F.col(text_col)).alias("_w"), lines.alias("_l"),
                      F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"))
     df = df.select(*own, "n_symbols", F.size("_w").cast("long").alias("n_words"),
-                   F.aggregate("_w", F.lit(0).cast("long"), lambda s, w: s + F.length(w)).alias("word_chars"),
+                   F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
                    (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
                    _word_hashes(F.col("_w")).alias("_h"))
     base = [*own, "n_symbols", "n_words", "word_chars", "n_dup_lines"]
-    df = df.select(*base, _windows(F.col("_h")).alias("_win"), _grams(F.col("_h"), len(model)).alias("_g"))
-    score = F.aggregate("_g", F.lit(0.0), lambda s, b: s + weights[b]) / F.size("_g")
-    df = df.select(*base, "_win", F.when(F.size("_g") > 0, score).otherwise(F.lit(0.0)).alias("score"))
+    df = df.select(*base, "_h", paired(F.col("_h"), 1).alias("_2"))
+
+    def total(grams: str) -> Column:
+        return F.aggregate(grams, F.lit(0.0), lambda s, g: s + weights[_bucket(g, len(model))])
+
+    n_grams = F.size("_h") + F.size("_2")
+    df = df.select(*base, F.when(n_grams > 0, (total("_h") + total("_2")) / n_grams).otherwise(F.lit(0.0)).alias("score"),
+                   paired(F.col("_2"), 2).alias("_4"))
+    df = df.select(*base, "score", paired(F.col("_4"), 4).alias("_win"))       # windows of eight words
     df = _with_repeat_words(df, [*base, "score"])
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     df = df.withColumn("base_failed", failed)
