@@ -7,8 +7,9 @@ from collections.abc import Callable
 
 
 def queries() -> dict[str, Callable]:
-    from promolens.llm import jaccard_join, line_join, quality_llr, sentencepiece_dropout
+    from promolens.llm import jaccard_join, line_join, quality_llr, sentencepiece_dropout, template_decon
     return {
+        "op7_template_leaks": template_decon.op7_template_leaks,
         "op8_line_join": line_join.op8_line_join,
         "op5_ngram_jaccard": jaccard_join.op5_ngram_jaccard,
         "op4_quality_llr": quality_llr.op4_quality_llr,

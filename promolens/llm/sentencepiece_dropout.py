@@ -223,3 +223,12 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.size("ids").cast("long").alias("n_pieces"),
         F.xxhash64("ids").alias("ids_hash"),
         (F.col("decoded") == text).alias("lossless"))
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: ``docs`` and the pieces of each text; a text that did not
+    come back from its pieces would end the run."""
+    back = decode(encode(docs))
+    same = F.coalesce("decoded", F.lit("")) == F.coalesce("text", F.lit(""))
+    return back.withColumn("ids", F.when(same, F.col("ids")).otherwise(
+        F.raise_error(F.lit("a text does not decode to itself")).cast("array<int>"))).drop("decoded")
