@@ -14,7 +14,8 @@ The numpy part works on whole Arrow batches without making Python strings:
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import os
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +55,16 @@ def small_side(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
     return F.broadcast(df) if few else df
 
 
+def arrow_map(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` with this library's folder on the workers'
+    path, for sessions that were started elsewhere without installing it."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = getattr(getattr(df.sparkSession, "_sc", None), "environment", None)
+    if env is not None and root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH")) if x)
+    return df.mapInArrow(run, schema)
+
+
 def words_of(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text column as an array (null text: none).
 

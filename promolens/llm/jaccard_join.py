@@ -22,8 +22,9 @@ Steps:
    most of its prefix shingles' blocks.  A dense group of near copies becomes
    one component by a linear number of pairs.
 5. The exact rest: pairs of *different* components that share at least
-   ``min(l_x, l_y)`` shingles of their prefixes and fit in length are verified,
-   all of them.  A pair that was never listed lies in one component already,
+   ``min(l_x, l_y)`` shingles of their prefixes, fit in length and whose 512-bit
+   parity maps do not rule a link out (the maps differ in no more cells than the
+   sets do in shingles) are verified, all of them.  A pair that was never listed lies in one component already,
    so no link is lost.
 
 No group is gathered in one task: blocks are reduced by partial aggregates and
@@ -45,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promolens.llm.common import P1, U, Words, documents, mix, shared_table, shingles, small_side, text_blocks
+from promolens.llm.common import P1, U, Words, arrow_map, documents, mix, shared_table, shingles, small_side, text_blocks
 from promolens.llm.components import components
 
 SHINGLE, PERCENT = 4, 85
@@ -90,7 +91,7 @@ def sketch(docs: DataFrame, k: int = SHINGLE, text_col: str = "text") -> np.ndar
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["slice", "counts"])
 
     schema = "slice int, counts binary"
-    rows = docs.select(text_col).mapInArrow(count, schema).repartition(SLICES, "slice").mapInArrow(add, schema).collect()  # SLICES rows
+    rows = arrow_map(arrow_map(docs.select(text_col), count, schema).repartition(SLICES, "slice"), add, schema).collect()  # SLICES rows
     total = np.zeros(size, np.int64)
     for i, c in rows:
         total[i * width:(i + 1) * width] = np.frombuffer(bytes(c), np.int64)
@@ -103,30 +104,34 @@ def _need(n, percent: int):
 
 
 def signatures(docs: DataFrame, tiers: np.ndarray, k: int, percent: int, text_col: str, id_col: str) -> DataFrame:
-    """doc_id, 128-bit set digest, set size and the longest prefix of each document."""
+    """doc_id, 128-bit set digest, set size, longest prefix and 512-bit parity map of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
-                size, one, two, prefix, ends = [], [], [], [], [0]
+                size, one, two, prefix, bits, ends = [], [], [], [], [], [0]
                 for _, s in _sets(part, "text", k):
                     n = len(s)
                     size.append(n)
                     # order-free digests of the set: two sums of independent mixes
                     one.append(int(mix(s + P1).sum(dtype=np.uint64)))
                     two.append(int(mix(s ^ P1).sum(dtype=np.uint64)))
+                    # parity of the set's shingles in each of 512 cells
+                    bits.append(np.packbits(np.bincount((s & U(511)).astype(np.int64), minlength=512).astype(np.uint8) & 1).view(np.int64))
                     order = np.argsort(tiers[(s >> U(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")
                     prefix.append(s[order[:max(0, n - _need(n, percent) + MAX_LEVEL)]])
                     ends.append(ends[-1] + len(prefix[-1]))
                 signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
                 yield pa.RecordBatch.from_arrays([
                     part.column("doc_id").cast(pa.int64()), signed(one), signed(two), pa.array(size, pa.int32()),
-                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), signed(np.concatenate(prefix)))],
-                    names=["doc_id", "k1", "k2", "n", "prefix"])
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), signed(np.concatenate(prefix))),
+                    pa.ListArray.from_arrays(pa.array(np.arange(len(bits) + 1) * 8, pa.int32()), pa.array(np.concatenate(bits)))],
+                    names=["doc_id", "k1", "k2", "n", "prefix", "bits"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        run, "doc_id long, k1 long, k2 long, n int, prefix array<long>")
+    return arrow_map(
+        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run,
+        "doc_id long, k1 long, k2 long, n int, prefix array<long>, bits array<long>")
 
 
 def _texts(docs: DataFrame, ids: DataFrame, text_col: str, id_col: str) -> DataFrame:
@@ -152,7 +157,7 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int, text_col: st
                     keep.append(shared > 0 and 100 * shared >= percent * (len(x) + len(y) - shared))
                 yield part.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("x", "y", "text_x", "text_y").mapInArrow(run, "x long, y long")
+    return arrow_map(both.select("x", "y", "text_x", "text_y"), run, "x long, y long")
 
 
 def _current(nodes: DataFrame, parts: DataFrame) -> DataFrame:
@@ -202,10 +207,18 @@ def link_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, t
     sides = nodes.groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("c"))
     mixed = sides.groupBy("shingle").agg(F.count(F.lit(1)).alias("parts"), F.max_by("comp", F.struct("c", "comp")).alias("main")).where("parts > 1").drop("parts")
     live = shared_table(nodes.join(mixed, "shingle").select("shingle", "cid", "comp", "n", "l", "level", "main"), "live")
+    maps = linked.join(live.select("cid").distinct(), F.col("doc_id") == F.col("cid"), "left_semi").groupBy(F.col("doc_id").alias("cid")).agg(F.collect_set("bits").alias("maps"))
+    # an id with several texts gets no map: it is verified whatever the maps say
+    live = live.join(maps, "cid").withColumn("bits", F.when(F.size("maps") == 1, F.col("maps")[0])).drop("maps")
+    live = shared_table(live.select("*", *[F.col("bits")[i].alias(f"b{i}") for i in range(8)]).drop("bits"), "live")
     x, y = live.where("comp <> main").alias("x"), live.alias("y")
+    # two sets differ in at least as many shingles as their parity maps differ in cells
+    apart = sum((F.bit_count(F.col(f"x.b{i}").bitwiseXOR(F.col(f"y.b{i}"))) for i in range(8)), F.lit(0))
+    both = F.col("x.n") + F.col("y.n")
+    most = both - 2 * F.floor((percent * both + 99 + percent) / (100 + percent))
     fits = ((F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("y.main")) | (F.col("x.cid") < F.col("y.cid")))
             & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
-            & (F.greatest("x.level", "y.level") <= F.least("x.l", "y.l")))
+            & (F.greatest("x.level", "y.level") <= F.least("x.l", "y.l")) & (F.coalesce(apart, F.lit(0)) <= most))
     # the side is counted from each end, so a pair is always (smaller id, larger id)
     hits = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & fits).groupBy(
         F.least("x.cid", "y.cid").alias("x"), F.greatest("x.cid", "y.cid").alias("y")).agg(

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from promolens.llm.common import documents
+from promolens.llm.common import arrow_map, documents
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT, SEED, VARIANTS = 0.1, 17, 2
@@ -194,7 +194,7 @@ def encode(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", mode
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(coded), dtype="<i4")))
                 yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in keep), ids], names=[f.name for f in schema])
 
-    return docs.mapInArrow(run, schema)
+    return arrow_map(docs, run, schema)
 
 
 def decode(coded: DataFrame, ids_col: str = "ids", out_col: str = "decoded", model: str = MODEL) -> DataFrame:
@@ -210,7 +210,7 @@ def decode(coded: DataFrame, ids_col: str = "ids", out_col: str = "decoded", mod
                 text = [None if x.as_py() is None else pieces.decode(np.asarray(x.values, dtype="<i4").tobytes()) for x in part.column(ids_col)]
                 yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in keep), pa.array(text, pa.string())], names=[f.name for f in schema])
 
-    return coded.mapInArrow(run, schema)
+    return arrow_map(coded, run, schema)
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
