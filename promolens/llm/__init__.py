@@ -7,15 +7,20 @@ from collections.abc import Callable
 
 
 def queries() -> dict[str, Callable]:
-    from promolens.llm import jaccard_join, line_join, quality_llr, sentencepiece_dropout, template_decon
+    from promolens.llm import importance, jaccard_join, line_join, quality_llr, sentencepiece_dropout, template_decon, warc_chain
     return {
         "op7_template_leaks": template_decon.op7_template_leaks,
         "op8_line_join": line_join.op8_line_join,
         "op5_ngram_jaccard": jaccard_join.op5_ngram_jaccard,
+        "op2_importance_resampling": importance.op2_importance_resampling,
         "op4_quality_llr": quality_llr.op4_quality_llr,
+        "op9_warc_chain": warc_chain.op9_warc_chain,
         "op10_sentencepiece": sentencepiece_dropout.op10_sentencepiece,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from promolens.llm import warc_chain
+    return {
+        "op9_warc_chain": warc_chain.ORACLE,
+    }

@@ -163,3 +163,62 @@ def shingles(words: np.ndarray, k: int) -> np.ndarray:
     for j in range(m):
         h = mix(h * P2 + words[j:n - m + 1 + j])
     return h
+
+
+SLICES = 64
+
+
+def summed_vectors(df: DataFrame, size: int, vector: Callable[[Iterator[pa.RecordBatch]], np.ndarray | None]) -> np.ndarray:
+    """Sum over all tasks of ``vector(batches)``, ``size`` doubles each (or None).
+
+    Every task sends ``SLICES`` rows; each slice is added up in a stream by one
+    task, so the driver receives ``size`` numbers whatever the input."""
+    width = -(-size // SLICES)
+    schema = "slice int, part binary"
+
+    def rows(parts: dict[int, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array([x.tobytes() for x in parts.values()], pa.binary())], names=["slice", "part"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = vector(batches)
+        if total is not None:
+            total = np.concatenate([total.astype(np.float64), np.zeros(width * SLICES - size)])
+            yield rows({i: total[i * width:(i + 1) * width] for i in range(SLICES)})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                part = np.frombuffer(x.as_buffer(), np.float64)
+                sums[i] = sums[i] + part if i in sums else part.copy()
+        yield rows(sums)
+
+    out = np.zeros(width * SLICES)
+    for i, x in arrow_map(arrow_map(df, count, schema).repartition(SLICES, "slice"), add, schema).collect():   # SLICES rows
+        out[i * width:(i + 1) * width] = np.frombuffer(bytes(x), np.float64)
+    return out[:size]
+
+
+def kth_largest(df: DataFrame, column: str, k: int, bins: int = 1024) -> float | None:
+    """The ``k``-th largest value of a double column (the least one when there are
+    fewer; None without rows), by counting in ever finer bins: each pass brings
+    at most ``bins`` rows to the driver."""
+    low, high, n = df.agg(F.min(column), F.max(column), F.count(column)).first()
+    if not n or k < 1:
+        return None
+    k = min(k, n)
+    while low < high:
+        step = (high - low) / bins
+        if step <= 0 or low + step == low:
+            step = high - low
+        place = F.least(F.lit(bins - 1), F.floor((F.col(column) - F.lit(low)) / F.lit(step)))
+        inside = df.where(F.col(column).between(low, high)).groupBy(place.alias("bin")).agg(
+            F.count(F.lit(1)).alias("n"), F.min(column).alias("low"), F.max(column).alias("high"))
+        for r in sorted(inside.collect(), key=lambda r: -r["bin"]):
+            if r["n"] >= k:
+                break
+            k -= r["n"]
+        if (r["low"], r["high"]) == (low, high):            # two neighbouring doubles: no bin lies between
+            return high if df.where(F.col(column) == high).count() >= k else low
+        low, high = r["low"], r["high"]
+    return low

@@ -46,12 +46,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promolens.llm.common import P1, U, Words, arrow_map, documents, mix, shared_table, shingles, small_side, text_blocks
+from promolens.llm.common import P1, U, Words, arrow_map, documents, mix, shared_table, shingles, small_side, summed_vectors, text_blocks
 from promolens.llm.components import components
 
 SHINGLE, PERCENT = 4, 85
 MAX_LEVEL = 4
-SKETCH_BITS, SLICES = 20, 64
+SKETCH_BITS = 20
 VERIFY_WEIGHT = 0.05            # cost of one verified shingle against one scanned posting
 
 
@@ -67,34 +67,17 @@ def sketch(docs: DataFrame, k: int = SHINGLE, text_col: str = "text") -> np.ndar
     """Order tiers of the ``2**SKETCH_BITS`` shingle counters: 0 for counters
     near the mean, one more for every doubling above four times the mean."""
     size = 1 << SKETCH_BITS
-    width = size // SLICES
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for a, b, data, offsets in text_blocks(batch.column(0)):
+            for _, _, data, offsets in text_blocks(batch.column(0)):
                 words = Words(data, offsets, lower=True)
                 sets = [np.unique(shingles(words.hash[x:y], k)) for x, y in zip(words.first[:-1], words.first[1:], strict=True)]
-                places = (np.concatenate(sets) >> U(64 - SKETCH_BITS)).astype(np.int64)
-                total += np.bincount(places, minlength=size)
-        if total.any():
-            yield pa.RecordBatch.from_arrays([
-                pa.array(range(SLICES), pa.int32()),
-                pa.array([total[i * width:(i + 1) * width].tobytes() for i in range(SLICES)], pa.binary())], names=["slice", "counts"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for i, c in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                part = np.frombuffer(c.as_buffer(), np.int64)
-                sums[i] = sums[i] + part if i in sums else part.copy()
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["slice", "counts"])
-
-    schema = "slice int, counts binary"
-    rows = arrow_map(arrow_map(docs.select(text_col), count, schema).repartition(SLICES, "slice"), add, schema).collect()  # SLICES rows
-    total = np.zeros(size, np.int64)
-    for i, c in rows:
-        total[i * width:(i + 1) * width] = np.frombuffer(bytes(c), np.int64)
+                total += np.bincount((np.concatenate(sets) >> U(64 - SKETCH_BITS)).astype(np.int64), minlength=size)
+        return total
+
+    total = summed_vectors(docs.select(text_col), size, count)
     return np.clip(np.floor(np.log2(np.maximum(total / max(4 * total.mean(), 32.0), 0.5))) + 1, 0, 60).astype(np.uint8)
 
 
