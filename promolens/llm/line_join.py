@@ -48,14 +48,19 @@ def _need(n: str | Column, percent: int) -> Column:
 
 
 def _lines(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """doc, line (number), text of each line."""
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"),
-                       F.posexplode(F.split(F.col(text_col), "\n")).alias("line", "words"))
+    """doc, line (number), text of each line with a word."""
+    lines = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"),
+                        F.posexplode_outer(F.split(F.col(text_col), "\n")).alias("line", "words"))
+    return lines.where(F.col("words").rlike(r"[^\x20\x09-\x0D]"))
 
 
 def _tokens(lines: DataFrame, own: list[str], k: int) -> DataFrame:
     """``own`` and the token hashes ``t`` (repeats included) of column ``words``.
 
+    Explode and filter the result only by ``_outer`` generators and on columns
+    behind them: a filter on ``t`` itself would be pushed down and copy the whole
+    chain of expressions into itself.
+
     A shingle's hash is folded from overlapping pairs: 2, 4, ... words, then the
     last ``k``; each step is a column, so nothing is evaluated twice."""
     df = lines.select(*own, F.transform(words_of(F.col("words")), lambda w: F.xxhash64(w)).alias("_1"))
@@ -73,7 +78,7 @@ def _tokens(lines: DataFrame, own: list[str], k: int) -> DataFrame:
 
 def rarity(docs: DataFrame, k: int = SHINGLE, text_col: str = "text", id_col: str = "doc_id") -> list[int]:
     """Magnitude (doublings above the mean) of each token counter."""
-    tokens = _tokens(_lines(docs, text_col, id_col), ["doc"], k).select(F.explode("t").alias("t"))
+    tokens = _tokens(_lines(docs, text_col, id_col), ["doc"], k).select(F.explode_outer("t").alias("t")).where("t IS NOT NULL")
     counts = tokens.select(F.pmod("t", F.lit(BUCKETS).cast("long")).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n")).collect()   # <= BUCKETS rows
     mean = max(1.0, sum(r["n"] for r in counts) / BUCKETS)
     tiers = [0] * BUCKETS
@@ -86,7 +91,7 @@ def signatures(docs: DataFrame, tiers: list[int], k: int, percent: int, text_col
     """doc, line, k1, k2 (digest), n (set size), prefix of each line with words."""
     order = F.split(F.lit("".join(map(str, tiers))), "").cast("array<int>")
     keys = ["doc", "line"]
-    df = _tokens(_lines(docs, text_col, id_col), keys, k).where(F.size("t") > 0)
+    df = _tokens(_lines(docs, text_col, id_col), keys, k)
     # the sort key has the tier on top; its lower 56 bits are the token
     rank = lambda t: F.shiftleft(order[F.pmod(t, F.lit(BUCKETS).cast("long")).cast("int")].cast("long"), 56).bitwiseOR(F.shiftrightunsigned(t, 8))
     df = df.select(*keys, F.sort_array(F.array_distinct(F.transform("t", rank))).alias("s"))

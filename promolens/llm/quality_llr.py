@@ -60,7 +60,8 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, alpha: float
     rows = (docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
             .join(F.broadcast(good), "_id", "left")               # bounded by max_target
             .select("_good", _word_hashes(words_of(F.col("_text"))).alias("_h"))
-            .select("_good", F.explode(F.concat("_h", paired(F.col("_h"), 1))).alias("_g"))
+            # outer: the filter that a plain explode brings along would evaluate the words once more
+            .select("_good", F.explode_outer(F.concat("_h", paired(F.col("_h"), 1))).alias("_g")).where("_g IS NOT NULL")
             .select("_good", _bucket(F.col("_g"), buckets).alias("_b")))
     counts = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("r"), F.count("_good").alias("t")).collect()   # <= buckets rows
     raw, target = [alpha] * buckets, [alpha] * buckets

@@ -69,7 +69,9 @@ def _windows(df: DataFrame, own: list[str], lengths: list[int], words: str) -> D
     for m in extra:
         base = max(s for s in spans if s < m)
         df = df.select("*", paired(F.col(f"_{base}"), m - base).alias(f"_{m}"))
-    parts = [df.select(*own, F.lit(m).alias("len"), F.posexplode(f"_{m}").alias("at", "h")) for m in sorted(lengths, reverse=True)]
+    # outer: the filter that a plain explode brings along would copy the chain of expressions into itself
+    parts = [df.select(*own, F.lit(m).alias("len"), F.posexplode_outer(f"_{m}").alias("at", "h")).where("h IS NOT NULL")
+             for m in sorted(lengths, reverse=True)]
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
