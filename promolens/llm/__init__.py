@@ -7,12 +7,13 @@ from collections.abc import Callable
 
 
 def queries() -> dict[str, Callable]:
-    from promolens.llm import hmm_lm, importance, jaccard_join, line_join, quality_llr, sentencepiece_dropout, template_decon, warc_chain
+    from promolens.llm import hmm_lm, importance, jaccard_join, line_join, quality_llr, sentencepiece_dropout, template_decon, url_rules, warc_chain
     return {
         "op6_hmm_scores": hmm_lm.op6_hmm_scores,
         "op7_template_leaks": template_decon.op7_template_leaks,
         "op8_line_join": line_join.op8_line_join,
         "op5_ngram_jaccard": jaccard_join.op5_ngram_jaccard,
+        "op1_url_rules": url_rules.op1_url_rules,
         "op2_importance_resampling": importance.op2_importance_resampling,
         "op4_quality_llr": quality_llr.op4_quality_llr,
         "op9_warc_chain": warc_chain.op9_warc_chain,
