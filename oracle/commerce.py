@@ -296,6 +296,14 @@ SELECT a.id, a.online_sales_id, a.product_id, a.qty, o.customer_id, b.name AS pr
   d.review, d.rating
 FROM online_sales_details a JOIN online_sales o ON o.id = a.online_sales_id
 LEFT JOIN products b ON a.product_id = b.id LEFT JOIN product_media c ON c.product_id = b.id
+LEFT JOIN reviews d ON a.online_sales_id = d.online_sales_id
+WHERE o.status_trans = 'Transaksi Selesai' AND (c.type = 'image' OR c.type IS NULL)
+  AND (c.sorting = 1 OR c.sorting IS NULL)""",
+    "q_review_lines_product": W() + """
+SELECT a.id, a.online_sales_id, a.product_id, a.qty, o.customer_id, b.name AS product_name, b.sku, c.path,
+  d.review, d.rating
+FROM online_sales_details a JOIN online_sales o ON o.id = a.online_sales_id
+LEFT JOIN products b ON a.product_id = b.id LEFT JOIN product_media c ON c.product_id = b.id
 LEFT JOIN reviews d ON a.online_sales_id = d.online_sales_id AND a.product_id = d.product_id
 WHERE o.status_trans = 'Transaksi Selesai' AND (c.type = 'image' OR c.type IS NULL)
   AND (c.sorting = 1 OR c.sorting IS NULL)""",
@@ -369,6 +377,13 @@ SELECT v.id, v.customer_id, v.reward_id, v.voucer_code, v.start_date, v.end_date
   CASE WHEN u.customer_id IS NOT NULL THEN 0 ELSE v.is_active END AS is_active, v.is_redeem
 FROM customer_voucers v LEFT JOIN (
   SELECT DISTINCT customer_id, voucer_code FROM online_sales WHERE is_cart = 0 AND voucer_code IS NOT NULL) u
+  ON u.customer_id = v.customer_id AND u.voucer_code = v.voucer_code""",
+    "led_member_voucher_used": W() + """
+SELECT v.id, v.customer_id, v.voucer_code, CASE WHEN u.customer_id IS NOT NULL THEN 0 ELSE v.is_active END AS is_active,
+  v.percent_discount, v.max_amount
+FROM voucer_members v LEFT JOIN (
+  SELECT DISTINCT customer_id, 'VM' || CAST(customer_id % 10 AS VARCHAR) AS voucer_code
+  FROM online_sales WHERE is_cart = 0 AND id % 3 = 1) u
   ON u.customer_id = v.customer_id AND u.voucer_code = v.voucer_code""",
     "q_pos_customers": W() + """
 SELECT a.id, a.code, a.name, a.customer_class_id, b.percent_discount

@@ -64,12 +64,12 @@ def growth_top_sql(src: str, keys: str, asc: bool = True) -> str:
     return f"""SELECT {keys}, {r2('tnetsales')} AS tnetsales, {r2('netsales_x')} AS netsales_x,
       {growth('tnetsales', 'netsales_x')} AS growth
     FROM (SELECT {keys}, SUM(tnetsales) AS tnetsales, SUM(netsales_x) AS netsales_x FROM {src} GROUP BY {keys}) g
-    ORDER BY growth {d}, {keys} LIMIT 5"""
+    ORDER BY {ratio('g.tnetsales - g.netsales_x', 'g.netsales_x', 100.0)} {d}, {keys} LIMIT 5"""
 
 
 def share_sql(src: str, keys: str) -> str:
     return f"""SELECT {keys}, {r2('tnetsales')} AS tnetsales,
-      {r2(ratio('tnetsales', 'SUM(tnetsales) OVER ()', 100.0))} AS share
+      {ratio('g.tnetsales', 'SUM(g.tnetsales) OVER ()', 100.0)} AS share
     FROM (SELECT {keys}, SUM(tnetsales) AS tnetsales FROM {src} GROUP BY {keys}) g
     ORDER BY {keys} LIMIT 5"""
 
@@ -80,7 +80,7 @@ def store_sql(src: str, best: bool) -> str:
       {growth('tnetsales', 'netsales_x')} AS growth
     FROM (SELECT kode_store, nama_site, SUM(tnetsales) AS tnetsales, SUM(netsales_x) AS netsales_x
           FROM {src} GROUP BY kode_store, nama_site) g
-    ORDER BY growth {d}, kode_store ASC LIMIT 5"""
+    ORDER BY {ratio('g.tnetsales - g.netsales_x', 'g.netsales_x', 100.0)} {d}, kode_store ASC LIMIT 5"""
 
 
 DETAIL_KEYS = "nama_site, sku, merdiv_y, merdivdesc_y, mercat_y, mercatdesc_y, brand_y, sku_desc_y, principle_y, tag"
@@ -129,7 +129,16 @@ SQL = {
     + present_scope("scope"),
     "q_promo_scope_division": with_(*BASE, scope(extra="AND substr(f.mercat_y, 1, 1) = 'S'")) + present_scope("scope"),
     "q_kpi": with_(*BASE, scope()) + kpi_sql("scope"),
-    "q_kpi_store": with_(*BASE, scope(extra=f"AND f.kode_store = '{STORE}'")) + kpi_sql("scope", "kode_store"),
+    "q_kpi_store": with_(*BASE, scope(extra=f"AND f.kode_store = '{STORE}'")) + f"SELECT '{STORE}' AS kode_store, k.* FROM ({kpi_sql('scope')}) k",
+    "q_kpi_empty_store": with_(*BASE, scope(extra="AND f.kode_store = 'no such store'"))
+    + f"SELECT 'no such store' AS kode_store, k.* FROM ({kpi_sql('scope')}) k",
+    "q_kpi_dedupe": with_(*BASE, scope(), f"""ranked AS (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY sku, bdate_y ORDER BY kode_store, nama_site, rulecode, ruletype, tag, sku_desc_y, merdiv_y, merdivdesc_y, mercat_y, mercatdesc_y, brand_y, principle_y, sku) AS rn FROM scope)""",
+        "once AS (SELECT * REPLACE (" + ", ".join(f"CASE WHEN rn = 1 THEN {m} ELSE 0 END AS {m}" for m in FACT_MEASURES if m.endswith("_x"))
+        + ") FROM ranked)") + kpi_sql("once"),
+    "q_growth_bars": with_(*BASE, scope()) + f"""SELECT rulecode, ruletype, {growth('tnetsales', 'netsales_x')} AS growth,
+      CASE WHEN {ratio('tnetsales - netsales_x', 'netsales_x', 100.0)} <= 0 THEN 'red' ELSE 'green' END AS color
+    FROM (SELECT rulecode, ruletype, SUM(tnetsales) AS tnetsales, SUM(netsales_x) AS netsales_x FROM scope GROUP BY rulecode, ruletype) g""",
     "q_kpi_by_store": with_(*BASE, scope()) + kpi_sql("scope", "kode_store"),
     "q_daily_during": with_(*BASE, scope()) + daily_sql("scope"),
     "q_daily_before": with_(*BASE, scope(window=PRE)) + daily_sql("scope"),

@@ -49,6 +49,10 @@ SQL = {
     "cln_min_len": _profile("length(nama_site) >= 3"),
     "cln_numeric_code": _profile("NOT COALESCE(regexp_matches(mercat, '^[0-9]+$'), false)"),
     "cln_numeric_measure": _profile(" AND ".join(f"{num(c)} IS NOT NULL" for c in ("qty", "cogs", "netsales", "profit"))),
+    "cln_rejects": with_(FEED) + " UNION ALL ".join(
+        f"""SELECT '{c}' AS measure, COUNT(*) FILTER (WHERE {c} IS NOT NULL AND {num(c)} IS NULL) AS not_a_number,
+        COUNT(*) FILTER (WHERE abs({num(c)}) > 999999999999.0) AS too_large, COUNT(*) FILTER (WHERE {num(c)} <= 0) AS not_positive FROM feed"""
+        for c in ("qty", "cogs", "netsales", "profit", "tqty", "tamt")),
     "cln_positive": _profile(" AND ".join(f"{num(c)} > 0" for c in ("qty", "cogs", "netsales", "profit", "tqty", "tamt"))),
     "cln_inactive": _profile("NOT COALESCE(contains(nama_site, 'NON AKTIF'), false)"),
     "cln_site_suffix": with_(FEED) + "SELECT DISTINCT nama_site, right(nama_site, 3) AS site_code FROM feed WHERE nama_site IS NOT NULL",

@@ -23,6 +23,17 @@ def measure(c: ColumnOrName) -> Column:
     return _c(c).cast(MEASURE_TYPE)
 
 
+# the largest absolute value that a measure of DECIMAL(18,6) holds, as a double
+MEASURE_LIMIT = 999_999_999_999.0
+
+
+def fits_measure(c: ColumnOrName) -> Column:
+    """Whether a number can be stored as a measure (NULL: no).  Rows with a
+    measure that does not fit are rejected and counted (``clean.rejects``), so
+    one absurd amount does not end the build."""
+    return F.coalesce(F.abs(_c(c).cast("double")) <= F.lit(MEASURE_LIMIT), F.lit(False))
+
+
 def round2(c: ColumnOrName) -> Column:
     """Round half-up to two decimals and return a double.
 
@@ -38,10 +49,15 @@ def safe_ratio(num: ColumnOrName, den: ColumnOrName, scale: float = 1.0) -> Colu
     return F.when(d == 0, F.lit(0.0)).otherwise(n / d * F.lit(scale))
 
 
+def growth_ratio(new: ColumnOrName, old: ColumnOrName) -> Column:
+    """``(new - old) / old * 100`` unrounded; 0 when the base is 0 (ranking)."""
+    n, o = _c(new), _c(old)
+    return safe_ratio(n - o, o, 100.0)
+
+
 def growth_pct(new: ColumnOrName, old: ColumnOrName) -> Column:
     """``(new - old) / old * 100``; 0 when the base is 0 (PRJ_GROWTH)."""
-    n, o = _c(new), _c(old)
-    return round2(safe_ratio(n - o, o, 100.0))
+    return round2(growth_ratio(new, old))
 
 
 def margin_pct(profit: ColumnOrName, sales: ColumnOrName) -> Column:

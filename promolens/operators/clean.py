@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promolens.functions.dates import parse_feed_date
-from promolens.functions.numeric import measure, promo_share
+from promolens.functions.numeric import fits_measure, measure, promo_share
 from promolens.functions.text import DATE_SENTINELS, is_all_digits, site_suffix, to_number
 from promolens.operators.aggregate import sum_by
 from promolens.schemas import PROMO_KEYS, PROMO_MEASURES, PROMO_POSITIVE, SALES_KEYS, SALES_MEASURES
@@ -76,8 +76,9 @@ def base_filter(drop_inactive: bool = False) -> Column:
 
 
 def _parsed(df: DataFrame, measures: list[str]) -> DataFrame:
-    """Parse each measure text once into ``_<name>``; the predicates and the
-    casts below reuse the parsed column instead of re-parsing the text."""
+    """Parse each measure text into ``_<name>``, so that the predicates and the
+    casts below share one definition.  (Catalyst pushes the filter below this
+    projection, so a text that passes is parsed in the filter and once more here.)"""
     return df.withColumns({f"_{m}": to_number(m) for m in measures})
 
 
@@ -86,7 +87,7 @@ def clean_sales_rows(feed: DataFrame, drop_inactive: bool = False) -> DataFrame:
     df = _parsed(lower_columns(feed), SALES_MEASURES)
     cond = base_filter(drop_inactive)
     for m in SALES_MEASURES:                                        # CLN_NUMERIC_MEASURE
-        cond = cond & F.col(f"_{m}").isNotNull()
+        cond = cond & fits_measure(f"_{m}")
     return (df.where(cond)
             .withColumns({
                 "nama_site": site_suffix("nama_site"),          # CLN_SITE_SUFFIX
@@ -101,7 +102,9 @@ def clean_promo_rows(feed: DataFrame, drop_inactive: bool = False) -> DataFrame:
     df = _parsed(lower_columns(feed), PROMO_POSITIVE)
     cond = base_filter(drop_inactive)
     for m in PROMO_POSITIVE:                                        # CLN_NUMERIC_MEASURE + CLN_POSITIVE
-        cond = cond & (F.col(f"_{m}") > 0)
+        cond = cond & (F.col(f"_{m}") > 0) & fits_measure(f"_{m}")
+    for m in ("netsales", "cogs", "profit"):                        # a tiny quantity can blow up a share
+        cond = cond & fits_measure(F.try_divide(F.col(f"_{m}"), F.col("_qty")) * F.col("_tqty"))
     q, t = F.col("_qty"), F.col("_tqty")
     return (df.where(cond)
             .withColumns({
@@ -116,6 +119,21 @@ def clean_promo_rows(feed: DataFrame, drop_inactive: bool = False) -> DataFrame:
             .drop(*[f"_{m}" for m in PROMO_POSITIVE]))
 
 
+def rejects(feed: DataFrame) -> DataFrame:
+    """For each measure, the feed rows that the cleaning chain rejects because of
+    it: text that is no number, numbers too large for a measure, and (for the
+    promotion side) numbers that are not positive.  One pass over the feed."""
+    df = _parsed(lower_columns(feed), PROMO_POSITIVE)
+    counts = []
+    for m in PROMO_POSITIVE:
+        v = F.col(f"_{m}")
+        counts += [F.count_if(F.col(m).isNotNull() & v.isNull()).alias(f"{m}_0"),
+                   F.count_if(v.isNotNull() & ~fits_measure(v)).alias(f"{m}_1"), F.count_if(v <= 0).alias(f"{m}_2")]
+    rows = ", ".join(f"'{m}', {m}_0, {m}_1, {m}_2" for m in PROMO_POSITIVE)
+    return df.agg(*counts).selectExpr(
+        f"stack({len(PROMO_POSITIVE)}, {rows}) AS (measure, not_a_number, too_large, not_positive)")
+
+
 def clean_sales(feed: DataFrame, drop_inactive: bool = False) -> DataFrame:
     """Q_CLEAN_SALES: last-year measures per site/store/day/hierarchy/article
     (AGG_LY_ARTICLE, 11 keys; rows with a NULL key are dropped)."""

@@ -48,25 +48,18 @@ def report_sales_view(spark: SparkSession, sf: str, header_filter=None) -> DataF
     ``header_filter`` (a report's date range or status) is applied to the
     order headers *before* their lines are joined and summed, so a one-month
     report aggregates one month of lines, not the whole history."""
-    def orders(details, key, headers, status_col, sales_type):
-        h = headers.select("id", "code", "customer_id", "created_at", F.col(status_col).alias("status"))
-        if header_filter is not None:
-            h = h.where(header_filter)
-        lines = details.select(F.col(key).alias("id"), "qty", "sell_price", "cogs")
-        return (h.join(lines, "id")
-                .groupBy("id", "code", "customer_id", "created_at", "status")
-                .agg(F.sum(C.line_amount("qty", "sell_price")).alias("total"),
-                     F.sum(C.line_amount("qty", "cogs")).alias("total_cogs"))
-                .withColumn("sales_type", F.lit(sales_type)))
-
-    pos = orders(C.sales_details(spark, sf), "sales_id", C.sales(spark, sf), "status", C.POS)
-    onl = orders(C.online_sales_details(spark, sf), "online_sales_id",
-                 C.online_sales(spark, sf).where(F.col("is_cart") == 0), "status_trans", C.ONLINE)
+    h = C.placed_orders(spark, sf)
+    if header_filter is not None:
+        h = h.where(header_filter)
+    lines = C.order_lines(spark, sf, cogs=True).select(F.col("order_id").alias("id"), "qty", "sell_price", "cogs")
+    orders = (h.join(lines, "id").groupBy("id", "code", "customer_id", "created_at", "status", "sales_type")
+              .agg(F.sum(C.line_amount("qty", "sell_price")).alias("total"),
+                   F.sum(C.line_amount("qty", "cogs")).alias("total_cogs")))
     cust = C.customers(spark, sf).select(F.col("id").alias("customer_id"),
                                          F.col("name").alias("customer_name"), "customer_class_id")
     cls = C.customer_classes(spark, sf).select(F.col("id").alias("customer_class_id"),
                                                F.col("name").alias("customer_class_name"))
-    return (pos.unionByName(onl).join(cust, "customer_id").join(cls, "customer_class_id")
+    return (orders.join(cust, "customer_id").join(C.lookup(cls), "customer_class_id")
             .withColumn("total_profit", F.col("total") - F.col("total_cogs"))
             .drop("customer_class_id"))
 
@@ -74,18 +67,14 @@ def report_sales_view(spark: SparkSession, sf: str, header_filter=None) -> DataF
 def report_product_view(spark: SparkSession, sf: str, header_filter=None) -> DataFrame:
     """``view_report_product``: sold quantity per order and product (header
     filter applied before the lines are summed)."""
-    def lines(details, key, headers, sales_type):
-        h = headers.select("id", "code", "created_at")
-        if header_filter is not None:
-            h = h.where(header_filter)
-        d = details.select(F.col(key).alias("id"), "product_id", "qty")
-        return (h.join(d, "id").groupBy("id", "code", "created_at", "product_id")
-                .agg(F.sum("qty").alias("total_qty")).withColumn("sales_type", F.lit(sales_type)))
-    pos = lines(C.sales_details(spark, sf), "sales_id", C.sales(spark, sf), C.POS)
-    onl = lines(C.online_sales_details(spark, sf), "online_sales_id",
-                C.online_sales(spark, sf).where(F.col("is_cart") == 0), C.ONLINE)
+    h = C.placed_orders(spark, sf).select("id", "code", "customer_id", "created_at", "status", "sales_type")
+    if header_filter is not None:
+        h = h.where(header_filter)
+    lines = C.order_lines(spark, sf).select(F.col("order_id").alias("id"), "product_id", "qty")
+    sold = (h.join(lines, "id").groupBy("id", "code", "created_at", "product_id", "sales_type")
+            .agg(F.sum("qty").alias("total_qty")))
     prod = C.products(spark, sf).select(F.col("id").alias("product_id"), F.col("name").alias("product_name"))
-    return pos.unionByName(onl).join(prod, "product_id")
+    return sold.join(prod, "product_id")
 
 
 def _optional_eq(df: DataFrame, col: str, value) -> DataFrame:
@@ -96,37 +85,36 @@ def _optional_eq(df: DataFrame, col: str, value) -> DataFrame:
     return df.where(F.col(col) == F.lit(value))
 
 
+def _with_footer(rows: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
+    """Each row (``keys`` identify it) and one footer row whose sums add every
+    row truncated to an integer first (AGG_GRAND_TOTAL), by one GROUPING SETS
+    pass.  A marked row of zeros stands for "no rows", so the footer is always there."""
+    none = rows.sparkSession.range(1).select(
+        *[F.lit(None).cast(rows.schema[k].dataType).alias(k) for k in keys],
+        *[F.lit(0).cast(rows.schema[c].dataType).alias(c) for c in sums], F.lit(0).alias("_row"))
+    u = rows.select(*keys, *sums, F.lit(1).alias("_row")).unionByName(none)
+    g = u.groupingSets([keys, []], *keys).agg(
+        *[F.sum(c).alias(c) for c in sums], *[F.sum(F.col(c).cast("bigint")).alias(f"_{c}") for c in sums],
+        F.max("_row").alias("_row"), F.grouping(keys[0]).alias("_footer"))
+    footer = F.col("_footer") == 1
+    return g.where(footer | (F.col("_row") == 1)).select(
+        F.when(footer, F.lit("total")).otherwise(F.lit("detail")).alias("row_type"), *[k for k in keys if k != "id"],
+        *[F.when(footer, F.col(f"_{c}").cast("double")).otherwise(round2(c)).alias(c) for c in sums])
+
+
 def report_sales(view: DataFrame, start, end, customer_id=None, sales_type=None) -> DataFrame:
-    """Q_REPORT_SALES: filtered order rows plus the footer row whose sums add
-    each row truncated to an integer first (AGG_GRAND_TOTAL)."""
+    """Q_REPORT_SALES: filtered order rows plus the footer row."""
     v = view.where(ts_day_range("created_at", start, end))                  # FLT_RANGE
     v = _optional_eq(_optional_eq(v, "customer_id", customer_id), "sales_type", sales_type)
-    detail = v.select(F.lit("detail").alias("row_type"), "code", "customer_id", "customer_name",
-                      "customer_class_name", "created_at", "sales_type", "status",
-                      round2("total").alias("total"), round2("total_cogs").alias("total_cogs"),
-                      round2("total_profit").alias("total_profit"))
-    footer = v.agg(*[F.coalesce(F.sum(F.col(c).cast("bigint")), F.lit(0)).cast("double").alias(c)
-                     for c in ("total", "total_cogs", "total_profit")])
-    footer = footer.select(F.lit("total").alias("row_type"), *[F.lit(None).cast(t).alias(c) for c, t in (
-        ("code", "string"), ("customer_id", "bigint"), ("customer_name", "string"),
-        ("customer_class_name", "string"), ("created_at", "timestamp_ntz"), ("sales_type", "string"),
-        ("status", "string"))], "total", "total_cogs", "total_profit")
-    return detail.unionByName(footer)
+    return _with_footer(v, ["id", "code", "customer_id", "customer_name", "customer_class_name", "created_at",
+                            "sales_type", "status"], ["total", "total_cogs", "total_profit"])
 
 
 def report_product(view: DataFrame, start, end, product_id=None, sales_type=None) -> DataFrame:
     """Q_REPORT_PRODUCT: sold quantities with a truncated-sum footer."""
     v = view.where(ts_day_range("created_at", start, end))
     v = _optional_eq(_optional_eq(v, "product_id", product_id), "sales_type", sales_type)
-    detail = v.select(F.lit("detail").alias("row_type"), "code", "created_at", "product_id",
-                      "product_name", "sales_type", round2("total_qty").alias("total_qty"))
-    footer = v.agg(F.coalesce(F.sum(F.col("total_qty").cast("bigint")), F.lit(0)).cast("double").alias("total_qty"))
-    footer = footer.select(F.lit("total").alias("row_type"), F.lit(None).cast("string").alias("code"),
-                           F.lit(None).cast("timestamp_ntz").alias("created_at"),
-                           F.lit(None).cast("bigint").alias("product_id"),
-                           F.lit(None).cast("string").alias("product_name"),
-                           F.lit(None).cast("string").alias("sales_type"), "total_qty")
-    return detail.unionByName(footer)
+    return _with_footer(v, ["id", "code", "created_at", "product_id", "product_name", "sales_type"], ["total_qty"])
 
 
 def _window(start=REPORT_START, end=REPORT_END):
@@ -318,8 +306,6 @@ def q_catalog(spark, sf):
     FLT_NULL_OR): products without media stay with a NULL path; products
     whose media are all videos or second images drop out."""
     p = C.products(spark, sf).where(F.col("is_disabled") == 0)
-    cat = C.categories(spark, sf).select(F.col("id").alias("category_id"))
-    p = p.join(cat, "category_id", "left").select(*_PRODUCT_COLS)
     return _with_media(p, C.product_media(spark, sf), True)
 
 
@@ -379,7 +365,7 @@ def q_product_list(spark, sf):
     p = C.products(spark, sf)
     cat = C.categories(spark, sf).select(F.col("id").alias("category_id"), F.col("name").alias("category_name"))
     ty = C.types(spark, sf).select(F.col("id").alias("type_id"), F.col("name").alias("type_name"))
-    return p.join(cat, "category_id").join(ty, "type_id").select(*_PRODUCT_COLS, "category_name", "type_name")
+    return p.join(C.lookup(cat), "category_id").join(C.lookup(ty), "type_id").select(*_PRODUCT_COLS, "category_name", "type_name")
 
 
 def q_popular(spark, sf):
@@ -408,21 +394,23 @@ def q_ratings(spark, sf):
             .select("product_id", F.coalesce(txt, F.lit("4.0")).alias("total_rating")))
 
 
-def q_review_lines(spark, sf):
+def q_review_lines(spark, sf, same_product: bool = False):
     """Q_REVIEW_LINES: lines of completed online orders with product, first
-    image and review.  Reviews are matched on order *and* product: matching
-    on the order alone (as the source did) pairs every line with every review
-    of its order."""
+    image and review.  Reviews are matched on the order, as in the source
+    (SURVEY §2.12 #22): a line meets every review of its order, which is bounded
+    by the lines of one order.  ``same_product`` also matches the product."""
     o = C.online_sales(spark, sf).where(F.col("status_trans") == C.DONE).select(
         F.col("id").alias("online_sales_id"), "customer_id")
     a = C.online_sales_details(spark, sf).join(o, "online_sales_id").alias("a")
     b = C.products(spark, sf).alias("b")
     m = C.product_media(spark, sf).alias("c")
     rv = C.reviews(spark, sf).alias("d")
+    match = F.col("a.online_sales_id") == F.col("d.online_sales_id")
+    if same_product:
+        match = match & (F.col("a.product_id") == F.col("d.product_id"))
     j = (a.join(b, F.col("a.product_id") == F.col("b.id"), "left")
          .join(m, F.col("c.product_id") == F.col("b.id"), "left")
-         .join(rv, (F.col("a.online_sales_id") == F.col("d.online_sales_id"))
-               & (F.col("a.product_id") == F.col("d.product_id")), "left")
+         .join(rv, match, "left")
          .where(_image_or_none("c")))
     return j.select("a.id", "a.online_sales_id", "a.product_id", "a.qty", "a.customer_id",
                     F.col("b.name").alias("product_name"), "b.sku", "c.path", "d.review", "d.rating")
@@ -448,7 +436,7 @@ def q_points(spark, sf):
     pts = C.customer_points(spark, sf).groupBy(F.col("customer_id").alias("id")).agg(F.sum("point").alias("total_point"))
     cls = C.customer_classes(spark, sf).select(F.col("id").alias("customer_class_id"),
                                                F.col("name").alias("customer_class_name"))
-    return (c.join(pts, "id").join(cls, "customer_class_id")
+    return (c.join(pts, "id").join(C.lookup(cls), "customer_class_id")
             .select("id", F.col("name").alias("customer_name"), "customer_class_name", "total_point"))
 
 
@@ -465,8 +453,8 @@ def q_point_history(spark, sf, customer_id=None):
 def q_redeemable(spark, sf, today: dt.date = C.TODAY):
     """Q_REDEEMABLE: rewards whose promotion and customer voucher are both
     valid today, active and not yet redeemed (FLT_ACTIVE_ON on two tables)."""
-    a = C.promotions(spark, sf).alias("a")
-    b = C.rewards(spark, sf).alias("b")
+    a = C.lookup(C.promotions(spark, sf)).alias("a")
+    b = C.lookup(C.rewards(spark, sf)).alias("b")
     c = C.customer_voucers(spark, sf).alias("c")
     t = F.lit(today)
     j = (a.join(b, F.col("a.id") == F.col("b.promotion_id"))
@@ -482,7 +470,7 @@ def q_redeemable(spark, sf, today: dt.date = C.TODAY):
 def q_usable_vouchers(spark, sf):
     """Q_USABLE_VOUCHERS: active redeemed vouchers with their reward."""
     a = C.customer_voucers(spark, sf).where((F.col("is_active") == 1) & (F.col("is_redeem") == 1)).alias("a")
-    b = C.rewards(spark, sf).alias("b")
+    b = C.lookup(C.rewards(spark, sf)).alias("b")
     return a.join(b, F.col("a.reward_id") == F.col("b.id")).select(
         "a.id", "a.customer_id", "a.reward_id", "a.voucer_code", F.col("b.name").alias("reward_name"),
         "b.value", "b.type")
@@ -497,7 +485,7 @@ def q_voucher_list(spark, sf):
     """Q_VOUCHER_LIST: customer vouchers with customer and reward names."""
     a = C.customer_voucers(spark, sf).alias("a")
     b = C.customers(spark, sf).alias("b")
-    c = C.rewards(spark, sf).alias("c")
+    c = C.lookup(C.rewards(spark, sf)).alias("c")
     return (a.join(b, F.col("a.customer_id") == F.col("b.id")).join(c, F.col("c.id") == F.col("a.reward_id"))
             .select("a.id", "a.customer_id", "a.reward_id", "a.voucer_code", "a.is_active", "a.is_redeem",
                     F.col("b.name").alias("customer_name"), F.col("c.name").alias("reward_name")))
@@ -535,7 +523,7 @@ def q_receipts(spark, sf):
 
 def q_customer_list(spark, sf):
     a = C.customers(spark, sf).alias("a")
-    b = C.customer_classes(spark, sf).alias("b")
+    b = C.lookup(C.customer_classes(spark, sf)).alias("b")
     return a.join(b, F.col("a.customer_class_id") == F.col("b.id")).select(
         "a.id", "a.code", "a.name", F.col("b.name").alias("customer_class_name"), "a.phone1",
         "a.bank_number", "a.bank_name", "b.percent_discount")
@@ -619,21 +607,38 @@ def led_stock(spark, sf):
     return C.stock_movements(spark, sf)
 
 
-def led_voucher_used(spark, sf):
-    """LED_VOUCHER_USED: a customer voucher used in a placed online order
-    becomes inactive for that customer (left join on customer and code)."""
-    used = (C.online_sales(spark, sf).where((F.col("is_cart") == 0) & F.col("voucer_code").isNotNull())
+def q_review_lines_product(spark, sf):
+    """Q_REVIEW_LINES with reviews matched on order and product."""
+    return q_review_lines(spark, sf, same_product=True)
+
+
+def _deactivate_used(vouchers: DataFrame, orders: DataFrame) -> DataFrame:
+    """A voucher whose code was used in a placed online order becomes inactive
+    for that customer (left join on customer and code)."""
+    used = (orders.where((F.col("is_cart") == 0) & F.col("voucer_code").isNotNull())
             .select("customer_id", "voucer_code").distinct().withColumn("_used", F.lit(True)))
-    v = C.customer_voucers(spark, sf)
-    return (v.join(used, ["customer_id", "voucer_code"], "left")
+    return (vouchers.join(used, ["customer_id", "voucer_code"], "left")
             .withColumn("is_active", F.when(F.col("_used"), F.lit(0)).otherwise(F.col("is_active")))
             .drop("_used"))
 
 
+def led_voucher_used(spark, sf):
+    """LED_VOUCHER_USED: the customers' vouchers after the placed orders."""
+    return _deactivate_used(C.customer_voucers(spark, sf), C.online_sales(spark, sf))
+
+
+def led_member_voucher_used(spark, sf):
+    """LED_VOUCHER_USED, member part.  The fixture's orders carry reward codes
+    only, so every third order of a member is read as one that used the member code."""
+    orders = C.online_sales(spark, sf).withColumn("voucer_code", F.when(
+        F.col("id") % 3 == 1, F.concat(F.lit("VM"), (F.col("customer_id") % 10).cast("string"))))
+    return _deactivate_used(C.voucer_members(spark, sf), orders)
+
+
 def q_pos_customers(spark, sf):
     """Customer list of the POS screen with the class discount."""
     a = C.customers(spark, sf).alias("a")
-    b = C.customer_classes(spark, sf).alias("b")
+    b = C.lookup(C.customer_classes(spark, sf)).alias("b")
     return a.join(b, F.col("a.customer_class_id") == F.col("b.id")).select(
         "a.id", "a.code", "a.name", "a.customer_class_id", "b.percent_discount")
 
@@ -647,5 +652,5 @@ NAMES = [
     "q_products_of_type", "q_points", "q_point_history", "q_redeemable", "q_usable_vouchers",
     "q_member_vouchers", "q_voucher_list", "q_member_voucher_list", "q_reward_list", "q_stock_card",
     "q_receipts", "q_customer_list", "q_customer_places", "q_dropshippers", "q_customer_page",
-    "q_customer_counts", "led_points", "led_stock", "led_voucher_used", "q_pos_customers",
+    "q_customer_counts", "led_points", "led_stock", "led_voucher_used", "led_member_voucher_used", "q_review_lines_product", "q_pos_customers",
 ]

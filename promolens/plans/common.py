@@ -3,7 +3,6 @@ presentation of decimal measures."""
 
 from __future__ import annotations
 
-import os
 import threading
 from collections.abc import Iterable
 
@@ -17,6 +16,7 @@ from promolens.operators.yoy import REFERENCE_GRAIN, Grain, article_facts_from_r
 from promolens.session import scratch_path, session_key
 from promolens.sources.files import read_clean, write_facts
 from promolens.sources.fixtures import raw_feed
+from promolens.sources.tables import table_path
 
 
 def present(df: DataFrame, cols: Iterable[str] | None = None) -> DataFrame:
@@ -36,17 +36,34 @@ def facts_from_tables(spark: SparkSession, sf_dir: str, grain: Grain = REFERENCE
 
 _FACT_TABLES: dict[tuple, str] = {}
 _LOCK = threading.Lock()
+FEED_TABLES = ("lineitem", "orders", "part", "supplier")
+
+
+def inputs_version(spark: SparkSession, sf_dir: str, tables: Iterable[str] = FEED_TABLES) -> tuple | None:
+    """Name, length and modification time of every file of the input tables, from
+    the store's listing; None where it cannot be asked (nothing is remembered then)."""
+    jvm = getattr(spark, "_jvm", None)
+    if jvm is None:
+        return None
+    found = []
+    for t in tables:
+        path = jvm.org.apache.hadoop.fs.Path(table_path(sf_dir, t))
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+        found += [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files]
+    return tuple(sorted(found))
 
 
 def facts_table(spark: SparkSession, sf_dir: str, grain: Grain = REFERENCE_GRAIN) -> str:
     """Path of the article fact table built from ``sf_dir`` (the nightly
-    build's output), written once per session into the shared checkpoint
-    folder.  Dashboard queries read it back with partition pruning; being a
+    build's output), written into the shared checkpoint folder once for each
+    version of the input files; a table that is rewritten or gains a file is
+    built again.  Dashboard queries read it back with partition pruning; being a
     written table it also cuts the lineage, so a lost executor costs a re-read,
     not a re-run of the whole build."""
-    key = (session_key(spark), os.path.abspath(sf_dir), grain)
+    version = inputs_version(spark, sf_dir)
+    key = (session_key(spark), version, grain)
     with _LOCK:
-        if key not in _FACT_TABLES:
+        if version is None or key not in _FACT_TABLES:
             path = scratch_path(spark, "facts")
             write_facts(facts_from_tables(spark, sf_dir, grain), path)
             _FACT_TABLES[key] = path

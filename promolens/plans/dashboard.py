@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from promolens.functions.dates import chart_day
 from promolens.functions.numeric import (
-    growth_pct, margin_pct, millions, round2, safe_ratio, traffic_light, unit_avg,
+    growth_pct, growth_ratio, margin_pct, millions, round2, safe_ratio, sign_flag, traffic_light, unit_avg,
 )
 from promolens.operators.aggregate import sum_all, sum_by
 from promolens.operators.scope import PromoScope, apply_scope
@@ -62,10 +62,23 @@ def kpi(scoped: DataFrame) -> DataFrame:
 
 
 def kpi_by_store(scoped: DataFrame) -> DataFrame:
-    """Q_KPI per store (AGG_BY_STORE); with a store filter it is the one-store KPI."""
+    """Q_KPI per store (AGG_BY_STORE)."""
     return _kpi_columns(sum_by(scoped, ["kode_store"], KPI_MEASURES), ["kode_store"])
 
 
+def kpi_of_store(scoped: DataFrame, store: str) -> DataFrame:
+    """Q_KPI of one store: always one row, zeros for a store without facts."""
+    return kpi(scoped.where(F.col("kode_store") == F.lit(store))).select(F.lit(store).alias("kode_store"), "*")
+
+
+def growth_bars(scoped: DataFrame) -> DataFrame:
+    """Growth per rule type with the bar colour (PRJ_SIGN_FLAG: zero and below
+    are red, judged on the exact growth)."""
+    g = sum_by(scoped, ["rulecode", "ruletype"], ["tnetsales", "netsales_x"])
+    return g.select("rulecode", "ruletype", growth_pct("tnetsales", "netsales_x").alias("growth"),
+                    sign_flag(growth_ratio("tnetsales", "netsales_x")).alias("color"))
+
+
 def daily(scoped: DataFrame, margin_scale: float = 100.0) -> DataFrame:
     """Q_DAILY_DURING / Q_DAILY_BEFORE: per business day (AGG_DAILY) quantity,
     unit cost, unit price (PRJ_UNIT_AVG, always guarded) and margin.
@@ -85,25 +98,26 @@ def growth_top(scoped: DataFrame, keys: list[str], n: int = 5, ascending: bool =
     """Q_TYPE_GROWTH / Q_CATEGORY_GROWTH_TOP: sales growth per group, first n.
 
     The source sorts ascending and takes five, so its "top" charts show the
-    lowest growth; ``ascending=True`` keeps that.  Ties are broken by the keys.
+    lowest growth; ``ascending=True`` keeps that.  The order is by the exact
+    growth (rounded only for display); ties are broken by the keys.
     """
     g = sum_by(scoped, keys, ["tnetsales", "netsales_x"])
-    g = g.select(*keys, round2("tnetsales").alias("tnetsales"), round2("netsales_x").alias("netsales_x"),
-                 growth_pct("tnetsales", "netsales_x").alias("growth"))
-    order = F.col("growth").asc() if ascending else F.col("growth").desc()
-    return g.orderBy(order, *[F.col(k).asc() for k in keys]).limit(n)
+    exact = growth_ratio("tnetsales", "netsales_x")
+    g = g.orderBy(exact.asc() if ascending else exact.desc(), *[F.col(k).asc() for k in keys]).limit(n)
+    return g.select(*keys, round2("tnetsales").alias("tnetsales"), round2("netsales_x").alias("netsales_x"),
+                    growth_pct("tnetsales", "netsales_x").alias("growth"))
 
 
 def share(scoped: DataFrame, keys: list[str], n: int = 5) -> DataFrame:
     """Q_TYPE_SHARE / Q_CATEGORY_SHARE: each group's share of promotion sales
-    (WIN_SHARE_*), first n groups in key order, 0 when the total is 0.
+    (WIN_SHARE_*, unrounded), first n groups in key order, 0 when the total is 0.
 
     The window has no partition key, but it runs on the grouped result (one
     row per rule type or category), never on the facts."""
     g = sum_by(scoped, keys, ["tnetsales"])
     total = F.sum("tnetsales").over(Window.partitionBy())
     g = g.select(*keys, round2("tnetsales").alias("tnetsales"),
-                 round2(safe_ratio(F.col("tnetsales"), total, 100.0)).alias("share"))
+                 safe_ratio(F.col("tnetsales"), total, 100.0).alias("share"))
     return g.orderBy(*keys).limit(n)
 
 
@@ -111,11 +125,11 @@ def store_rank(scoped_all_stores: DataFrame, n: int = 5, best: bool = True) -> D
     """Q_STORE_BEST / Q_STORE_WORST: five stores of highest / lowest growth
     (ORD_BEST5 / ORD_WORST5), tie broken by store code."""
     g = sum_by(scoped_all_stores, ["kode_store", "nama_site"], ["tnetsales", "netsales_x"])
-    g = g.select("kode_store", "nama_site", round2("tnetsales").alias("tnetsales"),
-                 round2("netsales_x").alias("netsales_x"),
-                 growth_pct("tnetsales", "netsales_x").alias("growth"))
-    order = F.col("growth").desc() if best else F.col("growth").asc()
-    return g.orderBy(order, F.col("kode_store").asc()).limit(n)
+    exact = growth_ratio("tnetsales", "netsales_x")
+    g = g.orderBy(exact.desc() if best else exact.asc(), F.col("kode_store").asc()).limit(n)
+    return g.select("kode_store", "nama_site", round2("tnetsales").alias("tnetsales"),
+                    round2("netsales_x").alias("netsales_x"),
+                    growth_pct("tnetsales", "netsales_x").alias("growth"))
 
 
 def article_detail(scoped: DataFrame, dirs: DataFrame) -> DataFrame:
@@ -209,7 +223,22 @@ def q_kpi(spark, sf_dir):
 
 def q_kpi_store(spark, sf_dir):
     from dataclasses import replace
-    return kpi_by_store(scoped(spark, sf_dir, replace(FIXTURE_SCOPE, store=FIXTURE_STORE)))
+    return kpi_of_store(scoped(spark, sf_dir, replace(FIXTURE_SCOPE, store=FIXTURE_STORE)), FIXTURE_STORE)
+
+
+def q_kpi_empty_store(spark, sf_dir):
+    """The KPI of a store that has no facts: one row of zeros."""
+    return kpi_of_store(scoped(spark, sf_dir), "no such store")
+
+
+def q_growth_bars(spark, sf_dir):
+    return growth_bars(scoped(spark, sf_dir))
+
+
+def q_kpi_dedupe(spark, sf_dir):
+    """The KPI with last year counted once per article and day."""
+    from promolens.operators.yoy import dedupe_baseline
+    return kpi(dedupe_baseline(scoped(spark, sf_dir), FIXTURE_GRAIN))
 
 
 def q_kpi_by_store(spark, sf_dir):

@@ -17,7 +17,7 @@ from promolens.operators.aggregate import sum_by
 from promolens.operators.yoy import Grain, category_facts
 from promolens.schemas import ARTICLE_FACT_SCHEMA
 from promolens.plans import dashboard as DB
-from promolens.plans.common import facts_from_tables, present, read_facts
+from promolens.plans.common import facts_from_tables, inputs_version, present, read_facts
 from promolens.session import scratch_path, session_key
 from promolens.sources import commerce as C
 from promolens.sources import files as FS
@@ -33,9 +33,10 @@ _RAW: dict[tuple, str] = {}
 
 
 def _raw_zone(spark: SparkSession, sf: str, kind: str) -> str:
-    """The feed written as a raw text zone, once per session and kind."""
-    key = (session_key(spark), sf, kind)
-    if key not in _RAW:
+    """The feed written as a raw text zone, once for each version of the input files and kind."""
+    version = inputs_version(spark, sf)
+    key = (session_key(spark), version, kind)
+    if version is None or key not in _RAW:
         path = scratch_path(spark, f"raw-{kind}")
         FS.write_raw_feed(raw_feed(spark, sf), path, kind)
         _RAW[key] = path
@@ -51,15 +52,11 @@ def stream_article_growth(spark, sf):
     build's facts at the same grain."""
     from promolens.streaming.nightly import start_incremental_build
     out = scratch_path(spark, "stream-facts")
+    FS.write_facts(spark.createDataFrame([], ARTICLE_FACT_SCHEMA), out)      # the table exists before the first batch
     q = start_incremental_build(spark, _raw_zone(spark, sf, "promo"), _raw_zone(spark, sf, "sales"), out,
                                 grain=STREAM_GRAIN)
     q.awaitTermination()
-    try:
-        facts = FS.read_clean(spark, out)
-        facts.schema  # noqa: B018 - resolves the path
-    except Exception:  # noqa: BLE001 - nothing written: no fact day at all
-        facts = spark.createDataFrame([], ARTICLE_FACT_SCHEMA)
-    return present(facts)
+    return present(FS.read_clean(spark, out))
 
 
 def src_sales_csv(spark, sf):
@@ -215,6 +212,11 @@ def cln_numeric_measure(spark, sf):
     return _profile(spark, sf, CL.numeric("qty", "cogs", "netsales", "profit"))
 
 
+def cln_rejects(spark, sf):
+    """The rows that the measures reject, counted by measure and reason."""
+    return CL.rejects(raw_feed(spark, sf))
+
+
 def cln_positive(spark, sf):
     return _profile(spark, sf, CL.positive("qty", "cogs", "netsales", "profit", "tqty", "tamt"))
 
@@ -348,7 +350,7 @@ def fn_percent_text(spark, sf):
 NAMES = [
     "src_sales_csv", "src_promo_csv", "src_date_prune", "src_clean", "snk_article", "snk_category", "snk_json",
     "src_master", "src_article_list", "src_table", "src_json_nested", "src_json_provinces",
-    "cln_sentinel", "cln_not_null", "cln_min_len", "cln_numeric_code", "cln_numeric_measure", "cln_positive",
+    "cln_sentinel", "cln_not_null", "cln_min_len", "cln_numeric_code", "cln_numeric_measure", "cln_rejects", "cln_positive",
     "cln_inactive", "cln_site_suffix", "cln_cast", "cln_lower_cols", "agg_by_type", "agg_by_category",
     "fn_substr", "fn_length", "fn_isnumeric", "fn_contains", "fn_split", "fn_replace", "fn_to_number",
     "fn_parse_date", "fn_format_date", "fn_date_range", "fn_date_shift", "fn_format_number", "fn_percent_text",

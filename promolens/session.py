@@ -82,19 +82,14 @@ def session_key(spark: SparkSession) -> str:
         return spark.conf.get("spark.app.id", None) or str(id(spark))
 
 
-def default_parallelism(spark: SparkSession) -> int:
-    try:
-        return spark.sparkContext.defaultParallelism
-    except Exception:  # noqa: BLE001 - Spark Connect
-        return int(spark.conf.get("spark.default.parallelism", "8"))
-
-
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
     On a cluster ``spark.checkpoint.dir`` names a folder every executor can
-    reach; use it.  Only when it is unset (tests, local runs) create a scratch
-    folder and register it.
+    reach; use it.  Only where it is unset and Spark runs in one machine
+    (``local[...]``: tests, local runs) a scratch folder is made and registered;
+    on a cluster every executor would write to a disk of its own, so that is
+    an error.
     """
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if conf:
@@ -105,11 +100,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
         sc = None
     if sc is not None and sc.getCheckpointDir():
         return sc.getCheckpointDir()
-    path = tempfile.mkdtemp(prefix="promolens-ckpt-")     # local runs only
-    if sc is not None:
-        sc.setCheckpointDir(path)
-        return sc.getCheckpointDir() or path
-    return path
+    if sc is None or not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    path = tempfile.mkdtemp(prefix="promolens-ckpt-")
+    sc.setCheckpointDir(path)
+    return sc.getCheckpointDir() or path
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

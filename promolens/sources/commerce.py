@@ -129,12 +129,23 @@ def cities(spark: SparkSession, sf: str) -> DataFrame:
                     F.lit("Kota").alias("ro_type"), F.col("n_name").alias("ro_city_name"))
 
 
+LOOKUP_ROWS = 1000
+
+
+def lookup(master: DataFrame, rows: int = LOOKUP_ROWS) -> DataFrame:
+    """A master of few values (classes, categories, types, rewards, promotions),
+    hinted for broadcast after it was counted: a join with it does not shuffle
+    the big side by a key of a handful of values.  Beyond ``rows`` it is
+    returned as it is and Spark plans the join."""
+    return F.broadcast(master) if master.limit(rows + 1).count() <= rows else master
+
+
 def customers(spark: SparkSession, sf: str) -> DataFrame:
     c = read_table(spark, sf, "customer", ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"])
     n = read_table(spark, sf, "nation", ["n_nationkey", "n_regionkey"])
     cls = customer_classes(spark, sf).select(F.col("id").alias("customer_class_id"),
                                              F.col("name").alias("c_mktsegment"))
-    j = c.join(n, c.c_nationkey == n.n_nationkey).join(cls, "c_mktsegment")
+    j = c.join(n, c.c_nationkey == n.n_nationkey).join(lookup(cls), "c_mktsegment")
     k = F.col("c_custkey")
     return j.select(
         k.alias("id"),
@@ -166,7 +177,7 @@ def dropshipper_childs(spark: SparkSession, sf: str) -> DataFrame:
 
 def _orders(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, sf, "orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
-                                            "o_orderdate"], spread=True)
+                                            "o_orderdate"])
 
 
 def online_sales(spark: SparkSession, sf: str) -> DataFrame:
@@ -208,31 +219,49 @@ def sales(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _lines(spark: SparkSession, sf: str) -> DataFrame:
+def _lines(spark: SparkSession, sf: str, cogs: bool = False) -> DataFrame:
+    """Order lines; with ``cogs`` the article's cost, which takes a join with ``part``."""
     l = read_table(spark, sf, "lineitem", ["l_orderkey", "l_partkey", "l_linenumber", "l_quantity",
-                                           "l_extendedprice"], spread=True)
-    p = read_table(spark, sf, "part", ["p_partkey", "p_retailprice"])
-    j = l.join(p, l.l_partkey == p.p_partkey)
+                                           "l_extendedprice"])
+    if cogs:
+        p = read_table(spark, sf, "part", ["p_partkey", "p_retailprice"])
+        l = l.join(p, l.l_partkey == p.p_partkey)
     sizes = F.array(*[F.lit(s) for s in SIZES])
-    return j.select(
+    return l.select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
         F.col("l_orderkey").alias("order_id"),
         F.col("l_partkey").alias("product_id"),
         F.col("l_quantity").alias("qty"),
         F.col("l_extendedprice").alias("sell_price"),
-        F.col("p_retailprice").alias("cogs"),
+        *([F.col("p_retailprice").alias("cogs")] if cogs else []),
         (F.col("l_linenumber") * 10).alias("point"),
         F.element_at(sizes, ((F.col("l_linenumber") - 1) % 5 + 1).cast("int")).alias("size"),
     )
 
 
+def placed_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """POS and non-cart online orders as one set (SET_SALES_TYPES), in one scan."""
+    k = F.col("o_orderkey")
+    pos = k % 2 == 0
+    return _orders(spark, sf).where(pos | (k % 10 != 1)).select(
+        k.alias("id"), F.concat(F.when(pos, F.lit("POS")).otherwise(F.lit("INV")), _lpad(k, 8)).alias("code"),
+        F.col("o_custkey").alias("customer_id"), F.col("o_orderdate").alias("created_at"),
+        _status(F.col("o_orderstatus")).alias("status"),
+        F.when(pos, F.lit(POS)).otherwise(F.lit(ONLINE)).alias("sales_type"))
+
+
+def order_lines(spark: SparkSession, sf: str, cogs: bool = False) -> DataFrame:
+    """Lines of all orders, by ``order_id``."""
+    return _lines(spark, sf, cogs)
+
+
 def online_sales_details(spark: SparkSession, sf: str) -> DataFrame:
     d = _lines(spark, sf).where(F.col("order_id") % 2 == 1)
     return d.withColumnRenamed("order_id", "online_sales_id")
 
 
-def sales_details(spark: SparkSession, sf: str) -> DataFrame:
-    d = _lines(spark, sf).where(F.col("order_id") % 2 == 0)
+def sales_details(spark: SparkSession, sf: str, cogs: bool = False) -> DataFrame:
+    d = _lines(spark, sf, cogs).where(F.col("order_id") % 2 == 0)
     return d.withColumnRenamed("order_id", "sales_id").withColumn("discount", F.lit(0))
 
 
@@ -252,7 +281,7 @@ def stock_movements(spark: SparkSession, sf: str) -> DataFrame:
     """LED_STOCK: receipts (returned-as-'A' lines) positive, each point-of-sale
     line negative (``unionByName`` with a sign flip)."""
     l = read_table(spark, sf, "lineitem", ["l_orderkey", "l_partkey", "l_linenumber", "l_quantity",
-                                           "l_discount", "l_returnflag", "l_shipdate"], spread=True)
+                                           "l_discount", "l_returnflag", "l_shipdate"])
     p = read_table(spark, sf, "part", ["p_partkey", "p_retailprice"])
     rec = (l.where(F.col("l_returnflag") == "A").join(p, l.l_partkey == p.p_partkey)
            .select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ref_id"),
@@ -263,7 +292,7 @@ def stock_movements(spark: SparkSession, sf: str) -> DataFrame:
                    F.col("l_quantity").alias("qty"),
                    F.col("l_shipdate").alias("created_at")))
     s = sales(spark, sf).select(F.col("id").alias("sales_id"), "created_at")
-    d = sales_details(spark, sf)
+    d = sales_details(spark, sf, cogs=True)
     out = (d.join(s, "sales_id")
            .select(F.col("id").alias("ref_id"), "product_id", F.lit("sales-in-store").alias("type"),
                    F.col("sell_price").alias("price"), F.col("cogs").alias("normal_price"),

@@ -13,13 +13,13 @@ SF = os.environ.get("PROMOLENS_ORACLE_SF", SMALL)
 
 def _names():
     import __spark_entry__ as E
-    q = E.queries()
-    return sorted(q)
+    return sorted(E._queries())
 
 
 def test_every_query_has_an_oracle():
     import __spark_entry__ as E
-    assert set(E.queries()) == set(E.oracle_sql())
+    own, sql = set(E._queries()), set(E.oracle_sql())
+    assert own <= sql and sql <= set(E.queries())
 
 
 def test_entry_smoke(spark):
