@@ -44,7 +44,19 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._shared_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a ``shared_table`` that nothing will read again (all
+    that was computed from it is written).  Does nothing where the session gives
+    no access to the store."""
+    path, jvm = getattr(df, "_shared_path", None), getattr(df.sparkSession, "_jvm", None)
+    if path and jvm is not None:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def small_side(df: DataFrame, max_rows: int = 500_000) -> DataFrame:

@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promolens.llm.common import P1, U, Words, arrow_map, documents, mix, shared_table, shingles, small_side, summed_vectors, text_blocks
+from promolens.llm.common import P1, U, Words, arrow_map, discard, documents, mix, shared_table, shingles, small_side, summed_vectors, text_blocks
 from promolens.llm.components import components
 
 SHINGLE, PERCENT = 4, 85
@@ -140,7 +140,9 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int, text_col: st
                     keep.append(shared > 0 and 100 * shared >= percent * (len(x) + len(y) - shared))
                 yield part.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
-    return arrow_map(both.select("x", "y", "text_x", "text_y"), run, "x long, y long")
+    links = shared_table(arrow_map(both.select("x", "y", "text_x", "text_y"), run, "x long, y long"), "links")
+    discard(texts)
+    return links
 
 
 def _current(nodes: DataFrame, parts: DataFrame) -> DataFrame:

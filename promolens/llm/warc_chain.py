@@ -23,8 +23,8 @@ A chain that ends anywhere but at the file's end makes the read fail, so
 nothing is lost silently.
 
 Defined results: a null payload is an empty one, a null url leaves the header
-out; a repeated page id writes one record a row (of rows tied for the response
-one is chosen by url and html length); a null page id has no id header and
+out; a repeated page id writes one record a row (of rows tied for the largest
+id those with the least url are responses); a null page id has no id header and
 reads back as null; extra columns are not written.  Payloads must be UTF-8
 text; an empty table gives an empty result.
 """
