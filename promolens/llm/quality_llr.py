@@ -21,7 +21,7 @@ rules); a text without n-grams scores 0; a null id is judged like any other
 row; repeated rows are judged alike; labels of unknown documents, null labels
 and other columns have no effect (documents' own columns pass through, a
 column named like one of the results is replaced).  With no trusted document
-or no text at all both models are uniform and every score is 0.
+or no text at all both models are the same and every score is 0.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from promolens.llm.common import documents, paired, table, words_of
 
-BUCKETS, ALPHA, THRESHOLD, MAX_TARGET = 16_384, 1.0, -0.05, 200_000
+BUCKETS, ALPHA, PRIOR, THRESHOLD, MAX_TARGET = 16_384, 1.0, 100_000.0, -0.05, 200_000
 RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
 
 
@@ -53,7 +53,7 @@ def _word_hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, alpha: float = ALPHA,
+def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, alpha: float = ALPHA, prior: float = PRIOR,
         max_target: int = MAX_TARGET, text_col: str = "text", id_col: str = "doc_id") -> list[float]:
     """log(P_target / P_raw) of each bucket."""
     good = trusted_ids(labels, max_target).select(F.col("doc_id").alias("_id"), F.lit(1).alias("_good"))
@@ -64,12 +64,13 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, alpha: float
             .select("_good", F.explode_outer(F.concat("_h", paired(F.col("_h"), 1))).alias("_g")).where("_g IS NOT NULL")
             .select("_good", _bucket(F.col("_g"), buckets).alias("_b")))
     counts = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("r"), F.count("_good").alias("t")).collect()   # <= buckets rows
-    raw, target = [alpha] * buckets, [alpha] * buckets
+    raw, target = [alpha] * buckets, [0] * buckets
     for b, r, t in counts:
         raw[b] += r
-        target[b] += t
+        target[b] = t
     n_raw, n_target = sum(raw), sum(target)
-    return [math.log(t / n_target) - math.log(r / n_raw) for t, r in zip(target, raw, strict=True)]
+    # the target's prior is the raw model, so a small target says little instead of the wrong thing
+    return [math.log((t + prior * r / n_raw) / (n_target + prior)) - math.log(r / n_raw) for t, r in zip(target, raw, strict=True)]
 
 
 def _with_repeat_words(df: DataFrame, own: list[str], k: int = 8) -> DataFrame:
