@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from promolens.llm.common import P2, U, Words, arrow_map, documents, kth_largest, mix, shared_table, summed_vectors, table, text_blocks
 
-BUCKETS, ALPHA, KEEP, SEED, MAX_TARGET = 16_384, 1.0, 0.8, 17, 200_000
+BUCKETS, ALPHA, PRIOR, KEEP, SEED, MAX_TARGET = 16_384, 0.01, 1_000.0, 0.8, 17, 200_000
 RESULTS = ("n_grams", "log_ratio", "gumbel_key", "kept")
 
 
@@ -55,8 +55,8 @@ def _grams(data: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[np.ndar
     return np.concatenate([row, row[1:][inside]]), place.astype(np.int64)
 
 
-def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, alpha: float = ALPHA, max_target: int = MAX_TARGET,
-        text_col: str = "text", id_col: str = "doc_id") -> np.ndarray:
+def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, alpha: float = ALPHA, prior: float = PRIOR,
+        max_target: int = MAX_TARGET, text_col: str = "text", id_col: str = "doc_id") -> np.ndarray:
     """log(P_target / P_raw) of each bucket."""
     good = target_ids(labels, max_target).select(F.col("doc_id").alias("_id"), F.lit(True).alias("good"))
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(good), "_id", "left")   # bounded by max_target
@@ -71,9 +71,10 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, alpha: float
                 total[1] += np.bincount(place[good[a:b][row]], minlength=buckets)
         return total.ravel()
 
-    total = summed_vectors(rows.select("text", "good"), 2 * buckets, count).reshape(2, buckets) + alpha
-    log = np.log(total) - np.log(total.sum(axis=1, keepdims=True))
-    return log[1] - log[0]
+    raw, target = summed_vectors(rows.select("text", "good"), 2 * buckets, count).reshape(2, buckets)
+    raw = (raw + alpha) / (raw + alpha).sum()
+    # the target's prior is the raw model, so a small target says little instead of the wrong thing
+    return np.log((target + prior * raw) / (target.sum() + prior)) - np.log(raw)
 
 
 def weights(docs: DataFrame, model: np.ndarray, seed: int = SEED, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

@@ -97,9 +97,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, k: int, min_cover: float, tex
     found = _windows(texts, ["doc_id"], lengths, "words").join(small_side(bench, MAX_BROADCAST), ["h", "len"]).drop("h").distinct()
     found = shared_table(found, "found")
     cover = found.groupBy("doc_id", "item_id").agg(F.countDistinct("i_at").alias("m")).join(total, "item_id").where(
-        F.col("m") >= min_cover * F.col("n")).select(F.col("doc_id").alias("d"), "item_id", "m", (F.col("m") / F.col("n")).alias("cover"))
-    hit = found.join(cover, (found["doc_id"].eqNullSafe(F.col("d"))) & (found["item_id"] == cover["item_id"])).select(
-        "doc_id", found["item_id"], "at", "i_at", "len", "m", "cover")
+        F.col("m") >= min_cover * F.col("n")).select(
+        F.col("doc_id").alias("d"), F.col("item_id").alias("i"), "m", (F.col("m") / F.col("n")).alias("cover"))
+    hit = found.join(cover, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("item_id") == F.col("i"))).drop("d", "i")
     return shared_table(hit, "hits"), items
 
 

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from promolens.llm.common import arrow_map, shared_table, table
+from promolens.llm.common import arrow_map, shared_table, small_side, table
 from promolens.session import scratch_path
 
 MIN_REVISIT = 1000
@@ -135,6 +135,18 @@ def _cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in part], t) for c, t in zip(names, kinds, strict=True)], names=names)
 
 
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts of the cuts with the numbers that ``_cuts`` gives them."""
+    seq: dict[tuple, int] = {}
+    for batch in batches:
+        numbers = []
+        for key in zip(batch.column("file").to_pylist(), batch.column("block").to_pylist(), strict=True):
+            seq[key] = seq.get(key, -1) + 1
+            numbers.append(seq[key])
+        yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("block"), pa.array(numbers, pa.int64()), batch.column("value")],
+                                         names=["file", "block", "seq", "raw"])
+
+
 def _reachable(cuts: DataFrame) -> DataFrame:
     """file, at of the candidates reached from each file's start.
 
@@ -191,7 +203,13 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     rows = rows.withColumn("kind", F.when(~broken, F.col("kind"))).withColumn("sha1", F.when(broken, F.lit("")).otherwise(F.col("sha1")))
     whole = rows.where((F.col("at") == F.coalesce("owner", "at")) & F.col("sha1").isNotNull())
     # records with a magic inside the payload: their cuts, in order, are the record again
-    pieces = rows.where(F.col("raw").isNotNull()).groupBy("file", "owner").agg(F.array_sort(F.collect_list(F.struct("at", "raw"))).alias("p"))
+    pieces = rows.where(F.col("raw").isNotNull()).select("file", "owner", "at", "raw")
+    # a whole record that stands in a payload: its text was not kept and is read again
+    inner = shared_table(rows.where((F.col("at") != F.col("owner")) & F.col("raw").isNull()).select("file", "block", "seq", "at", "owner"), "inner")
+    if inner.limit(1).count():
+        again = arrow_map(text, _numbered, "file string, block long, seq long, raw string").join(small_side(inner), ["file", "block", "seq"])
+        pieces = pieces.union(again.select("file", "owner", "at", "raw"))
+    pieces = pieces.groupBy("file", "owner").agg(F.array_sort(F.collect_list(F.struct("at", "raw"))).alias("p"))
     heads = rows.where((F.col("at") == F.col("owner")) & F.col("sha1").isNull()).drop("owner")
     torn = heads.join(pieces.withColumnRenamed("owner", "at"), ["file", "at"])
     full = F.array_join(F.transform("p", lambda x: x["raw"]), MAGIC).cast("binary")
