@@ -59,11 +59,14 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def small_side(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
-    """``df`` hinted for broadcast when it has at most ``max_rows`` rows (the
-    caller hands in narrow rows of a known width), else ``df`` itself.  Give it
-    a written table: it is counted."""
-    few = df.limit(max_rows + 1).count() <= max_rows
+def small_side(df: DataFrame, max_rows: int = 500_000, lists: str | None = None) -> DataFrame:
+    """``df`` hinted for broadcast when it has at most ``max_rows`` narrow rows,
+    else ``df`` itself.  Where each row holds a list, ``lists`` names it and its
+    entries are counted instead.  Give it a written table: it is counted."""
+    if lists:
+        few = (df.agg(F.sum(F.size(lists))).first()[0] or 0) <= max_rows
+    else:
+        few = df.limit(max_rows + 1).count() <= max_rows
     return F.broadcast(df) if few else df
 
 

@@ -35,7 +35,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promolens.llm.common import documents, paired, shared_table, small_side, words_of
+from promolens.llm.common import discard, documents, paired, shared_table, small_side, words_of
 
 SHINGLE, PERCENT = 5, 80
 BUCKETS = 1 << 16
@@ -103,7 +103,7 @@ def signatures(docs: DataFrame, tiers: list[int], k: int, percent: int, text_col
 def _sets(docs: DataFrame, places: DataFrame, k: int, text_col: str, id_col: str) -> DataFrame:
     """doc, line, s (sorted distinct tokens) of the lines in ``places``."""
     ids = shared_table(places.groupBy("doc").agg(F.collect_set("line").alias("at")), "ids")
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text_col).alias("text")).join(small_side(ids), "doc")
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text_col).alias("text")).join(small_side(ids, lists="at"), "doc")
     lines = texts.select("doc", "at", F.posexplode(F.split("text", "\n")).alias("line", "words")).where(F.array_contains("at", F.col("line")))
     return _tokens(lines, ["doc", "line"], k).select("doc", "line", F.array_distinct("t").alias("s"))
 
@@ -129,8 +129,11 @@ def duplicate_lines(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, t
     repeats = shared_table(repeats.distinct(), "repeats")
     heads = rows.join(small_side(repeats, 1_000_000), ["doc", "line"], "left_anti").select(
         place.alias("p"), "n", F.posexplode("prefix").alias("i", "token"))
-    blocks = heads.groupBy("token").agg(F.min("p").alias("lead"), F.max("p").alias("top")).where("lead < top").drop("top")
-    posts = shared_table(heads.join(blocks, "token"), "postings")
+    # a class has a token once: what is counted twice, two classes have
+    live = heads.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
+    found = shared_table(heads.join(live, "token"), "found")
+    posts = shared_table(found.join(found.groupBy("token").agg(F.min("p").alias("lead")), "token"), "postings")
+    discard(found)
 
     leaders = shared_table(posts.where("p <> lead").select(F.col("p").alias("y"), F.col("lead").alias("x")).distinct(), "leaders")
     sets = shared_table(_sets(docs, posts.select("p.doc", "p.line").distinct(), k, text_col, id_col), "sets")
@@ -152,7 +155,7 @@ def remove_lines(docs: DataFrame, gone: DataFrame, text_col: str = "text", id_co
     """``docs`` with ``gone_lines array<int>``, and ``text_col`` without these lines."""
     lists = shared_table(gone.groupBy("doc").agg(F.array_sort(F.collect_set("line")).alias("gone_lines")), "gone")
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
-    df = docs.drop("gone_lines").withColumn("_doc", key).join(small_side(lists.withColumnRenamed("doc", "_doc")), "_doc", "left").drop("_doc")
+    df = docs.drop("gone_lines").withColumn("_doc", key).join(small_side(lists, lists="gone_lines").withColumnRenamed("doc", "_doc"), "_doc", "left").drop("_doc")
     kept = F.filter(F.split(F.col(text_col), "\n"), lambda _, i: ~F.array_contains("gone_lines", i))
     return df.withColumn(text_col, F.when(F.col("gone_lines").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")))
 

@@ -127,7 +127,7 @@ def phrases(rows: DataFrame, length: int, window: int) -> DataFrame:
 def _with_texts(rows: DataFrame, wanted: DataFrame, fields: list[str]) -> DataFrame:
     """Texts with the list ``x`` of their ``wanted`` rows; a repeated row is read once."""
     lists = shared_table(wanted.groupBy("rid").agg(F.collect_list(F.struct(*fields)).alias("x")), "wanted")
-    return rows.join(small_side(lists, 500_000), "rid").dropDuplicates(["rid"])
+    return rows.join(small_side(lists, 500_000, "x"), "rid").dropDuplicates(["rid"])
 
 
 def _probe(rows: DataFrame, wanted: DataFrame, length: int, fine: bool) -> DataFrame:
@@ -203,7 +203,7 @@ def remove_ranges(rows: DataFrame, ranges: DataFrame) -> DataFrame:
     longest = ranges.groupBy("rid", "low").agg(F.max("high").alias("high"))
     lists = longest.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("low", "high"))).alias("x"))
     lists = shared_table(lists, "removed")
-    joined = rows.join(small_side(lists, 300_000), "rid", "left")
+    joined = rows.join(small_side(lists, 500_000, "x"), "rid", "left")
     own = [f for f in rows.schema.fields if f.name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
