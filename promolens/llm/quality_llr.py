@@ -131,5 +131,8 @@ def op4_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that the rules keep."""
-    model = fit(docs, table(spark, sf_dir, "labels"))
-    return judge(docs, model).where("kept").select(*docs.columns)
+    judged = judge(docs, fit(docs, table(spark, sf_dir, "labels")))
+    # a filter on ``kept`` itself would be pushed down and copy the whole chain of
+    # expressions into itself; one behind a generator is not
+    mark = F.explode_outer(F.when(F.col("kept"), F.array(F.lit(1))).otherwise(F.array().cast("array<int>")))
+    return judged.select(*docs.columns, mark.alias("_kept")).where("_kept IS NOT NULL").drop("_kept")
