@@ -86,9 +86,10 @@ def _optional_eq(df: DataFrame, col: str, value) -> DataFrame:
 
 
 def _with_footer(rows: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
-    """Each row (``keys`` identify it) and one footer row whose sums add every
+    """Each row (``keys``, as far as the view has them, identify it) and one footer row whose sums add every
     row truncated to an integer first (AGG_GRAND_TOTAL), by one GROUPING SETS
     pass.  A marked row of zeros stands for "no rows", so the footer is always there."""
+    keys = [k for k in keys if k in rows.columns]
     none = rows.sparkSession.range(1).select(
         *[F.lit(None).cast(rows.schema[k].dataType).alias(k) for k in keys],
         *[F.lit(0).cast(rows.schema[c].dataType).alias(c) for c in sums], F.lit(0).alias("_row"))

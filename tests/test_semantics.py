@@ -171,3 +171,47 @@ def test_dedupe_baseline_counts_last_year_once(spark):
     rows = dedupe_baseline(facts).collect()
     assert len(rows) == 2 and sum(float(r.netsales_x) for r in rows) == 100.0
     assert sum(float(r.netsales_y) for r in rows) == 200.0
+
+
+def test_ranking_uses_the_exact_growth(spark):
+    from promolens.plans.dashboard import growth_top, store_rank
+    rows = [("a", "A", "110.001", "100"), ("b", "B", "110.004", "100"), ("c", "C", "105", "100")]
+    df = spark.createDataFrame(rows, "kode_store string, nama_site string, n string, o string").selectExpr(
+        "kode_store", "nama_site", "CAST(n AS DECIMAL(28,6)) AS tnetsales", "CAST(o AS DECIMAL(28,6)) AS netsales_x")
+    best = store_rank(df, n=1).first()
+    assert (best.kode_store, best.growth) == ("b", 10.0)
+    assert [r.kode_store for r in growth_top(df, ["kode_store"], n=3, ascending=False).collect()] == ["b", "a", "c"]
+
+
+def test_measures_that_do_not_fit_are_rejected_and_counted(spark):
+    from promolens.operators import clean
+    from promolens.schemas import PROMO_KEYS, PROMO_POSITIVE
+    good = {**{k: "x" for k in PROMO_KEYS}, "bdate": "01-03-1998", "nama_site": "Site A01", **{m: "10" for m in PROMO_POSITIVE}}
+    rows = [good, {**good, "sku": "big", "netsales": "1e15"}, {**good, "sku": "tiny", "qty": "1e-300"}, {**good, "sku": "text", "cogs": "n/a"}, {**good, "sku": "minus", "tamt": "-1"}]
+    feed = spark.createDataFrame([tuple(r[c] for c in good) for r in rows], ", ".join(f"{c} string" for c in good))
+    assert [r.sku for r in clean.clean_promo_rows(feed).collect()] == ["x"]
+    assert {r.sku for r in clean.clean_sales_rows(feed).collect()} == {"x", "tiny", "minus"}
+    got = {r.measure: (r.not_a_number, r.too_large, r.not_positive) for r in clean.rejects(feed).collect()}
+    assert got["netsales"] == (0, 1, 0) and got["cogs"] == (1, 0, 0) and got["tamt"] == (0, 0, 1) and got["tqty"] == (0, 0, 0)
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    import pytest
+
+    from promolens.session import checkpoint_dir
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        checkpoint_dir(Session())
