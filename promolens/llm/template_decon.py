@@ -81,9 +81,9 @@ def _windows(df: DataFrame, own: list[str], lengths: list[int], words: str) -> D
 def matches(docs: DataFrame, benchmark: DataFrame, k: int, min_cover: float, text_col: str, id_col: str) -> tuple[DataFrame | None, DataFrame]:
     """doc_id, item_id, at (document), i_at (item), len, cover of the pairs with enough windows."""
     items = benchmark.where(F.col("item_id").isNotNull()).select("item_id", F.col("text").alias("raw")).distinct()
-    items = items.select("item_id", words_of(F.col("raw")).alias("raw"), words_of(template(F.col("raw"))).alias("words")).where(F.size("words") > 0)
-    items = items.withColumn("size", F.least(F.size("words"), F.lit(k)))
-    items = shared_table(items, "items")
+    items = items.select("item_id", "raw", template(F.col("raw")).alias("words"))
+    items = items.select("item_id", words_of(F.col("raw")).alias("raw"), words_of(F.col("words")).alias("words"))
+    items = shared_table(items.withColumn("size", F.least(F.size("words"), F.lit(k))), "items").where("size > 0")
     lengths = sorted(r[0] for r in items.select("size").distinct().collect())             # at most k numbers
     if not lengths:
         return None, items
@@ -93,7 +93,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, k: int, min_cover: float, tex
     bench = bench.where(literal >= F.least(F.lit(MIN_LITERAL), F.col("len")))
     bench = shared_table(bench.select("item_id", "len", F.col("at").alias("i_at"), "h"), "bench")
     total = bench.groupBy("item_id").agg(F.countDistinct("i_at").alias("n"))
-    texts = docs.select(F.col(id_col).alias("doc_id"), words_of(template(F.col(text_col))).alias("words"))
+    # the template is a column of its own: ``words_of`` looks at its text several times
+    texts = docs.select(F.col(id_col).alias("doc_id"), template(F.col(text_col)).alias("words")).select("doc_id", words_of(F.col("words")).alias("words"))
     found = _windows(texts, ["doc_id"], lengths, "words").join(small_side(bench, MAX_BROADCAST), ["h", "len"]).drop("h").distinct()
     found = shared_table(found, "found")
     cover = found.groupBy("doc_id", "item_id").agg(F.countDistinct("i_at").alias("m")).join(total, "item_id").where(
@@ -108,7 +109,8 @@ def _slots(hits: DataFrame, items: DataFrame, docs: DataFrame, text_col: str, id
     those whose value is the usual partner of the item's value on that alignment."""
     ids = shared_table(hits.select(F.col("doc_id").alias("d")).distinct(), "ids")
     text = docs.select(F.col(id_col).alias("d2"), F.col(text_col).alias("text")).join(small_side(ids), F.col("d2").eqNullSafe(F.col("d"))).select("d", "text").distinct()
-    own = text.select("d", words_of(F.col("text")).alias("doc_raw"), words_of(template(F.col("text"))).alias("doc_words"))
+    own = text.select("d", words_of(F.col("text")).alias("doc_raw"), template(F.col("text")).alias("t"))
+    own = own.select("d", "doc_raw", words_of(F.col("t")).alias("doc_words"))
     places = hits.select("doc_id", "item_id", (F.col("at") - F.col("i_at")).alias("shift"), F.explode(
         F.sequence("i_at", F.col("i_at") + F.col("len") - 1)).alias("p")).distinct()
     places = places.groupBy("doc_id", "item_id").agg(F.collect_list(F.struct("shift", "p")).alias("places"))   # at most an item's words per alignment
