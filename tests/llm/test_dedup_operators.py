@@ -4,6 +4,7 @@ import random
 
 import pytest
 from brute import duplicate_lines, jaccard_components, repeated_bytes
+from llm_fixtures import frame  # noqa: F401
 
 EDGES = [(900, None), (901, ""), (902, " \t\n "), (903, "one"), (904, "one"), (904, "one"), (None, "one"), (None, None), (905, "ä ö ü"),
          (906, "x " * 3000), (907, "a" * 5000), (908, "a\n" * 40)]

@@ -8,6 +8,7 @@ import re
 import numpy as np
 import pytest
 from brute import base_counts, words
+from llm_fixtures import frame  # noqa: F401
 
 EDGES = [(900, None), (901, ""), (902, " \t\n "), (903, "one"), (903, "one"), (None, "one two"), (905, "ä ö ü 漢字 😀"), (906, "x " * 3000), (907, "a" * 4000),
          (908, "a b\x0bc\x0cd\re\tf\n\n#*$%&|<>"), (909, "same line\nother\nsame line\n \nsame line ")]
