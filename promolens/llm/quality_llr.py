@@ -9,8 +9,11 @@ break, no dependence on partitioning.
 * The target is fitted on at most ``max_target`` labelled documents (quality 1
   and not toxic; beyond the bound those with the smallest id hash).  Their ids
   are the only broadcast, bounded by that parameter.
-* The raw counts cover every n-gram of every document, pre-aggregated in each
-  task: the shuffle carries ``buckets`` rows a task at most.
+* Each distinct text weighs once in both models (grouped by its digest; it is
+  trusted when one of its copies is): a text cannot lower its own score by being
+  copied.  Copies collapse in each task before the shuffle.
+* The raw counts cover every n-gram of every distinct text, pre-aggregated in
+  each task: the second shuffle carries ``buckets`` rows a task at most.
 * The model is ``buckets`` numbers; it is put into the plan as a literal, so
   scoring is a projection of the scan, without a shuffle.
 
@@ -59,6 +62,7 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, alpha: float
     good = trusted_ids(labels, max_target).select(F.col("doc_id").alias("_id"), F.lit(1).alias("_good"))
     rows = (docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
             .join(F.broadcast(good), "_id", "left")               # bounded by max_target
+            .groupBy(F.md5("_text").alias("_d")).agg(F.max("_good").alias("_good"), F.first("_text").alias("_text"))
             .select("_good", _word_hashes(words_of(F.col("_text"))).alias("_h"))
             # outer: the filter that a plain explode brings along would evaluate the words once more
             .select("_good", F.explode_outer(F.concat("_h", paired(F.col("_h"), 1))).alias("_g")).where("_g IS NOT NULL")

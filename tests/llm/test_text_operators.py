@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from brute import base_counts, words
 from llm_fixtures import frame  # noqa: F401
+from pyspark.sql import functions as F
 
 EDGES = [(900, None), (901, ""), (902, " \t\n "), (903, "one"), (903, "one"), (None, "one two"), (905, "ä ö ü 漢字 😀"), (906, "x " * 3000), (907, "a" * 4000),
          (908, "a b\x0bc\x0cd\re\tf\n\n#*$%&|<>"), (909, "same line\nother\nsame line\n \nsame line ")]
@@ -58,6 +59,20 @@ def test_quality_separates_held_out_labels(spark):
     assert np.mean([x.kept for x in held if x.quality == 0]) < 0.2
 
 
+def test_quality_keeps_a_clean_text_with_many_copies(frame, spark):
+    from promolens.llm.common import documents, table
+    from promolens.llm.quality_llr import fit, judge
+    d = "/root/testdata/sf0.01"
+    docs, labels = documents(spark, d, "doc_id", "text"), table(spark, d, "labels")
+    model = fit(docs, labels)
+    judged = judge(docs.join(labels, "doc_id", "left_anti"), model).select("text", "n_words", "score", "kept").collect()
+    plain = max((x for x in judged if x.kept and 200 <= x.n_words <= 400), key=lambda x: (x.score, x.text))
+    copies = spark.range(1_000_000, 1_001_000).select(F.col("id").alias("doc_id"), F.lit(plain.text).alias("text"))
+    grown = docs.unionByName(copies)
+    assert fit(grown, labels) == model
+    assert all(x.kept for x in judge(copies, model).select("kept").collect())
+
+
 def test_importance_resampling(frame, spark):
     from promolens.llm.importance import resample
     r = random.Random(2)
