@@ -16,6 +16,14 @@ break, no dependence on partitioning.
   each task: the second shuffle carries ``buckets`` rows a task at most.
 * The model is ``buckets`` numbers; it is put into the plan as a literal, so
   scoring is a projection of the scan, without a shuffle.
+* Toxic documents of good quality pass that mean, which dilutes a few words.  So
+  words that labelled toxic texts hold at least ``TOXIC_RATIO`` times as often as
+  texts labelled not toxic (document frequencies over distinct texts, at least
+  ``TOXIC_LEAST`` toxic ones) carry the log of that ratio, and a document is
+  rejected when the sum over its words, ``toxic_score``, is ``TOXIC_THRESHOLD`` or
+  more.  Whole word hashes are used: in the shared buckets the other words of a
+  bucket drown them.  At most ``max_target`` texts of each kind are read for this,
+  and the strongest ``MAX_TOXIC`` words are kept.
 
 All of it is DataFrame functions.
 
@@ -24,7 +32,8 @@ rules); a text without n-grams scores 0; a null id is judged like any other
 row; repeated rows are judged alike; labels of unknown documents, null labels
 and other columns have no effect (documents' own columns pass through, a
 column named like one of the results is replaced).  With no trusted document
-or no text at all both models are the same and every score is 0.
+or no text at all both models are the same and every score is 0; without toxic
+labels every toxic score is 0.
 """
 
 from __future__ import annotations
@@ -37,7 +46,8 @@ from pyspark.sql import functions as F
 from promolens.llm.common import documents, paired, table, words_of
 
 BUCKETS, ALPHA, PRIOR, THRESHOLD, MAX_TARGET = 16_384, 1.0, 100_000.0, -0.05, 200_000
-RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
+TOXIC_RATIO, TOXIC_LEAST, TOXIC_THRESHOLD, MAX_TOXIC = 20.0, 5, 6.0, 4096
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "toxic_score", "kept")
 
 
 def trusted_ids(labels: DataFrame, max_target: int = MAX_TARGET) -> DataFrame:
@@ -77,6 +87,26 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, alpha: float
     return [math.log((t + prior * r / n_raw) / (n_target + prior)) - math.log(r / n_raw) for t, r in zip(target, raw, strict=True)]
 
 
+def toxic_words(docs: DataFrame, labels: DataFrame, ratio: float = TOXIC_RATIO, least: int = TOXIC_LEAST,
+                max_target: int = MAX_TARGET, max_words: int = MAX_TOXIC, text_col: str = "text", id_col: str = "doc_id") -> dict[int, float]:
+    """log(share of toxic texts / share of other texts) by hash of the strongly toxic words."""
+    marks = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
+    sides = [marks.where(F.col("_toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_target) for t in (0, 1)]
+    ids = sides[0].union(sides[1]).select(F.col("doc_id").alias("_id"), F.col("_toxic").cast("long").alias("_toxic"))
+    rows = (docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(ids), "_id")   # bounded by max_target
+            .groupBy(F.md5("_text").alias("_d")).agg(F.max("_toxic").alias("_toxic"), F.first("_text").alias("_text"))
+            .select("_toxic", F.array_distinct(_word_hashes(words_of(F.col("_text")))).alias("_h"))
+            # one null a text: the number of texts of either kind
+            .select("_toxic", F.explode(F.concat("_h", F.array(F.lit(None).cast("long")))).alias("_g")))
+    counts = rows.groupBy("_g").agg(F.sum("_toxic").alias("t"), F.sum(1 - F.col("_toxic")).alias("c"))
+    n = rows.where("_g IS NULL").agg(F.sum("_toxic").alias("t"), F.sum(1 - F.col("_toxic")).alias("c")).first()
+    if not n["t"] or not n["c"]:
+        return {}
+    share = (F.col("t") / n["t"]) / ((F.col("c") + 1) / (n["c"] + 1))
+    strong = counts.where(F.col("_g").isNotNull() & (F.col("t") >= least)).withColumn("share", share).where(F.col("share") >= ratio)
+    return {x["_g"]: math.log(x["share"]) for x in strong.orderBy(F.desc("share"), F.desc("t"), "_g").limit(max_words).collect()}
+
+
 def _with_repeat_words(df: DataFrame, own: list[str], k: int = 8) -> DataFrame:
     """``df`` with ``n_repeat_words``: the words inside windows (``_win``) that
     are found twice or more in the text.
@@ -99,8 +129,9 @@ def _with_repeat_words(df: DataFrame, own: list[str], k: int = 8) -> DataFrame:
     return df.select(*own, F.coalesce(cover, F.lit(0)).cast("long").alias("n_repeat_words"))
 
 
-def judge(docs: DataFrame, model: list[float], threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """``docs`` with the counts of the base rules, ``score`` and ``kept``."""
+def judge(docs: DataFrame, model: list[float], threshold: float = THRESHOLD, text_col: str = "text",
+          toxic: dict[int, float] | None = None, toxic_threshold: float = TOXIC_THRESHOLD) -> DataFrame:
+    """``docs`` with the counts of the base rules, ``score``, ``toxic_score`` and ``kept``."""
     own = [c for c in docs.columns if c not in RESULTS]
     text = F.coalesce(F.col(text_col), F.lit(""))
     weights = F.split(F.lit(",".join(f"{x:.6f}" for x in model)), ",").cast("array<double>")
@@ -117,25 +148,34 @@ def judge(docs: DataFrame, model: list[float], threshold: float = THRESHOLD, tex
     def total(grams: str) -> Column:
         return F.aggregate(grams, F.lit(0.0), lambda s, g: s + weights[_bucket(g, len(model))])
 
+    toxic_score = F.lit(0.0)
+    if toxic:
+        # few words pass the filter, a set; the weight is searched in a list only for them
+        hashes, heavy = (F.split(F.lit(",".join(x)), ",") for x in zip(*((str(h), f"{v:.6f}") for h, v in toxic.items()), strict=True))
+        hashes, heavy = hashes.cast("array<long>"), heavy.cast("array<double>")
+        toxic_score = F.aggregate(F.filter("_h", lambda h: h.isin(list(toxic))), F.lit(0.0),
+                                  lambda s, h: s + F.element_at(heavy, F.array_position(hashes, h).cast("int")))
     n_grams = F.size("_h") + F.size("_2")
-    df = df.select(*base, F.when(n_grams > 0, (total("_h") + total("_2")) / n_grams).otherwise(F.lit(0.0)).alias("score"),
+    df = df.select(*base, toxic_score.alias("toxic_score"), F.when(n_grams > 0, (total("_h") + total("_2")) / n_grams).otherwise(F.lit(0.0)).alias("score"),
                    paired(F.col("_2"), 2).alias("_4"))
+    base.append("toxic_score")
     df = df.select(*base, "score", paired(F.col("_4"), 4).alias("_win"))       # windows of eight words
     df = _with_repeat_words(df, [*base, "score"])
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     df = df.withColumn("base_failed", failed)
-    return df.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold)).select(*own, *RESULTS)
+    return df.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold) & (F.col("toxic_score") < toxic_threshold)).select(*own, *RESULTS)
 
 
 def op4_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, the base counts, base_failed and kept of every document, and its score."""
-    docs = documents(spark, sf_dir, "doc_id", "text")
-    return judge(docs, fit(docs, table(spark, sf_dir, "labels"))).drop("text")
+    """doc_id, the base counts, base_failed and kept of every document, and its scores."""
+    docs, labels = documents(spark, sf_dir, "doc_id", "text"), table(spark, sf_dir, "labels")
+    return judge(docs, fit(docs, labels), toxic=toxic_words(docs, labels)).drop("text")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that the rules keep."""
-    judged = judge(docs, fit(docs, table(spark, sf_dir, "labels")))
+    labels = table(spark, sf_dir, "labels")
+    judged = judge(docs, fit(docs, labels), toxic=toxic_words(docs, labels))
     # a filter on ``kept`` itself would be pushed down and copy the whole chain of
     # expressions into itself; one behind a generator is not
     mark = F.explode_outer(F.when(F.col("kept"), F.array(F.lit(1))).otherwise(F.array().cast("array<int>")))

@@ -73,6 +73,20 @@ def test_quality_keeps_a_clean_text_with_many_copies(frame, spark):
     assert all(x.kept for x in judge(copies, model).select("kept").collect())
 
 
+def test_quality_rejects_held_out_toxic_texts(spark):
+    from promolens.llm.common import documents, table
+    from promolens.llm.quality_llr import TOXIC_THRESHOLD, judge, toxic_words
+    d = "/root/testdata/sf0.1"
+    docs, labels = documents(spark, d, "doc_id", "text"), table(spark, d, "labels")
+    toxic = toxic_words(docs, labels.where("doc_id % 5 <> 0"))
+    held = judge(docs.join(labels.where("doc_id % 5 = 0 AND quality = 1"), "doc_id"), [0.0] * 64, toxic=toxic).select("toxic", "base_failed", "toxic_score", "kept").collect()
+    held = [x for x in held if not x.base_failed]
+    assert all(x.kept == (x.toxic_score < TOXIC_THRESHOLD) for x in held)
+    assert np.mean([x.kept for x in held if x.toxic == 1]) < 0.15
+    assert np.mean([x.kept for x in held if x.toxic == 0]) > 0.97
+    assert toxic_words(docs, labels.where("toxic = 0")) == toxic_words(docs.limit(0), labels) == {}
+
+
 def test_importance_resampling(frame, spark):
     from promolens.llm.importance import resample
     r = random.Random(2)
