@@ -11,9 +11,11 @@ break, no dependence on partitioning.
   are the only broadcast, bounded by that parameter.
 * Each distinct text weighs once in both models (grouped by its digest; it is
   trusted when one of its copies is): a text cannot lower its own score by being
-  copied.  Copies collapse in each task before the shuffle.
+  copied.  Only digests and ids are grouped.  The groups of several rows are
+  broadcast while few (counted), else joined by a shuffle of the texts; the row
+  with the least id stands for its group.
 * The raw counts cover every n-gram of every distinct text, pre-aggregated in
-  each task: the second shuffle carries ``buckets`` rows a task at most.
+  each task: the shuffle carries ``buckets`` rows a task at most.
 * The model is ``buckets`` numbers; it is put into the plan as a literal, so
   scoring is a projection of the scan, without a shuffle.
 * Toxic documents of good quality pass that mean, which dilutes a few words.  So
@@ -43,7 +45,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promolens.llm.common import documents, paired, table, words_of
+from promolens.llm.common import documents, paired, shared_table, small_side, table, words_of
 
 BUCKETS, ALPHA, PRIOR, THRESHOLD, MAX_TARGET = 16_384, 1.0, 100_000.0, -0.05, 200_000
 TOXIC_RATIO, TOXIC_LEAST, TOXIC_THRESHOLD, MAX_TOXIC = 20.0, 5, 6.0, 4096
@@ -66,18 +68,32 @@ def _word_hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
+def _once(rows: DataFrame, mark: str) -> DataFrame:
+    """``rows`` (_id, _text, ``mark``) without the copies of a text: _text, the
+    largest ``mark`` of the copies and _weight, 1 (rows that repeat id and text
+    share it)."""
+    rows = rows.withColumn("_d", F.md5("_text"))
+    copies = (rows.groupBy("_d", "_id").agg(F.count(F.lit(1)).alias("n"), F.max(mark).alias("mark"))
+              .groupBy("_d").agg(F.sum("n").alias("all"), F.min(F.struct("_id", "n")).alias("first"), F.max("mark").alias("mark")))
+    copies = shared_table(copies.where("_d IS NOT NULL AND all > 1").select(
+        "_d", F.col("first._id").alias("least"), F.col("first.n").alias("n"), "mark", F.lit(True).alias("several")), "copies")
+    return (rows.join(small_side(copies), "_d", "left").where(F.col("several").isNull() | F.col("_id").eqNullSafe(F.col("least")))
+            .select("_text", F.when(F.col("several"), F.col("mark")).otherwise(F.col(mark)).alias(mark),
+                    (1.0 / F.coalesce("n", F.lit(1))).alias("_weight")))
+
+
 def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, alpha: float = ALPHA, prior: float = PRIOR,
         max_target: int = MAX_TARGET, text_col: str = "text", id_col: str = "doc_id") -> list[float]:
     """log(P_target / P_raw) of each bucket."""
     good = trusted_ids(labels, max_target).select(F.col("doc_id").alias("_id"), F.lit(1).alias("_good"))
     rows = (docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-            .join(F.broadcast(good), "_id", "left")               # bounded by max_target
-            .groupBy(F.md5("_text").alias("_d")).agg(F.max("_good").alias("_good"), F.first("_text").alias("_text"))
-            .select("_good", _word_hashes(words_of(F.col("_text"))).alias("_h"))
+            .join(F.broadcast(good), "_id", "left"))              # bounded by max_target
+    rows = (_once(rows, "_good")
+            .select("_weight", "_good", _word_hashes(words_of(F.col("_text"))).alias("_h"))
             # outer: the filter that a plain explode brings along would evaluate the words once more
-            .select("_good", F.explode_outer(F.concat("_h", paired(F.col("_h"), 1))).alias("_g")).where("_g IS NOT NULL")
-            .select("_good", _bucket(F.col("_g"), buckets).alias("_b")))
-    counts = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("r"), F.count("_good").alias("t")).collect()   # <= buckets rows
+            .select("_weight", "_good", F.explode_outer(F.concat("_h", paired(F.col("_h"), 1))).alias("_g")).where("_g IS NOT NULL")
+            .select("_weight", F.when(F.col("_good") == 1, F.col("_weight")).otherwise(0.0).alias("_t"), _bucket(F.col("_g"), buckets).alias("_b")))
+    counts = rows.groupBy("_b").agg(F.sum("_weight").alias("r"), F.sum("_t").alias("t")).collect()   # <= buckets rows
     raw, target = [alpha] * buckets, [0] * buckets
     for b, r, t in counts:
         raw[b] += r
@@ -93,17 +109,18 @@ def toxic_words(docs: DataFrame, labels: DataFrame, ratio: float = TOXIC_RATIO,
     marks = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
     sides = [marks.where(F.col("_toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_target) for t in (0, 1)]
     ids = sides[0].union(sides[1]).select(F.col("doc_id").alias("_id"), F.col("_toxic").cast("long").alias("_toxic"))
-    rows = (docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(ids), "_id")   # bounded by max_target
-            .groupBy(F.md5("_text").alias("_d")).agg(F.max("_toxic").alias("_toxic"), F.first("_text").alias("_text"))
-            .select("_toxic", F.array_distinct(_word_hashes(words_of(F.col("_text")))).alias("_h"))
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(ids), "_id")   # bounded by max_target
+    rows = (_once(rows, "_toxic")
+            .select("_weight", "_toxic", F.array_distinct(_word_hashes(words_of(F.col("_text")))).alias("_h"))
             # one null a text: the number of texts of either kind
-            .select("_toxic", F.explode(F.concat("_h", F.array(F.lit(None).cast("long")))).alias("_g")))
-    counts = rows.groupBy("_g").agg(F.sum("_toxic").alias("t"), F.sum(1 - F.col("_toxic")).alias("c"))
-    n = rows.where("_g IS NULL").agg(F.sum("_toxic").alias("t"), F.sum(1 - F.col("_toxic")).alias("c")).first()
+            .select("_weight", "_toxic", F.explode(F.concat("_h", F.array(F.lit(None).cast("long")))).alias("_g")))
+    counts = rows.groupBy("_g").agg(F.sum(F.col("_weight") * F.col("_toxic")).alias("t"), F.sum(F.col("_weight") * (1 - F.col("_toxic"))).alias("c"))
+    counts = shared_table(counts.where((F.col("t") >= least) | F.col("_g").isNull()), "toxic-words")
+    n = counts.where("_g IS NULL").first() or {"t": 0, "c": 0}
     if not n["t"] or not n["c"]:
         return {}
     share = (F.col("t") / n["t"]) / ((F.col("c") + 1) / (n["c"] + 1))
-    strong = counts.where(F.col("_g").isNotNull() & (F.col("t") >= least)).withColumn("share", share).where(F.col("share") >= ratio)
+    strong = counts.where("_g IS NOT NULL").withColumn("share", share).where(F.col("share") >= ratio)
     return {x["_g"]: math.log(x["share"]) for x in strong.orderBy(F.desc("share"), F.desc("t"), "_g").limit(max_words).collect()}
 
 
