@@ -4,15 +4,17 @@ The piece vocabulary is a file of a public tokenizer (``model`` is its path;
 it is read on the executors and never trained).  A text is encoded as a BPE
 agenda: the candidate merges of a word lie in a heap by score, then position;
 the best one is taken first.  Before a merge is done, a hash keyed by (seed,
-variant, word, position, piece) decides whether this candidate is skipped; a
+document id, place of the word in the text, position, piece) decides whether this candidate is skipped; a
 skipped candidate is gone, so the word comes out in smaller merge-type pieces.
 ``dropout=0`` gives the library's own segmentation.
 
-The key makes segmentations repeatable: the same seed and variant always give
-the same pieces, whatever the partitioning or retries.  A document's variant
-is a hash of its id modulo ``variants``; hence a word is segmented in several
-ways over the corpus, and yet each worker can remember recent words (a cache
-of two generations of ``CACHE_WORDS`` entries, so its memory is bounded).
+The key makes segmentations repeatable: the same seed, id and text always give
+the same pieces, whatever the partitioning or retries, and every occurrence of a
+word is cut on its own.  Each worker remembers only what does not depend on the
+key: a recent word's pieces when nothing is skipped and the candidates that this
+run meets.  An occurrence that skips none of them has these pieces; any other
+runs the agenda.  The cache has two generations of ``CACHE_WORDS`` entries, so its
+memory is bounded.
 
 Decoding is lossless: spaces are the meta piece character, characters outside
 the vocabulary are byte pieces, and a literal meta character in the text is
@@ -38,11 +40,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from promolens.llm.common import arrow_map, documents
+from promolens.llm.common import P1, arrow_map, documents, mix
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-DROPOUT, SEED, VARIANTS = 0.1, 17, 2
-CACHE_WORDS = 400_000              # of each of two generations
+DROPOUT, SEED = 0.1, 17
+CACHE_WORDS = 100_000              # of each of two generations
 META = "▁"
 LITERAL = "\0" + META                       # a meta character of the text itself, not a space
 MASK = (1 << 64) - 1
@@ -76,44 +78,50 @@ class Pieces:
         places = {x: k for k, x in enumerate(sorted(set(scores.values()), reverse=True))}
         self.rank = {piece: places[x] for piece, x in scores.items()}       # equal scores share a rank
         self.bar, self.seed = int(dropout * 2.0**32), seed
-        self.recent: dict[int, list[dict[str, bytes]]] = {}     # by variant: young and old generation
+        self.recent: list[dict[str, tuple[bytes, tuple[int, ...]]]] = [{}, {}]     # young and old generation
 
-    def encode(self, text: str, variant: int = 0) -> bytes:
+    def encode(self, text: str, doc_id: int | None = None) -> bytes:
         """Piece ids as native 32-bit integers."""
         if not text:
             return b""
         # with the scheme's leading space; cut where no merge can cross
         units = re.findall(r" *[^ \n]+|\n| +", " " + text)
-        recent = self.recent.setdefault(variant, [{}, {}])
-        out = list(map(recent[0].get, units))
-        if None in out:
-            self._fill(units, out, recent, variant)
+        bar, out = self.bar, []
+        for unit, key in zip(units, self.keys(doc_id, len(units)), strict=True):
+            ids, checks = self.recent[0].get(unit) or self._plain(unit)
+            for c in checks:
+                if (key * c >> 31) & 0xFFFFFFFF < bar:
+                    ids = array("i", self.agenda(unit, key)).tobytes()
+                    break
+            out.append(ids)
         return b"".join(out)
 
-    def _fill(self, units: list[str], out: list, recent: list[dict[str, bytes]], variant: int) -> None:
-        """Encode what the cache of recent words lacks.  The cache has two
-        generations: when the young one is full it becomes the old one, and
-        words found there move back, so frequent words stay."""
-        for k, ids in enumerate(out):
-            if ids is None:
-                unit = units[k]
-                ids = recent[0].get(unit)
-                if ids is None:
-                    if len(recent[0]) * len(self.recent) >= CACHE_WORDS:
-                        recent[:] = {}, recent[0]
-                    ids = recent[1].get(unit)
-                    if ids is None:
-                        ids = array("i", self.agenda(unit, variant)).tobytes()
-                    recent[0][unit] = ids
-                out[k] = ids
-
-    def agenda(self, unit: str, variant: int) -> list[int]:
-        rank, bar = self.rank.get, self.bar
+    def keys(self, doc_id: int | None, n: int) -> list[int]:
+        """An odd 64-bit key for each of the first ``n`` words of a document."""
+        first = np.uint64(xxhash.xxh64_intdigest(str(doc_id).encode(), self.seed & MASK))
+        return (mix(first + np.arange(n, dtype=np.uint64) * P1) | np.uint64(1)).tolist()
+
+    def _plain(self, unit: str) -> tuple[bytes, tuple[int, ...]]:
+        """A word's pieces when nothing is skipped, and the candidates met.  The
+        cache has two generations: when the young one is full it becomes the old
+        one, and words found there move back, so frequent words stay."""
+        if len(self.recent[0]) >= CACHE_WORDS:
+            self.recent[:] = {}, self.recent[0]
+        entry = self.recent[1].get(unit)
+        if entry is None:
+            met: list[int] = []
+            ids = array("i", self.agenda(unit, 1, met)).tobytes()
+            entry = ids, tuple({((e & 0xFFFFFFFFFF) << 20) + (e >> 40) + 0x9E3779B9 for e in met}) if self.bar else ()
+        self.recent[0][unit] = entry
+        return entry
+
+    def agenda(self, unit: str, key: int, met: list[int] | None = None) -> list[int]:
+        """Pieces of a word.  With ``met`` nothing is skipped and the candidates are added to it."""
+        rank, bar = self.rank.get, self.bar if met is None else 0
         word = unit.lstrip(" ")
         sym = [META] * (len(unit) - len(word)) + [c if c != META else LITERAL for c in word]
         n = len(sym)
         right, left = list(range(1, n + 1)), list(range(-1, n - 1))
-        key = xxhash.xxh64_intdigest(unit.encode("utf-8", "surrogatepass"), (self.seed * 1_000_003 + variant) & MASK) | 1
         # an entry is rank and left position; it is void when the pair there has another rank by now
         heap = []
         for i in range(n - 1):
@@ -122,6 +130,13 @@ class Pieces:
                 heap.append(r << 40 | i)
         heapq.heapify(heap)
         pop, push = heapq.heappop, heapq.heappush
+        if met is not None:
+            met += heap
+
+            def push(heap: list[int], e: int) -> None:
+                met.append(e)
+                heapq.heappush(heap, e)
+
         while heap:
             e = pop(heap)
             i = e & 0xFFFFFFFFFF
@@ -170,16 +185,12 @@ def pieces_of(model: str, dropout: float, seed: int) -> Pieces:
     return _PIECES[key]
 
 
-def variant_of(doc_id: int | None, seed: int, variants: int) -> int:
-    return xxhash.xxh64_intdigest(str(doc_id).encode(), seed) % max(1, variants)
-
-
 def _texts(batch: pa.RecordBatch, id_col: str, text_col: str):
     return zip(batch.column(id_col).to_pylist(), batch.column(text_col), strict=True)
 
 
 def encode(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", model: str = MODEL,
-           dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
+           dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
     """``docs`` with ``ids array<int>``: the pieces of each whole text."""
     keep = [f for f in docs.schema.fields if f.name != "ids"]
     schema = T.StructType([*keep, T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
@@ -189,7 +200,7 @@ def encode(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", mode
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
-                coded = [pieces.encode(t.as_py() or "", variant_of(i, seed, variants)) for i, t in _texts(part, id_col, text_col)]
+                coded = [pieces.encode(t.as_py() or "", i) for i, t in _texts(part, id_col, text_col)]
                 offsets = np.cumsum([0, *(len(c) // 4 for c in coded)], dtype=np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(coded), dtype="<i4")))
                 yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in keep), ids], names=[f.name for f in schema])

@@ -271,6 +271,19 @@ def test_sentencepiece_dropout(frame):
     assert encode(frame([])).count() == 0
 
 
+def test_sentencepiece_cuts_each_occurrence_on_its_own():
+    from promolens.llm.sentencepiece_dropout import MODEL, Pieces
+    pieces = Pieces(MODEL, 0.1, 17)
+    word = " internationalisation"
+    inside = {tuple(pieces.agenda(word, k)) for k in pieces.keys(5, 200)}
+    assert len(inside) > 2
+    assert len({pieces.encode("internationalisation", i) for i in range(200)}) > 2
+    # the remembered run gives what the agenda gives
+    units = [" internationalisation", " the", " aaaaaaaaa", " 漢字", " keyboards,"] * 40
+    want = b"".join(np.array(pieces.agenda(u, k), "<i4").tobytes() for u, k in zip(units, pieces.keys(9, len(units)), strict=True))
+    assert pieces.encode("".join(units)[1:], 9) == want
+
+
 def test_pipeline_keeps_columns_and_decides(spark):
     import corpus_pipeline
     from promolens.llm.common import documents
