@@ -1,12 +1,14 @@
 """Operator 1: URL filters from association rules.
 
 A url becomes a set of tokens (scheme, host, parent domains, host prefix, path
-words, file ending, query names).  Over the labelled urls Spark's FP-growth
-mines the frequent token sets; the item ``bad`` marks a url whose label is low
-quality or toxic.  A rule ``tokens -> bad`` is kept when
-
-* its support (tokens with ``bad``) is at least ``min_support`` of the labelled
-  urls and ``min_count`` of them,
+words, file ending, query names).  Over the urls whose label is bad (low quality
+or toxic) Spark's FP-growth mines the frequent token sets; single tokens are
+counted besides, down to ``min_count`` bad urls.  How many labelled urls hold a
+set is counted by the inverted index below.  A rule ``tokens -> bad`` is kept when
+
+* it has at least ``min_count`` bad urls; a set of several tokens also
+  ``min_support`` of the bad urls.  So a host with three bad urls is caught in a
+  corpus of any size, parts of a mixed host only from 0.1% of the bad urls on,
 * its confidence is at least ``min_confidence``, and
 * no rule on a part of its tokens is as confident (the longer one adds nothing).
 
@@ -16,7 +18,7 @@ exploded, joined with the index by token, and a rule holds when the set has all
 its tokens.  Hand-written (host, path) rules go first: the longest fitting rule
 gives the verdict; without one the mined rules block, else the url is allowed.
 
-All of it is DataFrame functions and Spark ML's FP-growth; the frequent single
+All of it is DataFrame functions and Spark ML's FP-growth; its frequent single
 tokens, which FP-growth keeps on the driver, are at most (tokens a url) /
 ``min_support``.
 
@@ -28,6 +30,8 @@ values null, is not used; without labels nothing is mined.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,7 +41,6 @@ from promolens.llm.common import shared_table, small_side, table
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
          ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 MIN_SUPPORT, MIN_COUNT, MIN_CONFIDENCE, MAX_TOKENS = 0.001, 3, 0.5, 3
-BAD = "bad"
 RESULTS = ("host", "path", "rule", "verdict")
 LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -90,18 +93,19 @@ def mine(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT,
     bad = (F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)
     marks = labels.where("quality IS NOT NULL OR toxic IS NOT NULL").groupBy(F.col("doc_id").alias("id")).agg(F.max(bad.cast("int")).alias("bad"))
     baskets = pages.join(marks, "id").select(tokens_of(F.col("url")).alias("t"), "bad").where(F.size("t") > 0)
-    baskets = shared_table(baskets.select(F.when(F.col("bad") == 1, F.concat("t", F.array(F.lit(BAD)))).otherwise(F.col("t")).alias("items")), "baskets")
-    total = baskets.count()
+    baskets = shared_table(baskets, "baskets")
+    total = baskets.where("bad = 1").count()
     spark = pages.sparkSession
     if not total:
         return spark.createDataFrame([], "tokens array<string>, hits long, confidence double")
-    least = max(min_count, min_support * total)
-    sets = FPGrowth(itemsCol="items", minSupport=least / total, minConfidence=1.0).fit(baskets).freqItemsets
-    size = F.size(F.array_except("items", F.array(F.lit(BAD))))
-    sets = shared_table(sets.where((size >= 1) & (size <= max_tokens)).select(
-        F.array_sort(F.array_except("items", F.array(F.lit(BAD)))).alias("tokens"), F.array_contains("items", BAD).alias("bad"), "freq"), "itemsets")
-    rules = (sets.where("bad").select("tokens", F.col("freq").alias("hits")).join(sets.where("NOT bad").select("tokens", "freq"), "tokens")
-             .select("tokens", "hits", (F.col("hits") / F.col("freq")).alias("confidence")).where(F.col("confidence") >= min_confidence))
+    least = max(min_count, math.ceil(min_support * total))
+    sets = FPGrowth(itemsCol="t", minSupport=(least - 0.5) / total, minConfidence=1.0).fit(baskets.where("bad = 1").select("t")).freqItemsets
+    sets = sets.where(F.size("items") <= max_tokens).select(F.array_sort("items").alias("tokens"), F.col("freq").alias("hits"))
+    single = baskets.where("bad = 1").select(F.explode("t").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("hits"))
+    sets = sets.where(F.size("tokens") > 1).union(single.where(F.col("hits") >= min_count).select(F.array("x"), "hits"))
+    folded = shared_table(baskets.groupBy("t").agg(F.count(F.lit(1)).alias("n")), "labelled")
+    held = _holding(folded, _index(sets, folded, "hits")).groupBy("tokens").agg(F.first("hits").alias("hits"), F.sum("n").alias("freq"))
+    rules = held.select("tokens", "hits", (F.col("hits") / F.col("freq")).alias("confidence")).where(F.col("confidence") >= min_confidence)
     rules = shared_table(rules, "rules")
     # parts of a rule's tokens: leaving any one or more out (at most 2 ** max_tokens - 2 of them)
     parts = F.filter(F.transform(F.sequence(F.lit(1), F.shiftleft(F.lit(1), max_tokens) - 2), lambda m: F.filter(
@@ -115,16 +119,23 @@ def mine(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT,
 def match(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """tokens (of urls) that hold a rule, with the most confident one's confidence."""
     sets = shared_table(pages.select(F.xxhash64("url").alias("u"), tokens_of(F.col("url")).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")), "tokensets")
-    # each rule hangs under the token that fewest urls have
+    return _holding(sets, _index(rules, sets, "confidence")).groupBy("t").agg(F.max("confidence").alias("confidence"))
+
+
+def _index(rules: DataFrame, sets: DataFrame, value: str) -> DataFrame:
+    """token, tokens, ``value``: each rule under the token that fewest urls of ``sets`` (t, n) have."""
     rules = rules.withColumn("rid", F.monotonically_increasing_id())
     used = shared_table(rules, "rules")
     words = used.select(F.explode("tokens").alias("token")).distinct()
     counts = sets.select("n", F.explode("t").alias("token")).join(small_side(shared_table(words, "tokens")), "token").groupBy("token").agg(F.sum("n").alias("n"))
-    index = used.select("rid", "tokens", "confidence", F.explode("tokens").alias("token")).join(counts, "token").groupBy("rid").agg(
-        F.min_by("token", F.struct("n", "token")).alias("token"), F.first("tokens").alias("tokens"), F.first("confidence").alias("confidence"))
-    index = shared_table(index.drop("rid"), "index")
-    hits = sets.select("t", F.explode("t").alias("token")).join(small_side(index), "token").where(F.size(F.array_except("tokens", "t")) == 0)
-    return hits.groupBy("t").agg(F.max("confidence").alias("confidence"))
+    index = used.select("rid", "tokens", value, F.explode("tokens").alias("token")).join(counts, "token").groupBy("rid").agg(
+        F.min_by("token", F.struct("n", "token")).alias("token"), F.first("tokens").alias("tokens"), F.first(value).alias(value))
+    return shared_table(index.drop("rid"), "index")
+
+
+def _holding(sets: DataFrame, index: DataFrame) -> DataFrame:
+    """The rows of ``sets`` with each rule all of whose tokens they have."""
+    return sets.select("t", "n", F.explode("t").alias("token")).join(small_side(index), "token").where(F.size(F.array_except("tokens", "t")) == 0)
 
 
 def judge(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:

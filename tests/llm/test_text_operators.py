@@ -205,6 +205,16 @@ def test_mined_rules_against_counting(spark):
     assert got == want and got
 
 
+def test_small_bad_host_among_many_labels(spark):
+    from promolens.llm.url_rules import judge
+    rows = [(i, f"https://www.good{i % 50}.net/p/{i}") for i in range(6000)] + [(6000 + i, f"https://www.small-bad.net/p/{i}") for i in range(4)]
+    rows += [(7000 + i, f"https://www.large-bad.net/p/{i}") for i in range(3200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i < 6000), 0) for i, _ in rows if i != 6003], "doc_id long, quality int, toxic int")
+    blocked = {r.page_id for r in judge(pages, labels).where("verdict = 'block'").collect()}
+    assert set(range(6000, 6004)) <= blocked and not blocked & set(range(6000))
+
+
 @pytest.mark.parametrize("split", ["64m", "700b"])
 def test_warc_round_trip(spark, tmpdir_spark, split):
     from promolens.llm.warc_chain import read_archives, write_archives
