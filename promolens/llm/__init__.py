@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 
 def queries() -> dict[str, Callable]:
-    from promolens.llm import hmm_lm, importance, jaccard_join, line_join, pfp_dedup, quality_llr, sentencepiece_dropout, template_decon, url_rules, warc_chain
+    from promolens.llm import hmm_lm, importance, jaccard_join, line_join, merkle, pfp_dedup, quality_llr, sentencepiece_dropout, template_decon, url_rules, warc_chain
     return {
         "op6_hmm_scores": hmm_lm.op6_hmm_scores,
         "op7_template_leaks": template_decon.op7_template_leaks,
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable]:
         "op4_quality_llr": quality_llr.op4_quality_llr,
         "op9_warc_chain": warc_chain.op9_warc_chain,
         "op10_sentencepiece": sentencepiece_dropout.op10_sentencepiece,
+        "op13_merkle_manifest": merkle.op13_merkle_manifest,
     }
 
 

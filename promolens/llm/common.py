@@ -70,13 +70,18 @@ def small_side(df: DataFrame, max_rows: int = 500_000, lists: str | None = None)
     return F.broadcast(df) if few else df
 
 
-def arrow_map(df: DataFrame, run: Callable, schema) -> DataFrame:
-    """``df.mapInArrow(run, schema)`` with this library's folder on the workers'
-    path, for sessions that were started elsewhere without installing it."""
+def workers_import(spark: SparkSession) -> None:
+    """This library's folder on the workers' path, for sessions that were started
+    elsewhere without installing it."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = getattr(getattr(df.sparkSession, "_sc", None), "environment", None)
+    env = getattr(getattr(spark, "_sc", None), "environment", None)
     if env is not None and root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH")) if x)
+
+
+def arrow_map(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` on workers that can import this library."""
+    workers_import(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
