@@ -1,8 +1,9 @@
 """Operator 11: best-two-fit packing of tokenised documents into sequences.
 
 1. Pieces.  Every text becomes token ids and one end id; only what is longer than a
-   sequence is cut.  Tokens never cross white space, so a task encodes each
-   different word once and lays the ids of a block of texts out with numpy.
+   sequence is cut.  Tokens never cross white space nor the border of a word and its
+   mark, so a task encodes each different word once and lays the ids of a block of
+   texts out with numpy.
 2. Plan.  What a packing looks like depends on the piece lengths alone, and there
    are at most ``capacity`` different ones: their counts (one row a length) are all
    that reaches the driver.  ``best_two_fit`` fills one sequence after the other:
@@ -24,6 +25,7 @@ comes first is not defined.
 
 from __future__ import annotations
 
+import itertools
 import os
 import zlib
 from collections import Counter
@@ -31,7 +33,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,7 +41,7 @@ from promolens.llm.common import arrow_map, documents, shared_table, text_blocks
 
 CAPACITY, END = 2048, 0
 BLOCK = 1 << 16
-CACHED_WORDS = 1 << 18
+CACHED_WORDS = 1 << 19
 
 
 def tokenizer_path(name: str) -> str:
@@ -50,6 +51,31 @@ def tokenizer_path(name: str) -> str:
 
 # --- pieces ------------------------------------------------------------------------
 
+# fixed values: marks that end a word for this tokenizer's split; none of them is part of
+# a contraction or of a special token
+_MARKS = b'!"(),.:;?'
+_KIND = np.full(256, 3, np.uint8)                          # 3: anything else
+_KIND[[0x20, *range(0x09, 0x0E)]] = 0
+_KIND[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = 1
+_KIND[list(_MARKS)] = 2
+
+
+def words_of_block(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """(words, first word of each text and the end) of a block of texts: what stands
+    between white space, cut between ASCII letters or digits and marks as well."""
+    kind = _KIND[data]
+    begins = kind != 0
+    if len(data) > 1:
+        begins[1:] &= (kind[:-1] == 0) | (kind[:-1] + kind[1:] == 3) & (kind[1:] != 3) & (kind[:-1] != 3)
+    at = offsets[:-1][offsets[:-1] < len(data)]
+    begins[at] = kind[at] != 0
+    full = kind != 0
+    start = np.flatnonzero(begins)
+    kept = data[full]
+    place = np.append((np.cumsum(full, dtype=np.int32) - full)[start], len(kept)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(place), pa.py_buffer(kept)]), np.searchsorted(start, offsets)
+
+
 class WordIds:
     """Ids of whole texts, by their words; ``end`` follows each text.  At most
     ``CACHED_WORDS`` words and those of one block are remembered."""
@@ -59,35 +85,58 @@ class WordIds:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.end = end
+        self.mark = self._ids([b"!"])[0][0]
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.first = [0, 1]                      # word 0 is the end id
-        self.flat = [self.end]
+        self.number: dict[bytes, int] = {}
+        self.count = np.ones(1, np.int64)                  # word 0 is the end id
+        self.flat = np.array([self.end], dtype=np.uint32)
 
-    def _numbers(self, words: list[str]) -> np.ndarray:
+    def _numbers(self, words: list[bytes]) -> np.ndarray:
         if len(self.number) > CACHED_WORDS:
             self.forget()
-        new = [w for w in words if w not in self.number]
-        for w, coded in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.number[w] = len(self.first) - 1
-            self.flat += coded.ids
-            self.first.append(len(self.flat))
-        return np.array([self.number[w] for w in words], dtype=np.int64)
-
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, offsets) of a block of texts without nulls."""
-        split = pc.ascii_split_whitespace(texts)
-        offsets = split.offsets.to_numpy().astype(np.int64)
-        coded = split.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
-        words = self._numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
-        words = np.insert(words, offsets[1:] - offsets[0], 0)
-        first, flat = np.array(self.first, dtype=np.int64), np.array(self.flat, dtype=np.uint32)
-        length = (first[1:] - first[:-1])[words]
+        get = self.number.get
+        out = np.array([get(w, -1) for w in words], dtype=np.int64)
+        unknown = np.flatnonzero(out < 0)
+        if len(unknown):
+            new = [words[i] for i in unknown.tolist()]
+            new.sort(key=lambda w: b"!" in w)              # those without the separator first
+            count, flat = self._coded(new)
+            self.number.update(zip(new, range(len(self.count), len(self.count) + len(new)), strict=True))
+            out[unknown] = [self.number[words[i]] for i in unknown.tolist()]
+            self.count, self.flat = np.concatenate([self.count, count]), np.concatenate([self.flat, flat])
+        return out
+
+    def _ids(self, texts: list[bytes]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast([t.decode("utf-8", "surrogatepass") for t in texts], add_special_tokens=False)]
+
+    def _coded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids, ids) of each word; words without ``!`` come first.  They are
+        encoded many at a time, apart by a lone ``!``, whose id no other word gives."""
+        plain = sum(b"!" not in w for w in words)
+        joined = [b" ! ".join(words[i:min(i + 128, plain)]) + b" !" for i in range(0, plain, 128)]
+        ids = np.fromiter(itertools.chain.from_iterable(self._ids(joined)), np.uint32)
+        mark = ids == self.mark
+        ends = np.flatnonzero(mark)
+        if len(ends) != plain:
+            raise ValueError("a word gave the separator's id")
+        rest = self._ids(words[plain:])
+        count = np.concatenate([np.diff(np.append(-1, ends)) - 1, np.fromiter(map(len, rest), np.int64, len(rest))])
+        return count, np.concatenate([ids[~mark], np.fromiter(itertools.chain.from_iterable(rest), np.uint32)])
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets) of a block of texts."""
+        words, firsts = words_of_block(data, offsets)
+        coded = words.dictionary_encode()
+        numbers = self._numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
+        numbers = np.insert(numbers, firsts[1:], 0)
+        length = self.count[numbers]
         stop = np.cumsum(length)
-        ids = flat[np.repeat(first[words] - (stop - length), length) + np.arange(stop[-1] if len(stop) else 0)]
-        ends = offsets[1:] - offsets[0] + np.arange(len(texts))           # word number of each text's end
+        first = np.cumsum(self.count) - self.count
+        total = int(stop[-1]) if len(stop) else 0
+        ids = self.flat[np.repeat((first[numbers] - (stop - length)).astype(np.int32), length) + np.arange(total, dtype=np.int32)]
+        ends = firsts[1:] + np.arange(len(offsets) - 1)     # place of each text's end id among the words
         return ids, np.concatenate([[0], stop[ends]])
 
 
@@ -116,9 +165,8 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, text_col: str = "text", id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = WordIds(tokenizer or tokenizer_path("word_bpe_49k.json"), end)
         for batch in batches:
-            texts = pc.fill_null(batch.column(text_col), "")
-            for a, b, _, _ in text_blocks(texts, 1 << 23):
-                yield cut(*coder.encode(texts.slice(a, b - a)), batch.column(id_col).slice(a, b - a))
+            for a, b, data, offsets in text_blocks(batch.column(text_col), 1 << 22):
+                yield cut(*coder.encode(data, offsets), batch.column(id_col).slice(a, b - a))
 
     return arrow_map(docs.select(id_col, text_col), run, T.StructType(fields))
 
