@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 
 def queries() -> dict[str, Callable]:
-    from promolens.llm import hmm_lm, importance, jaccard_join, line_join, merkle, packing, pfp_dedup, quality_llr, sentencepiece_dropout, template_decon, url_rules, warc_chain
+    from promolens.llm import hmm_lm, importance, jaccard_join, line_join, merkle, packing, pair_bitmaps, pfp_dedup, quality_llr, sentencepiece_dropout, template_decon, url_rules, warc_chain
     return {
         "op6_hmm_scores": hmm_lm.op6_hmm_scores,
         "op7_template_leaks": template_decon.op7_template_leaks,
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable]:
         "op9_warc_chain": warc_chain.op9_warc_chain,
         "op10_sentencepiece": sentencepiece_dropout.op10_sentencepiece,
         "op11_best_two_fit": packing.op11_best_two_fit,
+        "op12_pair_bitmaps": pair_bitmaps.op12_pair_bitmaps,
         "op13_merkle_manifest": merkle.op13_merkle_manifest,
     }
 
