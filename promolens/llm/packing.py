@@ -54,19 +54,19 @@ def tokenizer_path(name: str) -> str:
 # fixed values: marks that end a word for this tokenizer's split; none of them is part of
 # a contraction or of a special token
 _MARKS = b'!"(),.:;?'
-_KIND = np.full(256, 3, np.uint8)                          # 3: anything else
-_KIND[[0x20, *range(0x09, 0x0E)]] = 0
-_KIND[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = 1
-_KIND[list(_MARKS)] = 2
+KIND = np.full(256, 3, np.uint8)                          # 3: anything else
+KIND[[0x20, *range(0x09, 0x0E)]] = 0
+KIND[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = 1
+KIND[list(_MARKS)] = 2
 
 
 def words_of_block(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     """(words, first word of each text and the end) of a block of texts: what stands
     between white space, cut between ASCII letters or digits and marks as well."""
-    kind = _KIND[data]
+    kind = KIND[data]
     begins = kind != 0
     if len(data) > 1:
-        begins[1:] &= (kind[:-1] == 0) | (kind[:-1] + kind[1:] == 3) & (kind[1:] != 3) & (kind[:-1] != 3)
+        begins[1:] &= (kind[:-1] == 0) | (kind[:-1] + kind[1:] == 3) & (kind[:-1] % 3 != 0) & (kind[1:] % 3 != 0)
     at = offsets[:-1][offsets[:-1] < len(data)]
     begins[at] = kind[at] != 0
     full = kind != 0

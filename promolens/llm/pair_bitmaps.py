@@ -4,8 +4,9 @@ Two tokenizers cut the same bytes; where tokens of both end, the text falls into
 groups, and every token of A is linked with every token of B in its group.
 
 1. Units.  Neither tokenizer makes a token that holds a space behind another
-   character, so a text may be cut before such spaces: both tokenizers, the groups
-   and the links of the whole text are those of its units, one after the other.  A
+   character, or a mark beside an ASCII letter or digit (B's pieces are looked
+   through for that), so a text may be cut there: both tokenizers, the groups and
+   the links of the whole text are those of its units, one after the other.  A
    task encodes each different unit once.  A unit that does not give its bytes back
    sends its text through both tokenizers as a whole.
 2. Inverted pair bitmaps.  Documents are numbered in super blocks of 2**16 inside a
@@ -27,6 +28,7 @@ Memory is bounded by ``ENTRIES``, ``CACHED_UNITS`` and the longest single text.
 
 from __future__ import annotations
 
+import itertools
 import os
 from collections.abc import Iterator
 from hashlib import sha256
@@ -40,13 +42,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from promolens.llm.common import arrow_map, discard, documents, shared_table, text_blocks
-from promolens.llm.packing import tokenizer_path
+from promolens.llm.packing import KIND, tokenizer_path
 
 PLACES = 1 << 16                  # documents of a super block
 BITSET = PLACES // 8              # bytes of a container with one bit a document
-ENTRIES = 2_000_000               # (pair, document) entries a task holds before it writes containers
-CACHED_UNITS = 1 << 17
-UNIT_BYTES = 1 << 22
+ENTRIES = 1_000_000               # (pair, document) entries a task holds before it writes containers
+CACHED_UNITS = 3 << 17
+UNIT_BYTES = 1 << 21
 
 
 # --- both tokenizers ---------------------------------------------------------------
@@ -94,13 +96,16 @@ class Aligner:
                                     for i, p in enumerate(self.b.id_to_piece(list(range(len(self.b)))))])
         self.blank = self.b.piece_to_id("▁")
         pieces = self.b.id_to_piece(list(range(len(self.b))))
-        self.separable = not any("▁" in p.lstrip("▁") for p in pieces)
+        # where no piece crosses, texts may be cut: before spaces, and between words and marks
+        self.separable = not any("▁" in p.lstrip("▁") or "\n" in p for p in pieces)
+        touched = {m for p in pieces for x, y in itertools.pairwise(p) for m, c in ((x, y), (y, x)) if c.isascii() and c.isalnum()}
+        self.kind = np.where([k == 2 and chr(c) in touched for c, k in enumerate(KIND)], 3, KIND).astype(np.uint8)
         self.forget()
 
     def forget(self) -> None:
         self.number: dict[bytes, int] = {}
         self.text: list[bytes] = []                        # the groups of each unit
-        self.tables = {c: np.zeros(0, np.int64) for c in ("good", "n_a", "n_b", "n_groups", "n_links", "first")}
+        self.tables = {c: np.zeros(0, np.int32) for c in ("good", "n_a", "n_b", "n_groups", "n_links", "first")}
         self.pairs = np.zeros(0, np.uint32)
 
     def numbers(self, units: list[bytes]) -> np.ndarray:
@@ -114,15 +119,16 @@ class Aligner:
     def _learn(self, units: list[bytes]) -> None:
         strings = [u.decode("utf-8", "surrogatepass") for u in units]
         coded_a = [x.ids for x in self.a.encode_batch_fast(strings, add_special_tokens=False)]
-        coded_b = self.b.encode([s[1:] for s in strings], num_threads=1)
-        coded_b = [x if len(s) > 1 else [self.blank] for x, s in zip(coded_b, strings, strict=True)]
+        # B adds the first space itself; before other units stands a line end, which joins nothing
+        coded_b = self.b.encode([s[1:] if s[0] == " " else "\n" + s for s in strings], num_threads=1)
+        coded_b = [x[2:] if s[0] != " " else x if len(s) > 1 else [self.blank] for x, s in zip(coded_b, strings, strict=True)]
         size = np.array([len(u) for u in units], dtype=np.int64)
         start = np.cumsum(size) - size
         whole = np.frombuffer(b"".join(units), dtype=np.uint8)
         flat, count, ends, good = {}, {}, {}, np.ones(len(units), bool)
         for side, coded, entries in (("a", coded_a, self.bytes_a), ("b", coded_b, self.bytes_b)):
-            ids = np.fromiter((i for x in coded for i in x), dtype=np.int64)
-            n = np.array([len(x) for x in coded], dtype=np.int64)
+            ids = np.fromiter(itertools.chain.from_iterable(coded), dtype=np.int64)
+            n = np.fromiter(map(len, coded), np.int64, len(coded))
             owner = np.repeat(np.arange(len(units)), n)
             length = entries.length[ids]
             total = np.bincount(owner, length, len(units)).astype(np.int64)
@@ -156,7 +162,7 @@ class Aligner:
         i = j = 0
         words = []
         for x, y in zip(n["a"].tolist(), n["b"].tolist(), strict=True):
-            words.append(",".join(a[i:i + x]) + "|" + ",".join(b[j:j + y]))
+            words.append(a[i] + "|" + b[j] if x == y == 1 else ",".join(a[i:i + x]) + "|" + ",".join(b[j:j + y]))
             i, j = i + x, j + y
         i = 0
         for k in groups.tolist():
@@ -164,7 +170,7 @@ class Aligner:
             i += k
         more = {"good": good, "n_a": count["a"], "n_b": count["b"], "n_groups": groups, "n_links": n_links,
                 "first": len(self.pairs) + np.cumsum(n_links) - n_links}
-        self.tables = {c: np.concatenate([self.tables[c], v.astype(np.int64)]) for c, v in more.items()}
+        self.tables = {c: np.concatenate([self.tables[c], v.astype(np.int32)]) for c, v in more.items()}
         self.pairs = np.concatenate([self.pairs, pairs])
 
     def units_of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -183,6 +189,8 @@ class Aligner:
             # may be the end of white space beyond ASCII: not cut there
             white |= (last >= 0x80) & ((prior == 0xC2) | (prior == 0x80) | (prior == 0x81) | (prior == 0x9A))
             starts[2:] = (data[2:] == 0x20) & ~white
+            kind = self.kind[data]
+            starts[1:] |= (kind[:-1] + kind[1:] == 3) & (kind[:-1] % 3 != 0) & (kind[1:] % 3 != 0)
         starts[bounds[:-1][bounds[:-1] < len(data)]] = True
         cuts = np.append(np.flatnonzero(starts), len(data))
         offsets = np.searchsorted(cuts[:-1], bounds)
@@ -299,7 +307,7 @@ def alignment(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", p
                     if len(pair):
                         key, count = np.unique(pair << np.uint64(16) | place, return_counts=True)
                         keys.append(key)
-                        counts.append(count)
+                        counts.append(count.astype(np.int32))
                     a, used = a + k, used + k
         if keys:
             yield from postings(block, keys, counts)
