@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promolens.functions.dates import parse_feed_date
-from promolens.functions.numeric import fits_measure, measure, promo_share
+from promolens.functions.numeric import fits_measure, measure
 from promolens.functions.text import DATE_SENTINELS, is_all_digits, site_suffix, to_number
 from promolens.operators.aggregate import sum_by
 from promolens.schemas import PROMO_KEYS, PROMO_MEASURES, PROMO_POSITIVE, SALES_KEYS, SALES_MEASURES
@@ -75,17 +75,22 @@ def base_filter(drop_inactive: bool = False) -> Column:
     return cond
 
 
+def _once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``df`` with ``columns``, each evaluated once a row.  They come out of an outer
+    generator over one struct; Catalyst does not push a predicate on them below it,
+    where their definitions would be copied into every predicate that uses them."""
+    return df.select("*", F.inline_outer(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def _parsed(df: DataFrame, measures: list[str]) -> DataFrame:
-    """Parse each measure text into ``_<name>``, so that the predicates and the
-    casts below share one definition.  (Catalyst pushes the filter below this
-    projection, so a text that passes is parsed in the filter and once more here.)"""
-    return df.withColumns({f"_{m}": to_number(m) for m in measures})
+    """Parse each measure text once, into ``_<name>``."""
+    return _once(df, {f"_{m}": to_number(m) for m in measures})
 
 
 def clean_sales_rows(feed: DataFrame, drop_inactive: bool = False) -> DataFrame:
     """Cleaned last-year rows, before grouping."""
-    df = _parsed(lower_columns(feed), SALES_MEASURES)
-    cond = base_filter(drop_inactive)
+    df = _parsed(lower_columns(feed).where(base_filter(drop_inactive)), SALES_MEASURES)
+    cond = F.lit(True)
     for m in SALES_MEASURES:                                        # CLN_NUMERIC_MEASURE
         cond = cond & fits_measure(f"_{m}")
     return (df.where(cond)
@@ -99,24 +104,24 @@ def clean_sales_rows(feed: DataFrame, drop_inactive: bool = False) -> DataFrame:
 
 def clean_promo_rows(feed: DataFrame, drop_inactive: bool = False) -> DataFrame:
     """Cleaned promotion rows with the promotion part of each amount."""
-    df = _parsed(lower_columns(feed), PROMO_POSITIVE)
-    cond = base_filter(drop_inactive)
+    df = _parsed(lower_columns(feed).where(base_filter(drop_inactive)), PROMO_POSITIVE)
+    cond = F.lit(True)
     for m in PROMO_POSITIVE:                                        # CLN_NUMERIC_MEASURE + CLN_POSITIVE
         cond = cond & (F.col(f"_{m}") > 0) & fits_measure(f"_{m}")
-    for m in ("netsales", "cogs", "profit"):                        # a tiny quantity can blow up a share
-        cond = cond & fits_measure(F.try_divide(F.col(f"_{m}"), F.col("_qty")) * F.col("_tqty"))
-    q, t = F.col("_qty"), F.col("_tqty")
-    return (df.where(cond)
+    # PRJ_PROMO_SHARE: (amount / qty) * tqty, before the casts
+    shares = {"_tnetsales": "_netsales", "_tcogs": "_cogs", "_tprofit": "_profit"}
+    df = _once(df.where(cond), {t: F.try_divide(F.col(a), F.col("_qty")) * F.col("_tqty") for t, a in shares.items()})
+    fits = F.lit(True)
+    for t in shares:                                                # a tiny quantity can blow up a share
+        fits = fits & fits_measure(t)
+    return (df.where(fits)
             .withColumns({
                 "nama_site": site_suffix("nama_site"),
                 "bdate": parse_feed_date("bdate"),
-                # PRJ_PROMO_SHARE: (amount / qty) * tqty, before the casts
-                "tnetsales": promo_share("_netsales", q, t),
-                "tcogs": promo_share("_cogs", q, t),
-                "tprofit": promo_share("_profit", q, t),
+                **{t[1:]: measure(t) for t in shares},
                 **{m: measure(f"_{m}") for m in PROMO_POSITIVE},
             })
-            .drop(*[f"_{m}" for m in PROMO_POSITIVE]))
+            .drop(*shares, *[f"_{m}" for m in PROMO_POSITIVE]))
 
 
 def rejects(feed: DataFrame) -> DataFrame:

@@ -7,7 +7,8 @@ Every feed column is *text*, with the dirt the cleaning chain has to remove
 non-numeric quantities, missing tags).  The derivation is fixed by FIXTURES.md.
 
 Scale notes: the four-way join is the only wide step.  ``lineitem ⋈ orders``
-shuffles both sides on the order key; ``part`` and ``supplier`` grow with the
+shuffles both sides on the order key (always: a broadcast would leave all that
+follows to the tasks of the ``lineitem`` scan, however few its splits); ``part`` and ``supplier`` grow with the
 data too, so no broadcast is forced -- AQE turns a join into a broadcast only
 when the measured size of a side is under ``autoBroadcastJoinThreshold``.
 """
@@ -41,7 +42,8 @@ def raw_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read_table(spark, sf_dir, "part", ["p_partkey", "p_name", "p_brand", "p_type", "p_retailprice"])
     s = read_table(spark, sf_dir, "supplier", ["s_suppkey", "s_name"])
 
-    j = (l.join(o, l.l_orderkey == o.o_orderkey)
+    # both sides are facts: a shuffled join, which also spreads a table of few splits
+    j = (l.join(o.hint("merge"), l.l_orderkey == o.o_orderkey)
          .join(p, l.l_partkey == p.p_partkey)
          .join(s, l.l_suppkey == s.s_suppkey))
 
