@@ -59,6 +59,37 @@ def daily_sql(src: str, scale: float = 100.0, extra_col: str = "") -> str:
           SUM(tprofit) AS tprofit FROM {src} GROUP BY bdate_y) g"""
 
 
+# Daily series: the promotion runs from 15 to 28 March 1998; the days before are
+# start - 14 ... start - 1, both inclusive.
+_START, _END = "DATE '1998-03-15'", "DATE '1998-03-28'"
+_DAYS = {
+    "during": f"SELECT 'during' AS series, CAST(d AS DATE) AS bdate_y FROM generate_series({_START}, {_END}, INTERVAL 1 DAY) AS t(d)",
+    "before": f"SELECT 'before' AS series, CAST(d AS DATE) AS bdate_y FROM generate_series({_START} - INTERVAL 14 DAY, {_START} - INTERVAL 1 DAY, INTERVAL 1 DAY) AS t(d)",
+}
+
+
+def series_sql(which: tuple[str, ...] = ("during", "before"), keys: tuple[str, ...] = (), scale: float = 100.0) -> str:
+    """One row for each key, series and day; days without sales are zero."""
+    k = "".join(f"{c}, " for c in keys)
+    base = with_(*CLEAN, *facts("facts", ("mercat",), "day"),
+                 "days AS (" + " UNION ALL ".join(_DAYS[w] for w in which) + ")",
+                 f"""sold AS (
+  SELECT {k}bdate_y, SUM(tqty) AS tqty, SUM(tcogs) AS tcogs, SUM(tnetsales) AS tnetsales, SUM(tprofit) AS tprofit
+  FROM facts
+  WHERE bdate_y IN (SELECT bdate_y FROM days)
+    AND sku IN (SELECT CAST(p_partkey AS VARCHAR) FROM part WHERE p_partkey % 4 = 0)
+    AND kode_store IN (SELECT CAST(s_suppkey AS VARCHAR) FROM supplier WHERE s_suppkey % 3 > 0)
+  GROUP BY {k}bdate_y
+)""",
+                 f"grid AS (SELECT * FROM {'(SELECT DISTINCT ' + k[:-2] + ' FROM sold) e CROSS JOIN ' if keys else ''}days)")
+    on = " AND ".join([f"grid.{c} = sold.{c}" for c in keys] + ["grid.bdate_y = sold.bdate_y"])
+    m = {c: f"COALESCE(sold.{c}, 0)" for c in ("tqty", "tcogs", "tnetsales", "tprofit")}
+    return base + f"""SELECT {"".join(f"grid.{c}, " for c in keys)}grid.series, grid.bdate_y, strftime(grid.bdate_y, '%d/%m') AS day_label,
+      {r2(m['tqty'])} AS tqty, {r2(ratio(m['tcogs'], m['tqty']))} AS avg_tcogs, {r2(ratio(m['tnetsales'], m['tqty']))} AS avg_tnetsales,
+      {r2(ratio(m['tprofit'], m['tnetsales'], scale))} AS total_margin, sold.tqty IS NOT NULL AS has_sales
+    FROM grid LEFT JOIN sold ON {on}"""
+
+
 def growth_top_sql(src: str, keys: str, asc: bool = True) -> str:
     d = "ASC" if asc else "DESC"
     return f"""SELECT {keys}, {r2('tnetsales')} AS tnetsales, {r2('netsales_x')} AS netsales_x,
@@ -140,9 +171,14 @@ SQL = {
       CASE WHEN {ratio('tnetsales - netsales_x', 'netsales_x', 100.0)} <= 0 THEN 'red' ELSE 'green' END AS color
     FROM (SELECT rulecode, ruletype, SUM(tnetsales) AS tnetsales, SUM(netsales_x) AS netsales_x FROM scope GROUP BY rulecode, ruletype) g""",
     "q_kpi_by_store": with_(*BASE, scope()) + kpi_sql("scope", "kode_store"),
-    "q_daily_during": with_(*BASE, scope()) + daily_sql("scope"),
-    "q_daily_before": with_(*BASE, scope(window=PRE)) + daily_sql("scope"),
-    "q_daily_article": with_(*BASE, scope("during", extra=f"AND f.sku = '{ARTICLE}'"),
+    "q_daily_during": series_sql(("during",)),
+    "q_daily_before": series_sql(("before",)),
+    "q_daily_series": series_sql(),
+    "q_daily_store_category": series_sql(keys=("kode_store", "mercat_y")),
+    "q_daily_article": series_sql(keys=("sku",), scale=1.0),
+    "q_monthly_during": with_(*BASE, scope()) + daily_sql("scope"),
+    "q_monthly_before": with_(*BASE, scope(window=PRE)) + daily_sql("scope"),
+    "q_monthly_article": with_(*BASE, scope("during", extra=f"AND f.sku = '{ARTICLE}'"),
                              scope("before", window=PRE, extra=f"AND f.sku = '{ARTICLE}'"))
     + daily_sql("during", 1.0, ", 'during' AS series") + " UNION ALL "
     + daily_sql("before", 1.0, ", 'before' AS series"),

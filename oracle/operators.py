@@ -25,7 +25,20 @@ _CAT_KEYS = "bdate_y, kode_store, nama_site, mercat_y, mercatdesc_y, rulecode, r
 _FM = ("qty_x", "cogs_x", "netsales_x", "profit_x", "qty_y", "cogs_y", "netsales_y", "profit_y",
        "tqty", "tnetsales", "tcogs", "tprofit")
 
+_IN_1998 = " WHERE bdate_y BETWEEN DATE '1998-01-01' AND DATE '1998-12-31'"
+_BROKEN = "CAST(sku AS BIGINT) % 101 = 0 OR CAST(sku AS BIGINT) % 103 = 0"
+
 SQL = {
+    "src_promo_headers": nightly.SQL["q_clean_promo"],
+    "src_day_files": _DATE_PRUNE,
+    "src_quarantine": with_(FEED) + """SELECT CASE WHEN CAST(sku AS BIGINT) % 101 = 0 THEN 'too few fields'
+      WHEN CAST(sku AS BIGINT) % 103 = 0 THEN 'too many fields' ELSE 'record' END AS outcome, COUNT(*) AS lines FROM feed GROUP BY 1""",
+    "src_quarantine_clean": with_(*CLEAN).replace("FROM sales_rows WHERE", f"FROM sales_rows WHERE NOT ({_BROKEN}) AND")
+    + f"SELECT {SALES_KEYS}, " + ", ".join(f"{r2(m)} AS {m}" for m in ("qty", "cogs", "netsales", "profit")) + " FROM sales_clean",
+    "src_clean_pipe": with_(*dashboard.BASE) + present_facts("facts") + " WHERE bdate_y BETWEEN DATE '1998-01-01' AND DATE '1998-06-30'",
+    "snk_article_store": nightly.SQL["q_article_growth_daily"] + _IN_1998,
+    "snk_category_store": f"SELECT * FROM ({nightly.SQL['q_category_growth_daily']})" + _IN_1998,
+    "stream_day_refresh": nightly.SQL["q_article_growth_daily"] + _IN_1998,
     "stream_article_growth": with_(*CLEAN, *facts("facts", ("sku",), "day")) + present_facts("facts"),
     "src_sales_csv": _CLEAN_SALES_SQL,
     "src_promo_csv": nightly.SQL["q_clean_promo"],

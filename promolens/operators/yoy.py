@@ -48,6 +48,15 @@ REFERENCE_GRAIN = Grain()
 # Article baseline over the whole chain, by calendar month (used where the
 # day grain is too sparse to compare, e.g. on the test bed).
 MONTHLY_ARTICLE_GRAIN = Grain(keys=("sku",), period="month")
+# Category baselines by day: of each store, and of the whole chain (a daily series in
+# which every promotion row has a baseline).
+DAILY_STORE_CATEGORY_GRAIN = Grain(keys=("kode_store", "nama_site", "mercat"), period="day")
+DAILY_CATEGORY_GRAIN = Grain(keys=("mercat",), period="day")
+
+
+def _fact_column(key: str) -> str:
+    """Name of a join key in the facts: descriptors are this year's (``_y``)."""
+    return f"{key}_y" if key in DESCRIPTORS else key
 
 
 def _ly_side(sales_clean: DataFrame, grain: Grain) -> DataFrame:
@@ -78,7 +87,7 @@ def join_yoy(sales_clean: DataFrame, promo_clean: DataFrame,
     the years drop out; 29 February has no baseline."""
     ly = _ly_side(sales_clean, grain)
     ty = _ty_side(promo_clean, grain)
-    cond = [ty[k] == ly[f"ly_{k}"] for k in grain.keys] + [ty["ly_bdate"] == ly["ly_period"]]
+    cond = [ty[_fact_column(k)] == ly[f"ly_{k}"] for k in grain.keys] + [ty["ly_bdate"] == ly["ly_period"]]
     return ty.join(ly, cond, "inner")
 
 
@@ -110,7 +119,7 @@ def dedupe_baseline(facts: DataFrame, grain: Grain = REFERENCE_GRAIN) -> DataFra
     Skew-safe: the chosen row per key comes from a ``min`` aggregate (partial
     aggregation map-side) joined back on the key, not from a window that would
     put a hot article's whole group into one task."""
-    keys = [*grain.keys, "bdate_y"]
+    keys = [*map(_fact_column, grain.keys), "bdate_y"]
     rank = F.struct("kode_store", "nama_site", "rulecode", "ruletype", "tag", "sku_desc_y", "merdiv_y",
                     "merdivdesc_y", "mercat_y", "mercatdesc_y", "brand_y", "principle_y", "sku")
     first = facts.groupBy(*keys).agg(F.min(rank).alias("_first"))
@@ -143,7 +152,7 @@ def article_facts_from_rows(sales_rows: DataFrame, promo_rows: DataFrame,
            **{m: f"{m}_y" for m in SALES_MEASURES}}
     ty = ty.select(*[F.col(c).alias(ren.get(c, c)) for c in ty.columns]).withColumn(
         "ly_bdate", prev_year("bdate_y"))
-    cond = [ty[k] == ly[f"ly_{k}"] for k in grain.keys] + [ty["ly_bdate"] == ly["ly_period"]]
+    cond = [ty[_fact_column(k)] == ly[f"ly_{k}"] for k in grain.keys] + [ty["ly_bdate"] == ly["ly_period"]]
     joined = ty.join(ly, cond, "inner")
     return joined.select(*[F.col(c).cast(FACT_TYPE).alias(c) if c in FACT_MEASURES else F.col(c)
                            for c in ARTICLE_FACT_COLUMNS])

@@ -17,7 +17,8 @@ from promolens.functions.numeric import (
 )
 from promolens.operators.aggregate import sum_all, sum_by
 from promolens.operators.scope import PromoScope, apply_scope
-from promolens.operators.yoy import MONTHLY_ARTICLE_GRAIN, Grain
+from promolens.operators.daily import BEFORE, DURING, daily_series, in_either_window, series_windows
+from promolens.operators.yoy import DAILY_CATEGORY_GRAIN, MONTHLY_ARTICLE_GRAIN, Grain
 from promolens.plans.common import present, read_facts
 from promolens.schemas import FACT_MEASURES
 from promolens.sources.fixtures import article_list, directorates, stores
@@ -80,7 +81,7 @@ def growth_bars(scoped: DataFrame) -> DataFrame:
 
 
 def daily(scoped: DataFrame, margin_scale: float = 100.0) -> DataFrame:
-    """Q_DAILY_DURING / Q_DAILY_BEFORE: per business day (AGG_DAILY) quantity,
+    """Per period of the facts (AGG_DAILY on month facts) quantity,
     unit cost, unit price (PRJ_UNIT_AVG, always guarded) and margin.
     The dashboard shows margin x100, the article search as a ratio."""
     g = sum_by(scoped, ["bdate_y"], DAILY_MEASURES)
@@ -245,17 +246,60 @@ def q_kpi_by_store(spark, sf_dir):
     return kpi_by_store(scoped(spark, sf_dir))
 
 
+# the daily series: a promotion of 14 days and the 14 days before it
+DAY_GRAIN: Grain = DAILY_CATEGORY_GRAIN
+DAY_SCOPE = PromoScope(start="1998-03-15", end="1998-03-28")
+
+
+def day_scoped(spark: SparkSession, sf_dir: str, scope: PromoScope = DAY_SCOPE, grain: Grain = DAY_GRAIN,
+               which=(DURING, BEFORE)) -> DataFrame:
+    """Day facts of the windows in one scan, pruned to their day folders."""
+    from dataclasses import replace
+    windows = [series_windows(scope)[w] for w in which]
+    whole = replace(scope, start=min(s for s, _ in windows), end=max(e for _, e in windows))
+    facts = read_facts(spark, sf_dir, grain, whole.start, whole.end).where(in_either_window("bdate_y", scope, which))
+    return apply_scope(facts, whole, article_list(spark, sf_dir), stores(spark, sf_dir), directorates(spark))
+
+
 def q_daily_during(spark, sf_dir):
-    return daily(scoped(spark, sf_dir))
+    """Q_DAILY_DURING: every day of the promotion window."""
+    return daily_series(day_scoped(spark, sf_dir, which=[DURING]), DAY_SCOPE, which=[DURING])
 
 
 def q_daily_before(spark, sf_dir):
+    """Q_DAILY_BEFORE: every one of the 14 days before it."""
+    return daily_series(day_scoped(spark, sf_dir, which=[BEFORE]), DAY_SCOPE, which=[BEFORE])
+
+
+def q_daily_series(spark, sf_dir):
+    """Both series from one scan."""
+    return daily_series(day_scoped(spark, sf_dir), DAY_SCOPE)
+
+
+def q_daily_store_category(spark, sf_dir):
+    """Both series of each store and category."""
+    return daily_series(day_scoped(spark, sf_dir), DAY_SCOPE, ["kode_store", "mercat_y"])
+
+
+def q_daily_article(spark, sf_dir, article: str | None = None):
+    """Q_DAILY_ARTICLE: both series of one article, or of each article that sold (the
+    article search: store filter and article only, margin as a ratio)."""
+    facts = day_scoped(spark, sf_dir)
+    if article is not None:
+        facts = facts.where(F.col("sku") == F.lit(article))
+    return daily_series(facts, DAY_SCOPE, ["sku"], margin_scale=1.0)
+
+
+def q_monthly_during(spark, sf_dir):
+    return daily(scoped(spark, sf_dir))
+
+
+def q_monthly_before(spark, sf_dir):
     return daily(scoped(spark, sf_dir, FIXTURE_SCOPE.before()))
 
 
-def q_daily_article(spark, sf_dir, article: str = FIXTURE_ARTICLE):
-    """Q_DAILY_ARTICLE: both series for one article (the article search:
-    store filter and article only, margin as a ratio)."""
+def q_monthly_article(spark, sf_dir, article: str = FIXTURE_ARTICLE):
+    """Both series of one article on month facts."""
     from dataclasses import replace
     base = replace(FIXTURE_SCOPE, category=None, directorate=None, division=None)
     during = scoped(spark, sf_dir, base).where(F.col("sku") == F.lit(article))

@@ -14,13 +14,14 @@ from promolens.functions import text as X
 from promolens.functions.numeric import measure, round2
 from promolens.operators import clean as CL
 from promolens.operators.aggregate import sum_by
-from promolens.operators.yoy import Grain, category_facts
-from promolens.schemas import ARTICLE_FACT_SCHEMA
+from promolens.operators.yoy import DAILY_STORE_CATEGORY_GRAIN, Grain, category_facts
+from promolens.schemas import ARTICLE_FACT_SCHEMA, CATEGORY_FACT_SCHEMA, RAW_PROMO_USED, RAW_SALES_COLUMNS, RAW_SALES_USED
 from promolens.plans import dashboard as DB
 from promolens.plans.common import facts_from_tables, inputs_version, present, read_facts
 from promolens.session import scratch_path, session_key
 from promolens.sources import commerce as C
 from promolens.sources import files as FS
+from promolens.sources.fact_store import FactStore
 from promolens.sources.fixtures import article_list, raw_feed, stores
 from promolens.sources.tables import read_table
 
@@ -32,13 +33,37 @@ PRUNE_START, PRUNE_END = "1998-03-15", "1998-03-28"
 _RAW: dict[tuple, str] = {}
 
 
+# column orders of promotion files: as listed, reversed without the optional column, rotated
+PROMO_LAYOUTS = [list(RAW_PROMO_USED), [c for c in reversed(RAW_PROMO_USED) if c != "member"], RAW_PROMO_USED[7:] + RAW_PROMO_USED[:7]]
+
+
+def _with_broken_lines(feed: DataFrame) -> DataFrame:
+    """The feed as sales lines; by article some lost their last fields, some gained one."""
+    cells = [F.coalesce(F.col(c.lower()), F.lit("")) if c in RAW_SALES_USED and c.lower() in feed.columns else F.lit("") for c in RAW_SALES_COLUMNS]
+    short, sku = cells[:20], F.col("sku").cast("long")
+    return feed.select(F.when(sku % 101 == 0, F.concat_ws("|", *short)).when(sku % 103 == 0, F.concat_ws("|", *cells, F.lit("x")))
+                       .otherwise(F.concat_ws("|", *cells)).alias("value"))
+
+
+def _write_zone(spark: SparkSession, sf: str, kind: str, path: str) -> None:
+    feed = raw_feed(spark, sf)
+    if kind == "promo-layouts":
+        part = F.pmod(F.col("sku").cast("long"), F.lit(len(PROMO_LAYOUTS)))
+        for i, columns in enumerate(PROMO_LAYOUTS):
+            FS.write_raw_feed(feed.where(part == i), path, "promo", columns=columns, mode="append")
+    elif kind == "sales-broken":
+        _with_broken_lines(feed).write.text(path)
+    else:
+        FS.write_raw_feed(feed, path, kind.removesuffix("-days"), days=kind.endswith("-days"))
+
+
 def _raw_zone(spark: SparkSession, sf: str, kind: str) -> str:
     """The feed written as a raw text zone, once for each version of the input files and kind."""
     version = inputs_version(spark, sf)
     key = (session_key(spark), version, kind)
     if version is None or key not in _RAW:
         path = scratch_path(spark, f"raw-{kind}")
-        FS.write_raw_feed(raw_feed(spark, sf), path, kind)
+        _write_zone(spark, sf, kind, path)
         _RAW[key] = path
     return _RAW[key]
 
@@ -72,6 +97,67 @@ def src_promo_csv(spark, sf):
     return present(CL.clean_promo(raw))
 
 
+def src_promo_headers(spark, sf):
+    """SRC_PROMO_CSV: files in three column orders, some without the optional
+    column, each read by its own header."""
+    raw = FS.read_promo_csv(spark, _raw_zone(spark, sf, "promo-layouts"))
+    return present(CL.clean_promo(raw))
+
+
+def src_day_files(spark, sf):
+    """SRC_DATE_PRUNE on day files: the window picks its files from the file index;
+    no other file is opened."""
+    raw = FS.read_sales_days(spark, _raw_zone(spark, sf, "sales-days"), PRUNE_START, PRUNE_END)
+    return present(CL.clean_sales(raw))
+
+
+def src_quarantine(spark, sf):
+    """SRC_SALES_CSV: lines that are no records, counted by reason beside the records."""
+    return FS.quarantine_report(*FS.split_sales_lines(spark, _raw_zone(spark, sf, "sales-broken")))
+
+
+def src_quarantine_clean(spark, sf):
+    """SRC_SALES_CSV: the records beside the quarantine, cleaned."""
+    records, _ = FS.split_sales_lines(spark, _raw_zone(spark, sf, "sales-broken"))
+    return present(CL.clean_sales(records))
+
+
+def src_clean_pipe(spark, sf):
+    """SRC_CLEAN on pipe files: the same rows as from Parquet."""
+    s = DB.FIXTURE_SCOPE
+    path = scratch_path(spark, "clean-pipe")
+    FS.write_facts(facts_from_tables(spark, sf, DB.FIXTURE_GRAIN), path, fmt="pipe")
+    return present(FS.read_clean(spark, path, s.start, s.end, fmt="pipe"))
+
+
+def snk_article_store(spark, sf):
+    """SNK_ARTICLE by versions: published with the category facts, read by day."""
+    return present(_published(spark, sf).read("article", *DAYS_READ))
+
+
+def snk_category_store(spark, sf):
+    """SNK_CATEGORY by versions: the category facts of the same version."""
+    return present(_published(spark, sf).read("category", *DAYS_READ))
+
+
+DAYS_READ = ("1998-01-01", "1998-12-31")
+
+
+def _published(spark, sf) -> FactStore:
+    store = FactStore(spark, scratch_path(spark, "fact-store"))
+    store.publish(facts_from_tables(spark, sf, DAILY_STORE_CATEGORY_GRAIN))
+    return store
+
+
+def stream_day_refresh(spark, sf):
+    """Q_ARTICLE_GROWTH, incremental from both years' day files: what the refresh
+    publishes equals the batch build."""
+    from promolens.streaming.refresh import start_refresh
+    store = FactStore(spark, scratch_path(spark, "refresh-store"))
+    start_refresh(spark, _raw_zone(spark, sf, "promo-days"), _raw_zone(spark, sf, "sales-days"), store, grain=DAILY_STORE_CATEGORY_GRAIN).awaitTermination()
+    return present(store.read("article", *DAYS_READ))
+
+
 def src_date_prune(spark, sf):
     """SRC_DATE_PRUNE: only the month folders and days of the promotion window
     are read from the raw zone (partition pruning), then cleaned."""
@@ -93,15 +179,6 @@ def snk_article(spark, sf):
     return present(FS.read_clean(spark, path))
 
 
-CATEGORY_FACT_SCHEMA = T.StructType(
-    [T.StructField("bdate_y", T.DateType())]
-    + [T.StructField(c, T.StringType()) for c in ("kode_store", "nama_site", "mercat_y", "mercatdesc_y",
-                                                   "rulecode", "ruletype")]
-    + [T.StructField(c, T.DecimalType(38, 6)) for c in (
-        "qty_x", "cogs_x", "netsales_x", "profit_x", "qty_y", "cogs_y", "netsales_y", "profit_y",
-        "tqty", "tnetsales", "tcogs", "tprofit")])
-
-
 def snk_category(spark, sf):
     """SNK_CATEGORY: category facts written the same way."""
     path = scratch_path(spark, "snk-category")
@@ -354,7 +431,8 @@ NAMES = [
     "cln_inactive", "cln_site_suffix", "cln_cast", "cln_lower_cols", "agg_by_type", "agg_by_category",
     "fn_substr", "fn_length", "fn_isnumeric", "fn_contains", "fn_split", "fn_replace", "fn_to_number",
     "fn_parse_date", "fn_format_date", "fn_date_range", "fn_date_shift", "fn_format_number", "fn_percent_text",
-    "stream_article_growth",
+    "stream_article_growth", "src_promo_headers", "src_day_files", "src_quarantine", "src_quarantine_clean", "src_clean_pipe",
+    "snk_article_store", "snk_category_store", "stream_day_refresh",
 ]
 
 # Operator IDs whose behaviour is exactly a named query's: same callable.

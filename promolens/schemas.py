@@ -78,6 +78,12 @@ ARTICLE_FACT_COLUMNS = (
 )
 CATEGORY_FACT_COLUMNS = CATEGORY_FACT_KEYS + FACT_MEASURES
 
+# sums of article facts
+CATEGORY_FACT_SCHEMA = T.StructType(
+    [T.StructField("bdate_y", T.DateType())]
+    + [T.StructField(c, T.StringType()) for c in CATEGORY_FACT_KEYS[1:]]
+    + [T.StructField(c, T.DecimalType(38, 6)) for c in FACT_MEASURES])
+
 # Schema of the written article facts (SRC_CLEAN re-reads it with types).
 ARTICLE_FACT_SCHEMA = T.StructType(
     [T.StructField("bdate_y", T.DateType())]

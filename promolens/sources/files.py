@@ -5,11 +5,12 @@ Layouts
               positional columns; promotion files carry a header.
               Spark layout: ``<base>/yymm=<yyMM>/part-*`` (``write_raw_feed``);
               month pruning is partition pruning, the day a pushed filter.
-              Legacy layout: ``<base>/<yyMM>/<name>_<yyyyMMdd>*.txt``; day
-              pruning is a filter on ``_metadata.file_name``.
-  clean zone  Parquet article facts in month folders with one sub-folder per
+              Day files (``<yyMM>/<name>_<yyyyMMdd>*.txt``, or ``yymm=/day=``
+              folders): a window picks files from their index (``file_index``).
+              Promotion files are read by their own headers (``headers``).
+  clean zone  article facts in month folders with one sub-folder per
               business day (``yymm=<yyMM>/bdate_y=<date>``), as in the
-              source's clean zone.  Writes use dynamic partition overwrite,
+              source's clean zone; Parquet, or pipe files with a header.  Writes use dynamic partition overwrite,
               so re-running a day replaces exactly that day.
 """
 
@@ -21,11 +22,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from promolens.functions.dates import MONTH_FOLDER, as_date, in_window
+from promolens.functions.dates import FILE_DATE, MONTH_FOLDER, as_date, in_window
 from promolens.functions.text import na_to_null
 from promolens.schemas import (
     ARTICLE_FACT_SCHEMA, RAW_PROMO_USED, RAW_SALES_COLUMNS, RAW_SALES_SCHEMA, RAW_SALES_USED,
 )
+from promolens.sources.file_index import file_index, paths_of, pick, read_files
+from promolens.sources.headers import read_by_header
+
+# the promotion file's columns without which it cannot be read (``member`` is optional)
+PROMO_REQUIRED = [c for c in RAW_PROMO_USED if c != "member"]
 
 
 # --- date pruning helpers (SRC_DATE_PRUNE) ------------------------------------
@@ -47,12 +53,15 @@ def file_days(start: dt.date | str, end: dt.date | str) -> list[str]:
 
 # --- raw zone -------------------------------------------------------------------
 
-def write_raw_feed(feed: DataFrame, base: str, kind: str) -> None:
-    """Write a text feed into the raw zone, one folder per month (``yymm``).
+def write_raw_feed(feed: DataFrame, base: str, kind: str, days: bool = False, columns: list[str] | None = None,
+                   mode: str = "overwrite") -> None:
+    """Write a text feed into the raw zone, one folder per month (``yymm``), and with
+    ``days`` one folder per business day (``day``) in it.
 
     ``kind='sales'`` writes the 32 positional columns without a header (unused
     positions empty); ``kind='promo'`` writes the promotion columns with one.
-    Rows whose date does not parse land in ``yymm=0000``.
+    Rows whose date does not parse land in ``yymm=0000``.  ``columns`` gives the
+    promotion columns in another order, or fewer.
     """
     day = F.try_to_date(F.col("bdate"), "dd-MM-yyyy")
     df = feed.withColumn("yymm", F.coalesce(F.date_format(day, MONTH_FOLDER), F.lit("0000")))
@@ -61,11 +70,15 @@ def write_raw_feed(feed: DataFrame, base: str, kind: str) -> None:
                 else F.lit(None).cast("string").alias(c) for c in RAW_SALES_COLUMNS]
         header = False
     else:
-        cols = [F.col(c) if c in feed.columns else F.lit("1").alias(c) for c in RAW_PROMO_USED]
+        cols = [F.col(c) if c in feed.columns else F.lit("1").alias(c) for c in columns or RAW_PROMO_USED]
         header = True
-    (df.select(*cols, "yymm").hint("rebalance", "yymm").sortWithinPartitions("yymm")
-     .write.mode("overwrite").option("sep", "|").option("header", header)
-     .partitionBy("yymm").csv(base))
+    folders = ["yymm"]
+    if days:
+        df = df.withColumn("day", F.coalesce(F.date_format(day, FILE_DATE), F.lit("none")))
+        folders.append("day")
+    (df.select(*cols, *folders).hint("rebalance", *folders).sortWithinPartitions(*folders)
+     .write.mode(mode).option("sep", "|").option("header", header)
+     .partitionBy(*folders).csv(base))
 
 
 def _day_filter(df: DataFrame, start, end, date_col: str) -> DataFrame:
@@ -90,32 +103,77 @@ def read_sales_csv(spark: SparkSession, base: str, start=None, end=None) -> Data
 
 
 def read_promo_csv(spark: SparkSession, base: str, start=None, end=None) -> DataFrame:
-    """SRC_PROMO_CSV: pipe file with a header, the used columns picked by
-    name; everything read as text (no schema inference)."""
-    df = (spark.read.option("sep", "|").option("header", True).option("inferSchema", False)
-          .csv(base))
-    df = _day_filter(df, start, end, "bdate")
-    return df.select(*[na_to_null(c).alias(c) for c in RAW_PROMO_USED if c != "member"])
+    """SRC_PROMO_CSV: pipe files with a header, the used columns picked by the
+    header of each file; everything read as text (no schema inference).  With a
+    window only files of its month folders are opened."""
+    files = file_index(spark, base, token=1)
+    if start is not None:
+        files = files.where(F.col("month").isin(months_between(start, end)))
+    df = read_by_header(spark, paths_of(files), PROMO_REQUIRED, PROMO_REQUIRED)
+    if start is not None:
+        s, e = as_date(start), as_date(end)
+        df = df.where(F.col("bdate").isin([(s + dt.timedelta(days=i)).strftime("%d-%m-%Y") for i in range((e - s).days + 1)]))
+    return df.select(*[na_to_null(c).alias(c) for c in PROMO_REQUIRED])
+
+
+def read_sales_days(spark: SparkSession, base: str, start, end, token: int = 2) -> DataFrame:
+    """SRC_SALES_CSV on day files: only the files of the window's days are opened."""
+    df = read_files(spark, paths_of(pick(file_index(spark, base, token), start, end)), RAW_SALES_SCHEMA)
+    return df.select(*[na_to_null(c).alias(c) for c in RAW_SALES_USED])
+
+
+def read_promo_days(spark: SparkSession, base: str, start, end, token: int = 1) -> DataFrame:
+    """SRC_PROMO_CSV on day files, each read by its own header."""
+    df = read_by_header(spark, paths_of(pick(file_index(spark, base, token), start, end)), PROMO_REQUIRED, PROMO_REQUIRED)
+    return df.select(*[na_to_null(c).alias(c) for c in PROMO_REQUIRED])
+
+
+# --- lines that are no records (SRC_SALES_CSV) ----------------------------------------
+
+def split_sales_lines(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
+    """(records, quarantine) of a zone of headerless sales files.
+
+    A line with another number of fields than the 32 positions, or one the reader
+    cannot take apart, is no record: it goes to the quarantine as ``file``, ``line``,
+    ``reason``.  Together both have every line that is not empty."""
+    schema = T.StructType([*RAW_SALES_SCHEMA.fields, T.StructField("_line", T.StringType())])
+    lines = (spark.read.option("recursiveFileLookup", True).text(base).where(F.trim("value") != "")
+             .select("value", F.col("_metadata.file_path").alias("file")))
+    parsed = F.from_csv("value", schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "),
+                        {"sep": "|", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_line"})
+    df = lines.select("file", F.inline_outer(F.array(parsed)))               # parsed once, judged behind the generator
+    n = F.size(F.split("_line", r"\|"))
+    reason = F.when(n < len(RAW_SALES_COLUMNS), "too few fields").when(n > len(RAW_SALES_COLUMNS), "too many fields").otherwise("unreadable")
+    good = df.where(F.col("_line").isNull()).select(*[na_to_null(c).alias(c) for c in RAW_SALES_USED])
+    bad = df.where(F.col("_line").isNotNull()).select("file", F.col("_line").alias("line"), reason.alias("reason"))
+    return good, bad
+
+
+def quarantine_report(records: DataFrame, quarantine: DataFrame) -> DataFrame:
+    """Lines by outcome: ``record`` and each reason."""
+    return records.select(F.lit("record").alias("outcome")).unionAll(quarantine.select("reason")).groupBy("outcome").agg(
+        F.count(F.lit(1)).alias("lines"))
 
 
 def read_legacy_day_files(spark: SparkSession, base: str, start, end, token: int,
                           header: bool, schema: T.StructType | None = None) -> DataFrame:
-    """SRC_DATE_PRUNE on the legacy layout: list only the month folders of the
-    range, then keep files whose ``_``-token ``token`` starts with a day of the
-    range (a filter on the hidden ``_metadata.file_name`` column)."""
-    paths = [f"{base.rstrip('/')}/{m}" for m in months_between(start, end)]
-    r = spark.read.option("sep", "|").option("header", header)
-    if schema is not None:
-        r = r.schema(schema)
-    df = r.csv(paths)
-    tok = F.substring(F.split(F.col("_metadata.file_name"), "_").getItem(token), 1, 8)
-    return df.where(tok.isin(file_days(start, end)))
+    """SRC_DATE_PRUNE on the legacy layout: files in the month folders of the
+    range whose ``_``-token ``token`` starts with a day of the range.  Only these
+    are opened; short names and absent months are passed over."""
+    paths = paths_of(pick(file_index(spark, base, token), start, end))
+    if schema is not None or not paths:
+        return read_files(spark, paths, schema or T.StructType(), header=header)
+    return spark.read.option("sep", "|").option("header", header).csv(paths)
 
 
 # --- clean zone -------------------------------------------------------------------
 
-def write_facts(facts: DataFrame, path: str) -> None:
-    """SNK_ARTICLE / SNK_CATEGORY: Parquet in month folders holding one
+_FORMATS = {"parquet": ("parquet", {}), "pipe": ("csv", {"sep": "|", "header": "true", "mode": "FAILFAST"})}
+
+
+def write_facts(facts: DataFrame, path: str, fmt: str = "parquet") -> None:
+    """SNK_ARTICLE / SNK_CATEGORY: Parquet (or ``fmt="pipe"``: ``|``-separated text
+    with a header, as in the source) in month folders holding one
     folder per business day (``yymm=…/bdate_y=…``), the source's clean-zone
     layout.  Dynamic partition overwrite: re-running a day replaces exactly
     that day.
@@ -126,16 +184,20 @@ def write_facts(facts: DataFrame, path: str) -> None:
     and a day holding a third of the rows does not land in one task."""
     out = facts.withColumn("yymm", F.date_format("bdate_y", MONTH_FOLDER))
     (out.hint("rebalance", "yymm", "bdate_y").sortWithinPartitions("yymm", "bdate_y")
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("yymm", "bdate_y").parquet(path))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").options(**_FORMATS[fmt][1])
+     .partitionBy("yymm", "bdate_y").format(_FORMATS[fmt][0]).save(path))
 
 
 def read_clean(spark: SparkSession, path: str, start=None, end=None,
-               schema: T.StructType = ARTICLE_FACT_SCHEMA) -> DataFrame:
+               schema: T.StructType = ARTICLE_FACT_SCHEMA, fmt: str = "parquet") -> DataFrame:
     """SRC_CLEAN: typed re-read of the facts, pruned to the month and day
-    folders of the window (partition pruning on both levels)."""
-    full = T.StructType(schema.fields + [T.StructField("yymm", T.StringType())])
-    df = spark.read.schema(full).parquet(path)
+    folders of the window (partition pruning on both levels).  Pipe files are read
+    with the declared types, in the order in which ``write_facts`` writes them."""
+    fields = schema.fields
+    if fmt == "pipe":                                # folders are not columns of the files
+        fields = [f for f in fields if f.name != "bdate_y"] + [f for f in fields if f.name == "bdate_y"]
+    full = T.StructType([*fields, T.StructField("yymm", T.StringType())])
+    df = spark.read.schema(full).options(**_FORMATS[fmt][1]).format(_FORMATS[fmt][0]).load(path)
     if start is not None:
         df = df.where(F.col("yymm").isin(months_between(start, end))
                       & in_window("bdate_y", start, end))
