@@ -10,11 +10,13 @@ skipped candidate is gone, so the word comes out in smaller merge-type pieces.
 
 The key makes segmentations repeatable: the same seed, id and text always give
 the same pieces, whatever the partitioning or retries, and every occurrence of a
-word is cut on its own.  Each worker remembers only what does not depend on the
-key: a recent word's pieces when nothing is skipped and the candidates that this
-run meets.  An occurrence that skips none of them has these pieces; any other
-runs the agenda.  The cache has two generations of ``CACHE_WORDS`` entries, so its
-memory is bounded.
+word is cut on its own.  A task remembers only what does not depend on the key: each
+word's pieces when nothing is skipped, the candidates that this run meets, and the
+pieces for sets of skipped candidates that occurred more than once in a block, where
+these sets decide everything.  Which candidates the occurrences of a block skip is
+worked out for all of them at once, in numpy; what is not remembered runs the agenda.
+Beyond ``WORDS`` words and ``VARIANTS`` sets the memory is emptied, and it goes with
+the task.
 
 Decoding is lossless: spaces are the meta piece character, characters outside
 the vocabulary are byte pieces, and a literal meta character in the text is
@@ -30,7 +32,6 @@ from __future__ import annotations
 
 import heapq
 import re
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,7 +45,9 @@ from promolens.llm.common import P1, arrow_map, documents, mix
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT, SEED = 0.1, 17
-CACHE_WORDS = 100_000              # of each of two generations
+WORDS, VARIANTS = 400_000, 200_000  # that a task remembers
+CHECKS = 60                        # candidates of a remembered word; words with more run the agenda each time
+SHORT = 24                         # symbols of a word up to which a plain list is faster than a heap
 META = "▁"
 LITERAL = "\0" + META                       # a meta character of the text itself, not a space
 MASK = (1 << 64) - 1
@@ -78,45 +81,155 @@ class Pieces:
         places = {x: k for k, x in enumerate(sorted(set(scores.values()), reverse=True))}
         self.rank = {piece: places[x] for piece, x in scores.items()}       # equal scores share a rank
         self.bar, self.seed = int(dropout * 2.0**32), seed
-        self.recent: list[dict[str, tuple[bytes, tuple[int, ...]]]] = [{}, {}]     # young and old generation
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}                    # word -> number
+        self.unit: list[str] = []
+        self.plain: list[bytes | None] = []                 # its pieces when nothing is skipped
+        self.new: list[list[int]] = []                      # the candidates this run meets, of the latest words
+        self.count = np.zeros(0, np.int64)                  # of the others: their number, and all of them
+        self.checks = np.zeros(0, np.uint64)
+        self.variant: dict[int, bytes | None] = {}          # number << CHECKS | skipped bits -> pieces (None: more to decide)
 
     def encode(self, text: str, doc_id: int | None = None) -> bytes:
-        """Piece ids as native 32-bit integers."""
-        if not text:
-            return b""
+        """Piece ids as little-endian 32-bit integers."""
+        return self.encode_all([text], [doc_id])[0]
+
+    def encode_all(self, texts: list[str], doc_ids: list[int | None]) -> list[bytes]:
+        """``encode`` of each text, a block at a time."""
+        if len(self.plain) > WORDS or len(self.variant) > VARIANTS:
+            self.forget()
         # with the scheme's leading space; cut where no merge can cross
-        units = re.findall(r" *[^ \n]+|\n| +", " " + text)
-        bar, out = self.bar, []
-        for unit, key in zip(units, self.keys(doc_id, len(units)), strict=True):
-            ids, checks = self.recent[0].get(unit) or self._plain(unit)
-            for c in checks:
-                if (key * c >> 31) & 0xFFFFFFFF < bar:
-                    ids = array("i", self.agenda(unit, key)).tobytes()
-                    break
-            out.append(ids)
-        return b"".join(out)
+        words = [re.findall(r" *[^ \n]+|\n| +", " " + t) if t else [] for t in texts]
+        units = [u for w in words for u in w]
+        key = np.concatenate([np.zeros(0, np.uint64), *(self._keys(i, len(w)) for i, w in zip(doc_ids, words, strict=True))])
+        get = self.number.get
+        number = [n if (n := get(u)) is not None else self._learn(u) for u in units]
+        plain = self.plain
+        ids = [plain[n] for n in number]
+        for at, found in self._skipping(np.array(number, dtype=np.int64), key):
+            for i in at:
+                ids[i] = found if found is not None else self._bytes(self.cut(units[i], int(key[i])))
+        for i in [i for i, x in enumerate(ids) if x is None]:
+            ids[i] = self._bytes(self.agenda(units[i], int(key[i])))
+        out, a = [], 0
+        for w in words:
+            out.append(b"".join(ids[a:a + len(w)]))
+            a += len(w)
+        return out
+
+    def _skipping(self, number: np.ndarray, key: np.ndarray) -> Iterator[tuple[list[int], bytes | None]]:
+        """Occurrences that skip the same candidates of the same word, and their pieces if known."""
+        if self.new:
+            self.count = np.concatenate([self.count, np.array([len(c) for c in self.new], dtype=np.int64)])
+            self.checks = np.concatenate([self.checks, np.array([x for c in self.new for x in c], dtype=np.uint64)])
+            self.new = []
+        start = np.cumsum(self.count) - self.count
+        at = np.flatnonzero(self.count[number] > 0) if len(number) else np.zeros(0, np.int64)
+        if not len(at):
+            return
+        n = self.count[number[at]]
+        stop = np.cumsum(n)
+        bit = np.arange(stop[-1]) - np.repeat(stop - n, n)
+        check = self.checks[np.repeat(start[number[at]], n) + bit]
+        skipped = (np.repeat(key[at], n) * check >> np.uint64(31)) & np.uint64(0xFFFFFFFF) < np.uint64(self.bar)
+        bits = np.add.reduceat(np.where(skipped, np.uint64(1) << bit.astype(np.uint64), np.uint64(0)), stop - n)
+        at, bits = at[bits > 0], bits[bits > 0]
+        if not len(at):
+            return
+        word = number[at]
+        order = np.lexsort((bits, word))
+        at, bits, word = at[order], bits[order], word[order]
+        new = np.ones(len(at), bool)
+        new[1:] = (word[1:] != word[:-1]) | (bits[1:] != bits[:-1])
+        first = np.flatnonzero(new).tolist()
+        places, words, sets = at.tolist(), word[first].tolist(), bits[first].tolist()
+        for a, b, w, x in zip(first, [*first[1:], len(places)], words, sets, strict=True):
+            name = w << CHECKS | x
+            found = self.variant.get(name)
+            if found is None and b - a > 1 and name not in self.variant:
+                found = self.variant[name] = self._variant(w, x, self.checks[start[w]:start[w] + self.count[w]].tolist())
+            yield places[a:b], found
+
+    def _learn(self, unit: str) -> int:
+        met: list[int] = []
+        ids = self._bytes(self.cut(unit, 1, met))
+        met = list(dict.fromkeys(met)) if self.bar else []
+        self.number[unit] = n = len(self.plain)
+        self.plain.append(ids if len(met) <= CHECKS else None)
+        self.new.append(met if len(met) <= CHECKS else [])
+        self.unit.append(unit)
+        return n
+
+    def _variant(self, word: int, bits: int, known: list[int]) -> bytes | None:
+        """Pieces of a word that skips these of its known candidates; None where the
+        run meets others."""
+        met: list[int] = []
+        ids = self.cut(self.unit[word], 1, met, {c for i, c in enumerate(known) if bits >> i & 1})
+        return self._bytes(ids) if set(met) <= set(known) else None
+
+    def cut(self, unit: str, key: int, met: list[int] | None = None, skipped: frozenset[int] | set[int] = frozenset()) -> list[int]:
+        """The same as ``agenda``, for short words on plain lists: the best pair is
+        found by looking at all of them."""
+        word = unit.lstrip(" ")
+        sym = [META] * (len(unit) - len(word)) + [c if c != META else LITERAL for c in word]
+        if len(sym) > SHORT:
+            return self.agenda(unit, key, met, skipped)
+        rank, bar, none = self.rank.get, self.bar, 1 << 60
+        place = list(range(len(sym)))
+
+        def candidate(i: int) -> int:
+            """Rank of the pair that begins at ``i``; ``none`` where it is no candidate."""
+            r = rank(sym[i] + sym[i + 1])
+            if r is None:
+                return none
+            c = (place[i] << 20) + r + 0x9E3779B9
+            if met is not None:
+                met.append(c)
+                return none if c in skipped else r
+            return r if (key * c >> 31) & 0xFFFFFFFF >= bar else none
+
+        ranks = [candidate(i) for i in range(len(sym) - 1)]
+        while ranks:
+            best = min(ranks)
+            if best == none:
+                break
+            i = ranks.index(best)
+            sym[i] += sym[i + 1]
+            del sym[i + 1], place[i + 1], ranks[i]
+            if i < len(ranks):
+                ranks[i] = candidate(i)
+            if i:
+                ranks[i - 1] = candidate(i - 1)
+        return self._named(sym)
+
+    def _named(self, sym: list[str | None]) -> list[int]:
+        ids, get = [], self.ids.get
+        for s in sym:
+            if s is not None:
+                i = get(s)
+                if i is None:
+                    ids += [self.bytes_id[b] for b in (META if s == LITERAL else s).encode("utf-8", "surrogatepass")]
+                else:
+                    ids.append(i)
+        return ids
+
+    @staticmethod
+    def _bytes(ids: list[int]) -> bytes:
+        return np.array(ids, dtype="<i4").tobytes()
 
     def keys(self, doc_id: int | None, n: int) -> list[int]:
+        return self._keys(doc_id, n).tolist()
+
+    def _keys(self, doc_id: int | None, n: int) -> np.ndarray:
         """An odd 64-bit key for each of the first ``n`` words of a document."""
         first = np.uint64(xxhash.xxh64_intdigest(str(doc_id).encode(), self.seed & MASK))
-        return (mix(first + np.arange(n, dtype=np.uint64) * P1) | np.uint64(1)).tolist()
-
-    def _plain(self, unit: str) -> tuple[bytes, tuple[int, ...]]:
-        """A word's pieces when nothing is skipped, and the candidates met.  The
-        cache has two generations: when the young one is full it becomes the old
-        one, and words found there move back, so frequent words stay."""
-        if len(self.recent[0]) >= CACHE_WORDS:
-            self.recent[:] = {}, self.recent[0]
-        entry = self.recent[1].get(unit)
-        if entry is None:
-            met: list[int] = []
-            ids = array("i", self.agenda(unit, 1, met)).tobytes()
-            entry = ids, tuple({((e & 0xFFFFFFFFFF) << 20) + (e >> 40) + 0x9E3779B9 for e in met}) if self.bar else ()
-        self.recent[0][unit] = entry
-        return entry
-
-    def agenda(self, unit: str, key: int, met: list[int] | None = None) -> list[int]:
-        """Pieces of a word.  With ``met`` nothing is skipped and the candidates are added to it."""
+        return mix(first + np.arange(n, dtype=np.uint64) * P1) | np.uint64(1)
+
+    def agenda(self, unit: str, key: int, met: list[int] | None = None, skipped: frozenset[int] = frozenset()) -> list[int]:
+        """Pieces of a word.  With ``met`` the key decides nothing: the candidates
+        ``skipped`` are, and all candidates are added to ``met``."""
         rank, bar = self.rank.get, self.bar if met is None else 0
         word = unit.lstrip(" ")
         sym = [META] * (len(unit) - len(word)) + [c if c != META else LITERAL for c in word]
@@ -128,14 +241,19 @@ class Pieces:
             r = rank(sym[i] + sym[i + 1])
             if r is not None and (key * ((i << 20) + r + 0x9E3779B9) >> 31) & 0xFFFFFFFF >= bar:
                 heap.append(r << 40 | i)
-        heapq.heapify(heap)
         pop, push = heapq.heappop, heapq.heappush
         if met is not None:
-            met += heap
+            met += [((e & 0xFFFFFFFFFF) << 20) + (e >> 40) + 0x9E3779B9 for e in heap]
+            if skipped:
+                heap = [e for e, c in zip(heap, met, strict=True) if c not in skipped]
 
             def push(heap: list[int], e: int) -> None:
-                met.append(e)
-                heapq.heappush(heap, e)
+                c = ((e & 0xFFFFFFFFFF) << 20) + (e >> 40) + 0x9E3779B9
+                met.append(c)
+                if c not in skipped:
+                    heapq.heappush(heap, e)
+
+        heapq.heapify(heap)
 
         while heap:
             e = pop(heap)
@@ -158,33 +276,13 @@ class Pieces:
                 r = rank(sym[k] + s)
                 if r is not None and (key * ((k << 20) + r + 0x9E3779B9) >> 31) & 0xFFFFFFFF >= bar:
                     push(heap, r << 40 | k)
-        ids, get = [], self.ids.get
-        for s in sym:
-            if s is not None:
-                i = get(s)
-                if i is None:
-                    ids += [self.bytes_id[b] for b in (META if s == LITERAL else s).encode("utf-8", "surrogatepass")]
-                else:
-                    ids.append(i)
-        return ids
+        return self._named(sym)
 
     def decode(self, ids: bytes) -> str:
         out = self.out
         return b"".join([out[i] for i in np.frombuffer(ids, dtype="<i4").tolist()])[1:].decode("utf-8", "surrogatepass")
 
 
-_PIECES: dict[tuple, Pieces] = {}
-
-
-def pieces_of(model: str, dropout: float, seed: int) -> Pieces:
-    """The encoder of this worker process; the next task finds its cache filled."""
-    key = (model, dropout, seed)
-    if key not in _PIECES:
-        _PIECES.clear()
-        _PIECES[key] = Pieces(model, dropout, seed)
-    return _PIECES[key]
-
-
 def _texts(batch: pa.RecordBatch, id_col: str, text_col: str):
     return zip(batch.column(id_col).to_pylist(), batch.column(text_col), strict=True)
 
@@ -196,11 +294,12 @@ def encode(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", mode
     schema = T.StructType([*keep, T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = pieces_of(model, dropout, seed)
+        pieces = Pieces(model, dropout, seed)
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
-                coded = [pieces.encode(t.as_py() or "", i) for i, t in _texts(part, id_col, text_col)]
+                rows = [(t.as_py() or "", i) for i, t in _texts(part, id_col, text_col)]
+                coded = pieces.encode_all([t for t, _ in rows], [i for _, i in rows])
                 offsets = np.cumsum([0, *(len(c) // 4 for c in coded)], dtype=np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(coded), dtype="<i4")))
                 yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in keep), ids], names=[f.name for f in schema])

@@ -310,3 +310,20 @@ def test_pipeline_keeps_columns_and_decides(spark):
             assert frame.columns == docs.columns
     assert ids[1] != ids[0] and ids[3] != ids[2] and frame.columns == [*docs.columns, "ids"]
     assert {r.doc_id for r in corpus_pipeline.run(spark, d).select("doc_id").collect()} == ids[-1]
+
+
+@pytest.mark.parametrize("dropout", [0.0, 0.1, 0.3])
+def test_sentencepiece_remembered_runs_equal_the_agenda(dropout):
+    """Remembered words, sets of skipped candidates and the list form against the heap."""
+    from promolens.llm.sentencepiece_dropout import MODEL, Pieces
+    r = random.Random(7)
+    pool = ["internationalisation", "the", "aaaaaaaaa", "漢字", "keyboards,", "▁x", "x" * 90, "segmentation", "é́ñ", "1234567890", "don't", "of"]
+    texts = ["".join(r.choice(pool) + r.choice([" ", "  ", "\n", " "]) for _ in range(r.randrange(60))) for _ in range(120)]
+    pieces = Pieces(MODEL, dropout, 17)
+    got = [x for a in range(0, 120, 40) for x in pieces.encode_all(texts[a:a + 40], list(range(a, a + 40)))]
+    assert dropout == 0 or any(pieces.variant.values())
+    for i, (text, ids) in enumerate(zip(texts, got, strict=True)):
+        units = re.findall(r" *[^ \n]+|\n| +", " " + text) if text else []
+        want = [x for u, k in zip(units, pieces.keys(i, len(units)), strict=True) for x in pieces.agenda(u, k)]
+        assert ids == np.array(want, "<i4").tobytes()
+        assert pieces.decode(ids) == text
