@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from promolens.functions.dates import prev_year
+from promolens.functions.dates import in_window, prev_year
 from promolens.functions.text import na_to_null
 from promolens.operators.clean import clean_promo_rows, clean_sales_rows
 from promolens.operators.yoy import REFERENCE_GRAIN, Grain, article_facts_from_rows
@@ -79,12 +79,15 @@ def day_facts(spark: SparkSession, files: DataFrame, days: list[dt.date], grain:
 
 
 def refresh(spark: SparkSession, promo_raw: str, sales_raw: str, store: FactStore, grain: Grain = REFERENCE_GRAIN,
-            promo_token: int = 1, sales_token: int = 2) -> list[dt.date]:
-    """Rebuild and publish the affected days; returns them."""
+            promo_token: int = 1, sales_token: int = 2, start=None, end=None) -> list[dt.date]:
+    """Rebuild and publish the affected days; returns them.  With a window only its
+    days are kept, and only their files are watched and opened."""
     if grain.period != "day":
         raise ValueError("the incremental build recomputes whole days; use a day grain")
     files = zone_files(spark, promo_raw, sales_raw, promo_token, sales_token)
     snapshot = scratch_path(spark, "zone-files")
+    if start is not None:
+        files = files.where(in_window(F.when(F.col("zone") == PROMO, F.col("day")).otherwise(next_year("day")), start, end))
     files.write.parquet(snapshot)                      # one listing for the comparison, the reads and the file table
     files = spark.read.schema(files.schema).parquet(snapshot)
     days = affected_days(files, store.files())
@@ -94,13 +97,13 @@ def refresh(spark: SparkSession, promo_raw: str, sales_raw: str, store: FactStor
 
 
 def start_refresh(spark: SparkSession, promo_raw: str, sales_raw: str, store: FactStore, checkpoint: str | None = None,
-                  grain: Grain = REFERENCE_GRAIN, promo_token: int = 1, sales_token: int = 2) -> StreamingQuery:
+                  grain: Grain = REFERENCE_GRAIN, promo_token: int = 1, sales_token: int = 2, start=None, end=None) -> StreamingQuery:
     """Watch both zones once (AvailableNow); call ``awaitTermination()`` on the result."""
     def watched(base: str) -> DataFrame:
         files = spark.readStream.schema(WATCHED).format("binaryFile").option("recursiveFileLookup", True).load(base)
         return files.select("path", "modificationTime", "length")
 
     return (watched(promo_raw).union(watched(sales_raw)).writeStream
-            .foreachBatch(lambda _batch, _epoch: refresh(spark, promo_raw, sales_raw, store, grain, promo_token, sales_token))
+            .foreachBatch(lambda _batch, _epoch: refresh(spark, promo_raw, sales_raw, store, grain, promo_token, sales_token, start, end))
             .option("checkpointLocation", checkpoint or scratch_path(spark, "refresh-ckpt"))
             .trigger(availableNow=True).start())
