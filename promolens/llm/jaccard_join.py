@@ -151,6 +151,24 @@ def _current(nodes: DataFrame, parts: DataFrame) -> DataFrame:
         "comp", F.coalesce("component", "cid")).drop("component")
 
 
+def _plausible(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """The pairs (x, y) that the set sizes and parity maps do not rule out."""
+    x, y = maps.alias("mx"), maps.alias("my")
+    both = F.col("mx.n") + F.col("my.n")
+    apart = sum((F.bit_count(F.col("mx.bits")[i].bitwiseXOR(F.col("my.bits")[i])) for i in range(8)), F.lit(0))
+    most = both - 2 * F.floor((percent * both + 99 + percent) / (100 + percent))
+    known = F.col("mx.bits").isNotNull() & F.col("my.bits").isNotNull()
+    fits = (apart <= most) & (100 * F.least("mx.n", "my.n") >= percent * F.greatest("mx.n", "my.n"))
+    return (pairs.join(x, F.col("x") == F.col("mx.cid")).join(y, F.col("y") == F.col("my.cid"))
+            .where(~known | fits).select("x", "y"))
+
+
+def _unjudged(pairs: DataFrame, judged: DataFrame) -> DataFrame:
+    """``pairs`` without those that were verified before, in whichever order."""
+    names = F.least("x", "y").alias("_a"), F.greatest("x", "y").alias("_b")
+    return pairs.select("*", *names).join(judged.select(*names), ["_a", "_b"], "left_anti").select("x", "y")
+
+
 def link_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, text_col: str = "text",
                     id_col: str = "doc_id", star_rounds: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs``."""
@@ -175,6 +193,11 @@ def link_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, t
     edges = member.join(member.groupBy("doc_id").agg(F.min("cid").alias("a"), F.max("cid").alias("z")).where("a < z"), "doc_id").select("a", F.col("cid").alias("b"))
     edges = shared_table(edges, "edges")
     nodes = posts
+    maps = linked.join(posts.select(F.col("cid").alias("doc_id")).distinct(), "doc_id", "left_semi").groupBy(
+        F.col("doc_id").alias("cid")).agg(F.collect_set("bits").alias("maps"), F.first("n").alias("n"))
+    # an id with several texts gets no map: it is verified whatever the maps say
+    maps = shared_table(maps.select("cid", F.when(F.size("maps") == 1, F.col("maps")[0]).alias("bits"), "n"), "maps")
+    judged = None
     for _ in range(star_rounds):
         parts = components(edges)
         nodes = _current(posts, parts)
@@ -182,7 +205,9 @@ def link_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, t
         pairs = (nodes.join(block, "shingle").where("comp <> m.comp")
                  .groupBy(F.col("cid").alias("y"), F.col("m.cid").alias("x"))
                  .agg(F.count(F.lit(1)).alias("hits"), F.first("n").alias("n")))
-        best = shared_table(pairs.groupBy("y").agg(F.max_by("x", F.struct("hits", -F.col("x"))).alias("x")), "pairs")
+        best = _plausible(pairs.groupBy("y").agg(F.max_by("x", F.struct("hits", -F.col("x"))).alias("x")), maps, percent)
+        best = shared_table(best if judged is None else _unjudged(best, judged), "pairs")
+        judged = best if judged is None else judged.unionByName(best)
         found = verify(best, docs, k, percent, text_col, id_col)
         edges = shared_table(edges.union(found.select("x", "y")), "edges")
 
@@ -192,9 +217,7 @@ def link_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, t
     sides = nodes.groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("c"))
     mixed = sides.groupBy("shingle").agg(F.count(F.lit(1)).alias("parts"), F.max_by("comp", F.struct("c", "comp")).alias("main")).where("parts > 1").drop("parts")
     live = shared_table(nodes.join(mixed, "shingle").select("shingle", "cid", "comp", "n", "l", "level", "main"), "live")
-    maps = linked.join(live.select("cid").distinct(), F.col("doc_id") == F.col("cid"), "left_semi").groupBy(F.col("doc_id").alias("cid")).agg(F.collect_set("bits").alias("maps"))
-    # an id with several texts gets no map: it is verified whatever the maps say
-    live = live.join(maps, "cid").withColumn("bits", F.when(F.size("maps") == 1, F.col("maps")[0])).drop("maps")
+    live = live.join(maps.drop("n"), "cid")
     live = shared_table(live.select("*", *[F.col("bits")[i].alias(f"b{i}") for i in range(8)]).drop("bits"), "live")
     x, y = live.where("comp <> main").alias("x"), live.alias("y")
     # two sets differ in at least as many shingles as their parity maps differ in cells
@@ -208,7 +231,8 @@ def link_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, t
     hits = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & fits).groupBy(
         F.least("x.cid", "y.cid").alias("x"), F.greatest("x.cid", "y.cid").alias("y")).agg(
         F.count(F.lit(1)).alias("hits"), F.first(F.least("x.l", "y.l")).alias("l"))
-    rest = shared_table(hits.where("hits >= l").select("x", "y"), "pairs")
+    rest = hits.where("hits >= l").select("x", "y")
+    rest = shared_table(rest if judged is None else _unjudged(rest, judged), "pairs")
     edges = shared_table(edges.union(verify(rest, docs, k, percent, text_col, id_col).select("x", "y")), "edges")
 
     parts = components(edges)
