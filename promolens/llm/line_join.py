@@ -132,12 +132,15 @@ def duplicate_lines(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, t
     # a class has a token once: what is counted twice, two classes have
     live = heads.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
     found = shared_table(heads.join(live, "token"), "found")
+    discard(rows)
+    discard(firsts)
     posts = shared_table(found.join(found.groupBy("token").agg(F.min("p").alias("lead")), "token"), "postings")
     discard(found)
 
     leaders = shared_table(posts.where("p <> lead").select(F.col("p").alias("y"), F.col("lead").alias("x")).distinct(), "leaders")
     sets = shared_table(_sets(docs, posts.select("p.doc", "p.line").distinct(), k, text_col, id_col), "sets")
     near = shared_table(_alike(leaders, sets, percent).select("y").distinct(), "near")
+    discard(leaders)
 
     y = posts.join(near.select(F.col("y").alias("p")), "p", "left_anti").where("p <> lead").alias("y")
     x = posts.alias("x")
