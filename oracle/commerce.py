@@ -389,3 +389,8 @@ FROM voucer_members v LEFT JOIN (
 SELECT a.id, a.code, a.name, a.customer_class_id, b.percent_discount
 FROM customers a JOIN customer_classes b ON a.customer_class_id = b.id""",
 }
+
+# the same results by other access paths
+for _name, _other in {"q_order_lines_bucketed": "q_order_lines", "q_order_totals_bucketed": "q_order_totals",
+                      "q_catalog_search_index": "q_catalog_search", "q_customer_page_directory": "q_customer_page"}.items():
+    SQL[_name] = SQL[_other]

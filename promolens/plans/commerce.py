@@ -20,6 +20,7 @@ from promolens.functions.numeric import (
 )
 from promolens.functions.text import contains_any, space_join
 from promolens.sources import commerce as C
+from promolens.sources.buckets import order_tables
 
 REPORT_START, REPORT_END = dt.date(1998, 1, 1), dt.date(1998, 1, 31)
 SEARCH_TERM = "ring"
@@ -164,8 +165,17 @@ def q_order_history(spark, sf, customer_id=None):
 def q_order_lines(spark, sf):
     """Q_ORDER_LINES: online order lines with product, province and city
     (JOIN_MULTI_SQL, five-way inner)."""
-    o = C.online_sales(spark, sf).alias("a")
-    d = C.online_sales_details(spark, sf).alias("b")
+    return _order_lines(spark, sf, C.online_sales(spark, sf), C.online_sales_details(spark, sf))
+
+
+def q_order_lines_bucketed(spark, sf):
+    """Q_ORDER_LINES on bucketed tables: headers meet their lines without an exchange."""
+    headers, lines = order_tables(spark, sf)
+    return _order_lines(spark, sf, headers.hint("merge"), lines)
+
+
+def _order_lines(spark, sf, orders: DataFrame, details: DataFrame) -> DataFrame:
+    o, d = orders.alias("a"), details.alias("b")
     p = C.products(spark, sf).alias("c")
     pr = C.provinces(spark, sf).alias("d")
     ci = C.cities(spark, sf).alias("e")
@@ -202,7 +212,16 @@ def q_pos_order_lines(spark, sf):
 def q_order_totals(spark, sf):
     """Q_ORDER_TOTALS: weight, value and points per online order.  Weight
     ignores the quantity, as in the source (SURVEY §2.12 #19)."""
-    d = C.online_sales_details(spark, sf)
+    return _order_totals(spark, sf, C.online_sales_details(spark, sf))
+
+
+def q_order_totals_bucketed(spark, sf):
+    """Q_ORDER_TOTALS on the bucketed lines: summed inside the buckets."""
+    return _order_totals(spark, sf, order_tables(spark, sf)[1])
+
+
+def _order_totals(spark, sf, details: DataFrame) -> DataFrame:
+    d = details
     p = C.products(spark, sf).select(F.col("id").alias("product_id"), "weight")
     return (d.join(p, "product_id").groupBy(F.col("online_sales_id").alias("id"))
             .agg(F.sum("weight").alias("weight_total"), F.sum(C.line_amount()).alias("total"),
@@ -316,6 +335,14 @@ def q_catalog_search(spark, sf, term: str = SEARCH_TERM):
     return _with_media(p, C.product_media(spark, sf), True)
 
 
+def q_catalog_search_index(spark, sf, term: str = SEARCH_TERM):
+    """Q_CATALOG, name search by the trigram index (FLT_LIKE)."""
+    from promolens.operators import trigrams
+    p = C.products(spark, sf)
+    p = trigrams.search(p, trigrams.build(p, "name", "id"), term, "name", "id").where(F.col("is_disabled") == 0)
+    return _with_media(p, C.product_media(spark, sf), True)
+
+
 def q_product_images(spark, sf):
     """Q_PRODUCT_IMAGES: all images of each product (NULL when none)."""
     return _with_media(C.products(spark, sf), C.product_media(spark, sf), False).select("id", "normal_price", "type_id", "path")
@@ -577,6 +604,13 @@ def q_customer_page(spark, sf):
     return customer_page(C.customers(spark, sf), PAGE_TERM, 10, 10)
 
 
+def q_customer_page_directory(spark, sf):
+    """ORD_PAGE by a page directory of the searched customers."""
+    from promolens.operators import pages
+    found = C.customers(spark, sf).where(contains_any(PAGE_COLUMNS, PAGE_TERM)).select(*PAGE_COLUMNS)
+    return pages.build(found, ["code", "id"]).page(10, 10)
+
+
 def q_customer_counts(spark, sf):
     return customer_counts(C.customers(spark, sf), PAGE_TERM)
 
@@ -654,4 +688,5 @@ NAMES = [
     "q_member_vouchers", "q_voucher_list", "q_member_voucher_list", "q_reward_list", "q_stock_card",
     "q_receipts", "q_customer_list", "q_customer_places", "q_dropshippers", "q_customer_page",
     "q_customer_counts", "led_points", "led_stock", "led_voucher_used", "led_member_voucher_used", "q_review_lines_product", "q_pos_customers",
+    "q_order_lines_bucketed", "q_order_totals_bucketed", "q_catalog_search_index", "q_customer_page_directory",
 ]
