@@ -3,8 +3,11 @@
 Two multinomials over ``buckets`` hashed word unigrams and bigrams: one of
 trusted target texts, one of the whole raw corpus.  A document's score is
 ``sum(log(P_target / P_raw)) / n-grams``, so its length does not matter, and
-every document is judged by the same fixed threshold: no sampling, no ties to
-break, no dependence on partitioning.
+every document is judged by the same threshold: no sampling, no ties to break, no
+dependence on partitioning.  The threshold is fixed but for the model's own
+uncertainty: a text that the target was not fitted on scores lower by about half the
+variance of an estimated log share, ``buckets / (2 * target n-grams)``, and that much
+is allowed for (0.03 at 200 target texts, nothing to speak of at 2,000).
 
 * The target is fitted on at most ``max_target`` labelled documents (quality 1
   and not toxic; beyond the bound those with the smallest id hash).  Their ids
@@ -82,8 +85,15 @@ def _once(rows: DataFrame, mark: str) -> DataFrame:
                     (1.0 / F.coalesce("n", F.lit(1))).alias("_weight")))
 
 
+class Model(list):
+    """log(P_target / P_raw) of each bucket; ``allowance`` is what an unseen text
+    scores too low on average."""
+
+    allowance = 0.0
+
+
 def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, alpha: float = ALPHA, prior: float = PRIOR,
-        max_target: int = MAX_TARGET, text_col: str = "text", id_col: str = "doc_id") -> list[float]:
+        max_target: int = MAX_TARGET, text_col: str = "text", id_col: str = "doc_id") -> Model:
     """log(P_target / P_raw) of each bucket."""
     good = trusted_ids(labels, max_target).select(F.col("doc_id").alias("_id"), F.lit(1).alias("_good"))
     rows = (docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
@@ -100,7 +110,10 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, alpha: float
         target[b] = t
     n_raw, n_target = sum(raw), sum(target)
     # the target's prior is the raw model, so a small target says little instead of the wrong thing
-    return [math.log((t + prior * r / n_raw) / (n_target + prior)) - math.log(r / n_raw) for t, r in zip(target, raw, strict=True)]
+    model = Model(math.log((t + prior * r / n_raw) / (n_target + prior)) - math.log(r / n_raw) for t, r in zip(target, raw, strict=True))
+    if n_target:
+        model.allowance = buckets / (2 * (n_target + prior))
+    return model
 
 
 def toxic_words(docs: DataFrame, labels: DataFrame, ratio: float = TOXIC_RATIO, least: int = TOXIC_LEAST,
@@ -180,7 +193,7 @@ def judge(docs: DataFrame, model: list[float], threshold: float = THRESHOLD, tex
     df = _with_repeat_words(df, [*base, "score"])
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     df = df.withColumn("base_failed", failed)
-    return df.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold) & (F.col("toxic_score") < toxic_threshold)).select(*own, *RESULTS)
+    return df.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold - getattr(model, "allowance", 0.0)) & (F.col("toxic_score") < toxic_threshold)).select(*own, *RESULTS)
 
 
 def op4_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -294,10 +294,27 @@ def test_sentencepiece_cuts_each_occurrence_on_its_own():
     assert pieces.encode("".join(units)[1:], 9) == want
 
 
-def test_pipeline_keeps_columns_and_decides(spark):
+def planted_tables(spark, folder):
+    """The small tables, and for the longest good documents a copy with other line ends:
+    its lines are like no line of the original, its text is."""
+    d = "/root/testdata/sf0.001"
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{d}/{name}.parquet").write.parquet(f"{folder}/{name}.parquet")
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    good = docs.join(spark.read.parquet(f"{d}/labels.parquet").where("quality = 1 AND toxic = 0").select("doc_id").distinct(), "doc_id")
+    rows, wrapped = [], lambda w, shift: "\n".join(" ".join(w[max(0, i):i + 12]) for i in range(-shift, len(w), 12))
+    for r in good.orderBy(F.length("text").desc()).limit(6).collect():
+        w = r.text.split()[:600]
+        rows += [(10_000 + 2 * r.doc_id + k, wrapped(w, 6 * k), r.lang, r.source) for k in (0, 1)]
+    more = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text").cast("long"))
+    docs.unionByName(more.select(*docs.columns)).write.parquet(f"{folder}/documents.parquet")
+    return folder
+
+
+def test_pipeline_keeps_columns_and_decides(spark, tmp_path):
     import corpus_pipeline
     from promolens.llm.common import documents
-    d = "/root/testdata/sf0.001"
+    d = planted_tables(spark, str(tmp_path))
     docs = documents(spark, d)
     ids = [{r[0] for r in docs.select("doc_id").collect()}]
     from promolens.llm.common import shared_table
@@ -312,6 +329,26 @@ def test_pipeline_keeps_columns_and_decides(spark):
     assert {r.doc_id for r in corpus_pipeline.run(spark, d).select("doc_id").collect()} == ids[-1]
 
 
+@pytest.mark.parametrize("rows", [0, 8])
+def test_pipeline_on_empty_null_repeated_and_clashing_rows(spark, rows):
+    """Every stage takes them; the result keeps the clashing columns."""
+    import corpus_pipeline
+    from promolens.llm.common import shared_table
+    text = " ".join(f"word{i}" for i in range(40))
+    data = [(1, None, "en", "s", None), (None, text, "en", "s", 5), (2, "", None, None, 0), (3, text, "en", "s", 5), (3, text, "en", "s", 5),
+            (4, " \n\t", "en", "s", 3), (5, "x" * 50_000, "en", "s", 9), (6, "w " * 20_000, "en", "s", 9)][:rows]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
+    for c in ("kept", "ids", "line", "n", "cid", "score"):
+        df = df.withColumn(c, F.lit("clash"))
+    frame = df
+    for name, stage in corpus_pipeline.STAGES:
+        frame = shared_table(stage(spark, frame, "/root/testdata/sf0.001"), "test-stage")
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert frame.columns == df.columns
+        left = {r.doc_id for r in frame.select("doc_id").collect()}
+        assert left <= {r[0] for r in data} and not left & {1, 2, 4}          # without words: rejected by the quality rules
+
+
 @pytest.mark.parametrize("dropout", [0.0, 0.1, 0.3])
 def test_sentencepiece_remembered_runs_equal_the_agenda(dropout):
     """Remembered words, sets of skipped candidates and the list form against the heap."""
