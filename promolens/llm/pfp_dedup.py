@@ -44,10 +44,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promolens.llm.common import P1, P2, U, arrow_map, documents, mix, powers, shared_table, small_side, text_blocks
+from promolens.llm.common import P1, P2, U, arrow_map, discard, documents, mix, powers, shared_table, small_side, text_blocks
 
 LENGTH = 400
 TRIGGER, STEP = 12, 16
+BLOCK = 1 << 18                 # bytes worked on at once; about twenty 8-byte arrays of this length are alive
 
 
 def _inverse(p: np.uint64) -> np.uint64:
@@ -112,7 +113,7 @@ def phrases(rows: DataFrame, length: int, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rid = batch.column("rid").to_numpy()
-            for a, _, data, offsets in text_blocks(batch.column("text"), 1 << 20):
+            for a, _, data, offsets in text_blocks(batch.column("text"), BLOCK):
                 found = _phrases(data, offsets, length, window)
                 if found:
                     text, t, low, high, g, s = found
@@ -140,7 +141,7 @@ def _probe(rows: DataFrame, wanted: DataFrame, length: int, fine: bool) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column, rid = batch.column("x"), batch.column("rid").to_numpy()
-            for a, b, data, offsets in text_blocks(batch.column("text"), 1 << 20):
+            for a, b, data, offsets in text_blocks(batch.column("text"), BLOCK):
                 spans = Spans(data)
                 lists = column.slice(a, b - a)
                 x = lists.flatten()
@@ -170,14 +171,17 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH, window: int | None =
     """rid, low, high: bytes [low, high) of the text are repeated.  Ranges may
     overlap.  ``rows``: rid, text."""
     window = window or length // 2
-    parse = shared_table(phrases(rows, length, window), "parse")
-    groups = parse.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g")
-    parse = shared_table(parse.join(groups, "g", "left_semi"), "shared")
+    every = shared_table(phrases(rows, length, window), "parse")
+    groups = every.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g")
+    parse = shared_table(every.join(groups, "g", "left_semi"), "shared")
+    discard(every)
     spans = parse.groupBy("g", "s").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "at")).alias("first"))
     spans = shared_table(spans, "spans")
     kinds = spans.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least"))
     marks = shared_table(parse.join(spans, ["g", "s"]).join(kinds.where("m > 1 AND least = 1"), "g", "left")
                          .select("rid", "at", "low", "high", "g", "n", "m", (F.struct("rid", "at") == F.col("first")).alias("head")), "marks")
+    discard(parse)
+    discard(spans)
     whole = marks.where("n > 1").select("rid", "low", (F.col("high") + length).alias("high"))
     # spans that occur once, and one example of every other span of their groups
     edge = shared_table(marks.where("m IS NOT NULL AND head").select("rid", "at", "low", "high", "g", (F.col("n") == 1).alias("open")), "edges")
