@@ -4,10 +4,14 @@ Names, numbers and units of a text become typed placeholders, so a question
 that was re-parameterised keeps its template.  Windows of ``k`` template words
 of every document are hash-joined with the windows of the benchmark items.  A
 document leaks an item when the matched windows cover at least ``min_cover`` of
-the item's windows and its slots are consistent: along one alignment each
-value of the item stands for one value in the document (``min_slots`` of the
-slots at least; a copy maps every value to itself).
-
+the item's windows, or ``min_run`` of them lie on one alignment (an excerpt of
+``min_run`` + ``k`` - 1 words, whatever the item's length), and its slots are
+consistent: along one alignment each value of the item stands for one value in
+the document (``min_slots`` of the slots at least; a copy maps every value to itself).
+
+* Each text has two templates: one with names, numbers and units, and a
+  case-folded one with numbers and units only, as capitals tell nothing about
+  names in a title or in a text of capitals.  Windows match within one kind.
 * Windows with fewer than ``MIN_LITERAL`` words outside placeholders are not
   joined on either side: tables of numbers match nothing.
 * An item shorter than ``k`` words is one window of its own length; windows of
@@ -21,7 +25,7 @@ All of it is DataFrame functions.
 
 Defined results: null and empty texts have no windows; items without words are
 never leaked; rows with one doc_id are one document, a null doc_id is one
-document as well; repeated items and documents give one pair each; extra
+document as well; a null item_id is an item like any other; repeated items and documents give one pair each; extra
 columns are not read.  Empty tables give an empty result.
 """
 
@@ -32,7 +36,7 @@ from pyspark.sql import functions as F
 
 from promolens.llm.common import documents, paired, shared_table, small_side, table, words_of
 
-WINDOW, MIN_COVER, MIN_SLOTS, MIN_LITERAL = 8, 0.5, 0.8, 3
+WINDOW, MIN_COVER, MIN_RUN, MIN_SLOTS, MIN_LITERAL = 8, 0.5, 12, 0.8, 3
 MAX_BROADCAST = 2_000_000
 UNITS = ("mm", "cm", "dm", "m", "km", "in", "ft", "yd", "mi", "mg", "g", "kg", "t", "oz", "lb", "lbs", "ml", "cl", "l",
          "s", "sec", "min", "h", "hr", "hrs", "seconds", "minutes", "hours", "days", "weeks", "months", "years",
@@ -41,15 +45,20 @@ UNITS = ("mm", "cm", "dm", "m", "km", "in", "ft", "yd", "mi", "mg", "g", "kg", "
 NAME, NUMBER, UNIT = "\x01", "\x02", "\x03"
 
 
-def template(text: Column) -> Column:
+def template(text: Column, names: bool = True) -> Column:
     """The text with placeholders, without closing punctuation, in lower case.
     White space is untouched, so its words stand at the places of the text's."""
     t = F.translate(F.coalesce(text, F.lit("")), NAME + NUMBER + UNIT, "???")
     # a capital inside a sentence: after a letter, digit or comma and one space
-    t = F.regexp_replace(t, r"(?<=[\p{L}\p{N},;] )\p{Lu}[\p{L}'’-]*", NAME)
+    t = F.regexp_replace(t, r"(?<=[\p{L}\p{N},;] )\p{Lu}[\p{L}'’-]*", NAME) if names else F.lower(t)
     t = F.regexp_replace(t, r"[$€£]?\d+(?:[.,:/]\d+)*%?", NUMBER)
     t = F.regexp_replace(t, rf"(?<={NUMBER}|{NUMBER} )(?:{'|'.join(UNITS)})(?!\p{{L}})", UNIT)
-    return F.lower(F.regexp_replace(t, r"(?<=[\p{L}\p{N}\x01-\x03])[.,;:!?\"')\]]+(?=\s|$)", ""))
+    t = F.regexp_replace(t, r"(?<=[\p{L}\p{N}\x01-\x03])[.,;:!?\"')\]]+(?=\s|$)", "")
+    return F.lower(t) if names else t
+
+
+def _templates(text: Column) -> Column:
+    return F.array(template(text), template(text, names=False))
 
 
 def _literal(word: Column) -> Column:
@@ -78,28 +87,34 @@ def _windows(df: DataFrame, own: list[str], lengths: list[int], words: str) -> D
     return out
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, k: int, min_cover: float, text_col: str, id_col: str) -> tuple[DataFrame | None, DataFrame]:
-    """doc_id, item_id, at (document), i_at (item), len, cover of the pairs with enough windows."""
-    items = benchmark.where(F.col("item_id").isNotNull()).select("item_id", F.col("text").alias("raw")).distinct()
-    items = items.select("item_id", "raw", template(F.col("raw")).alias("words"))
-    items = items.select("item_id", words_of(F.col("raw")).alias("raw"), words_of(F.col("words")).alias("words"))
+def matches(docs: DataFrame, benchmark: DataFrame, k: int, min_cover: float, min_run: int, text_col: str,
+            id_col: str) -> tuple[DataFrame | None, DataFrame]:
+    """doc_id, item_id, at (document), i_at (item), len, m (windows), cover of the pairs with enough windows."""
+    # the item's id is wrapped, so that a null one joins like any other
+    items = benchmark.select(F.struct("item_id").alias("item_id"), F.col("text").alias("raw")).distinct()
+    items = items.select("item_id", "raw", _templates(F.col("raw")).alias("t"))
+    items = items.select("item_id", words_of(F.col("raw")).alias("raw"), words_of(F.col("t")[0]).alias("words"), words_of(F.col("t")[1]).alias("folded"))
     items = shared_table(items.withColumn("size", F.least(F.size("words"), F.lit(k))), "items").where("size > 0")
     lengths = sorted(r[0] for r in items.select("size").distinct().collect())             # at most k numbers
     if not lengths:
         return None, items
-    own = ["item_id", "size", "words"]
-    bench = _windows(items, own, lengths, "words").where("len = size")
+    bench = items.select("item_id", "size", F.posexplode_outer(F.array("words", "folded")).alias("kind", "words"))
+    bench = _windows(bench, ["item_id", "size", "kind", "words"], lengths, "words").where("len = size")
     literal = F.size(F.filter(F.slice("words", F.col("at") + 1, F.col("len")), _literal))
     bench = bench.where(literal >= F.least(F.lit(MIN_LITERAL), F.col("len")))
-    bench = shared_table(bench.select("item_id", "len", F.col("at").alias("i_at"), "h"), "bench")
+    bench = shared_table(bench.select("item_id", "kind", "len", F.col("at").alias("i_at"), "h"), "bench")
     total = bench.groupBy("item_id").agg(F.countDistinct("i_at").alias("n"))
-    # the template is a column of its own: ``words_of`` looks at its text several times
-    texts = docs.select(F.col(id_col).alias("doc_id"), template(F.col(text_col)).alias("words")).select("doc_id", words_of(F.col("words")).alias("words"))
-    found = _windows(texts, ["doc_id"], lengths, "words").join(small_side(bench, MAX_BROADCAST), ["h", "len"]).drop("h").distinct()
-    found = shared_table(found, "found")
-    cover = found.groupBy("doc_id", "item_id").agg(F.countDistinct("i_at").alias("m")).join(total, "item_id").where(
-        F.col("m") >= min_cover * F.col("n")).select(
+    # the templates are a column behind a generator: ``words_of`` looks at its text several times
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.posexplode_outer(_templates(F.col(text_col))).alias("kind", "words"))
+    texts = texts.select("doc_id", "kind", words_of(F.col("words")).alias("words"))
+    found = _windows(texts, ["doc_id", "kind"], lengths, "words").join(small_side(bench, MAX_BROADCAST), ["h", "len", "kind"])
+    found = shared_table(found.drop("h", "kind").distinct(), "found")
+    cover = found.groupBy("doc_id", "item_id").agg(F.countDistinct("i_at").alias("m")).join(total, "item_id").select(
         F.col("doc_id").alias("d"), F.col("item_id").alias("i"), "m", (F.col("m") / F.col("n")).alias("cover"))
+    runs = found.groupBy("doc_id", "item_id", (F.col("at") - F.col("i_at")).alias("shift")).agg(F.count(F.lit(1)).alias("run")).where(
+        F.col("run") >= min_run).select(F.col("doc_id").alias("rd"), F.col("item_id").alias("ri"), F.lit(True).alias("long")).distinct()
+    cover = cover.join(runs, F.col("d").eqNullSafe(F.col("rd")) & (F.col("i") == F.col("ri")), "left").where(
+        F.col("long") | (F.col("cover") >= min_cover)).drop("rd", "ri", "long")
     hit = found.join(cover, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("item_id") == F.col("i"))).drop("d", "i")
     return shared_table(hit, "hits"), items
 
@@ -128,16 +143,16 @@ def _slots(hits: DataFrame, items: DataFrame, docs: DataFrame, text_col: str, id
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, k: int = WINDOW, min_cover: float = MIN_COVER,
-          min_slots: float = MIN_SLOTS, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+          min_run: int = MIN_RUN, min_slots: float = MIN_SLOTS, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc_id, item_id, n_windows, cover, n_slots, slot_share of every leaked item."""
-    hits, items = matches(docs, benchmark, k, min_cover, text_col, id_col)
+    hits, items = matches(docs, benchmark, k, min_cover, min_run, text_col, id_col)
     if hits is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_windows long, cover double, n_slots long, slot_share double")
     pairs = hits.select("doc_id", "item_id", F.col("m").alias("n_windows"), "cover").distinct()
     slots = _slots(hits, items, docs, text_col, id_col)
     out = pairs.join(slots, F.col("doc_id").eqNullSafe(F.col("sd")) & (F.col("item_id") == F.col("si")), "left")
     share = F.when(F.coalesce("slots", F.lit(0)) > 0, F.col("agreeing") / F.col("slots")).otherwise(F.lit(1.0))
-    return out.select("doc_id", "item_id", F.col("n_windows").cast("long").alias("n_windows"), "cover",
+    return out.select("doc_id", "item_id.item_id", F.col("n_windows").cast("long").alias("n_windows"), "cover",
                       F.coalesce("slots", F.lit(0)).cast("long").alias("n_slots"), share.alias("slot_share")).where(F.col("slot_share") >= min_slots)
 
 

@@ -164,6 +164,27 @@ def test_template_leaks(frame, spark):
     assert leaks(frame([]), bench).count() == 0 and leaks(frame(rows), bench.where("item_id > 2")).count() == 0
 
 
+def test_template_leaks_in_other_case_and_in_excerpts(frame, spark):
+    from promolens.llm.template_decon import leaks
+    r = random.Random(11)
+    vocabulary = ["".join(r.choice("abcdefghiklmnoprstu") for _ in range(r.randint(3, 9))) for _ in range(800)]
+    some = lambda n: [r.choice(vocabulary) if r.random() > 0.1 else r.choice(["Rosa", "Timur", "17", "230"]) for _ in range(n)]
+    items = [(i, " ".join(some(70))) for i in range(20)]
+    bench = spark.createDataFrame([*items, (None, items[0][1] + " with more")], "item_id long, text string")
+    rows, expect = [], set()
+    for i, text in items:
+        w = text.split()
+        at = r.randint(0, 45)
+        for k, t in enumerate((text.upper(), text.title(), " ".join(w[at:at + 25]), " ".join(w[at:at + 25]).upper())):
+            rows.append((100 * i + k, " ".join(some(30)) + " " + t + " " + " ".join(some(30))))
+            expect.add((100 * i + k, i))
+        rows.append((100 * i + 10, " ".join(some(150))))                      # clean
+        rows.append((100 * i + 11, " ".join(w[at:at + 12])))                  # too short an excerpt
+    got = {(x.doc_id, x.item_id) for x in leaks(frame(rows), bench).collect()}
+    assert {p for p in got if p[1] is not None} == expect
+    assert {p[0] for p in got if p[1] is None} == {0, 1, 2, 3}
+
+
 def test_url_rules(spark):
     from promolens.llm.url_rules import judge
     rows = [(i, f"https://{'spam.bad-host.net' if i % 2 else 'www.good.net'}/en/{i}") for i in range(60)]
