@@ -50,10 +50,12 @@ def template(text: Column, names: bool = True) -> Column:
     White space is untouched, so its words stand at the places of the text's."""
     t = F.translate(F.coalesce(text, F.lit("")), NAME + NUMBER + UNIT, "???")
     # a capital inside a sentence: after a letter, digit or comma and one space
-    t = F.regexp_replace(t, r"(?<=[\p{L}\p{N},;] )\p{Lu}[\p{L}'’-]*", NAME) if names else F.lower(t)
-    t = F.regexp_replace(t, r"[$€£]?\d+(?:[.,:/]\d+)*%?", NUMBER)
-    t = F.regexp_replace(t, rf"(?<={NUMBER}|{NUMBER} )(?:{'|'.join(UNITS)})(?!\p{{L}})", UNIT)
-    t = F.regexp_replace(t, r"(?<=[\p{L}\p{N}\x01-\x03])[.,;:!?\"')\]]+(?=\s|$)", "")
+    t = F.regexp_replace(t, r"\p{Lu}(?<=[\p{L}\p{N},;] \p{Lu})[\p{L}'’-]*", NAME) if names else F.lower(t)
+    # what is rare comes first in each pattern; a look behind at every character costs most
+    number = r"[$€£]?\d+(?:[.,:/]\d+)*%?"
+    t = F.regexp_replace(t, rf"{number}( ?)(?:{'|'.join(UNITS)})(?!\p{{L}})", f"{NUMBER}$1{UNIT}")
+    t = F.regexp_replace(t, number, NUMBER)
+    t = F.regexp_replace(t, r"[.,;:!?\"')\]](?<=[\p{L}\p{N}\x01-\x03].)[.,;:!?\"')\]]*(?=\s|$)", "")
     return F.lower(t) if names else t
 
 
