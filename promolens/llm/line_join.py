@@ -1,25 +1,28 @@
 """Operator 8: line dedup as an exact set-similarity join.
 
-Every line of every document is a set of tokens: its ``k``-word shingles (the
-whole word sequence where it is shorter).  Two lines are alike when their sets
-have a Jaccard similarity of ``percent`` / 100 or more.  A line is removed when
-a like line stands earlier in the corpus (by doc_id, then line number); it is
-judged on the input, so removals do not depend on each other.
-
-1. Rarity.  ``2**16`` counters (bounded) hold the corpus frequency of the
-   tokens by hash; tokens are ordered by their counter's magnitude, then hash:
-   one global order with rare tokens first.  The counters are put into the plan
+Every line of every document is the set of its tokens, which are its words.
+Two lines are alike when their sets have a Jaccard similarity of ``percent`` /
+100 or more.  A line is removed when a like line stands earlier in the corpus
+(by doc_id, then line number); it is judged on the input, so removals do not
+depend on each other.
+
+1. Rarity.  ``BUCKETS`` counters (bounded) hold the corpus frequency of the
+   words by hash; words are ordered by their counter's magnitude, then hash:
+   one global order with rare words first.  The counters are put into the plan
    as a literal.  They decide the cost only, never the result.
 2. Equal sets are one class (128-bit digest) with its first place in the
-   corpus, found by a grouped minimum; a hot line is one class.
-3. Prefix filter: like sets share one of their first ``n - need(n) + 1``
-   tokens.  Tokens that only one class has in its prefix are dropped.
-4. Leader round: a class is compared with the earliest class of each of its
-   tokens' blocks.  Where that is alike it is decided (an earlier like line
-   exists); so a dense group costs a linear number of pairs.
-5. The undecided classes are compared with every earlier class in their blocks
-   that passes the length and the positional filter; each such pair is verified
-   by its full sets.  Nothing is capped.
+   corpus, found by a grouped minimum; a hot line is one class.  Sets of fewer
+   than ``_least`` words are like equal sets only and go no further.
+3. Prefix filter: like sets share one of their first ``n - need(n) + 1`` words.
+   A prefix word that two sets share must also leave room for the overlap they
+   need (positional filter) in sets of like size (length filter), and the two
+   sets' parity maps may differ in no more bits than the sets in words.
+   All three are conditions of the join by word, so no other pair leaves it.
+4. Leader round: a class is compared with the earliest class of each of the
+   words that sets of one size need.  Where that is alike it is decided (an
+   earlier like line exists); so a dense group costs a linear number of pairs.
+5. The undecided classes are compared with every earlier class they meet by a
+   prefix word; each pair is verified by its full sets.  Nothing is capped.
 
 All of it is DataFrame functions.
 
@@ -35,18 +38,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promolens.llm.common import discard, documents, paired, shared_table, small_side, words_of
+from promolens.llm.common import discard, documents, shared_table, small_side, words_of
 
-SHINGLE, PERCENT = 5, 80
-BUCKETS = 1 << 16
+PERCENT = 80
+BUCKETS = 1 << 17
 NO_ID = -(1 << 63)
+#: sets of more words have a second parity map
+ONE_MAP = 48
 
 
 def _need(n: str | Column, percent: int) -> Column:
+    """Least overlap of a set of ``n`` words with a like set."""
     n = F.col(n) if isinstance(n, str) else n
     return F.floor((n * percent + 99) / 100).cast("int")
 
 
+def _both_need(sizes: Column, percent: int) -> Column:
+    """Least overlap of two like sets of ``sizes`` words together."""
+    return F.floor((percent * sizes + 99 + percent) / (100 + percent))
+
+
+def _least(percent: int) -> int:
+    """The smallest size of a set that can be like another set than its equal."""
+    n = 1
+    while percent < 100 and 100 * n < percent * (n + 1):
+        n += 1
+    return n
+
+
 def _lines(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
     """doc, line (number), text of each line with a word."""
     lines = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"),
@@ -54,104 +73,106 @@ def _lines(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
     return lines.where(F.col("words").rlike(r"[^\x20\x09-\x0D]"))
 
 
-def _tokens(lines: DataFrame, own: list[str], k: int) -> DataFrame:
-    """``own`` and the token hashes ``t`` (repeats included) of column ``words``.
-
-    Explode and filter the result only by ``_outer`` generators and on columns
-    behind them: a filter on ``t`` itself would be pushed down and copy the whole
-    chain of expressions into itself.
-
-    A shingle's hash is folded from overlapping pairs: 2, 4, ... words, then the
-    last ``k``; each step is a column, so nothing is evaluated twice."""
-    df = lines.select(*own, F.transform(words_of(F.col("words")), lambda w: F.xxhash64(w)).alias("_1"))
-    whole = F.when(F.size("_1") > 0, F.array(F.xxhash64("_1")))
-    df = df.select(*own, F.size("_1").alias("_n"), whole.alias("_whole"), paired(F.col("_1"), 1).alias("_2"))
-    span = 2
-    while span * 2 <= k:
-        df = df.select(*own, "_n", "_whole", paired(F.col(f"_{span}"), span).alias(f"_{span * 2}"))
-        span *= 2
-    if span < k:
-        df = df.select(*own, "_n", "_whole", paired(F.col(f"_{span}"), k - span).alias(f"_{k}"))
-    return df.select(*own, F.when(F.col("_n") >= k, F.col(f"_{k}")).otherwise(
-        F.coalesce("_whole", F.array().cast("array<bigint>"))).alias("t"))
-
-
-def rarity(docs: DataFrame, k: int = SHINGLE, text_col: str = "text", id_col: str = "doc_id") -> list[int]:
-    """Magnitude (doublings above the mean) of each token counter."""
-    tokens = _tokens(_lines(docs, text_col, id_col), ["doc"], k).select(F.explode_outer("t").alias("t")).where("t IS NOT NULL")
-    counts = tokens.select(F.pmod("t", F.lit(BUCKETS).cast("long")).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n")).collect()   # <= BUCKETS rows
+def _hashes(words: Column) -> Column:
+    return F.transform(words_of(words), lambda w: F.xxhash64(w))
+
+
+def rarity(docs: DataFrame, text_col: str = "text") -> list[int]:
+    """Magnitude (doublings above an eighth of the mean) of each word counter."""
+    words = docs.select(F.explode_outer(words_of(F.col(text_col))).alias("w")).where("w IS NOT NULL")
+    bucket = F.pmod(F.xxhash64("w"), F.lit(BUCKETS).cast("long")).alias("b")
+    counts = words.select(bucket).groupBy("b").agg(F.count(F.lit(1)).alias("n")).collect()   # <= BUCKETS rows
     mean = max(1.0, sum(r["n"] for r in counts) / BUCKETS)
     tiers = [0] * BUCKETS
     for r in counts:
-        tiers[r["b"]] = min(9, int(r["n"] / (2 * mean)).bit_length())
+        tiers[r["b"]] = int(8 * r["n"] / mean).bit_length()
     return tiers
 
 
-def signatures(docs: DataFrame, tiers: list[int], k: int, percent: int, text_col: str, id_col: str) -> DataFrame:
-    """doc, line, k1, k2 (digest), n (set size), prefix of each line with words."""
-    order = F.split(F.lit("".join(map(str, tiers))), "").cast("array<int>")
+def signatures(docs: DataFrame, tiers: list[int], percent: int, text_col: str, id_col: str) -> DataFrame:
+    """doc, line, k1, k2 (digest), n (set size), h1, h2 (parity maps), prefix of each line with words."""
+    order = F.split(F.lit(",".join(map(str, tiers))), ",").cast("array<int>")
     keys = ["doc", "line"]
-    df = _tokens(_lines(docs, text_col, id_col), keys, k)
-    # the sort key has the tier on top; its lower 56 bits are the token
+    df = _lines(docs, text_col, id_col)
+    # the sort key has the tier on top; its lower 56 bits are the word
     rank = lambda t: F.shiftleft(order[F.pmod(t, F.lit(BUCKETS).cast("long")).cast("int")].cast("long"), 56).bitwiseOR(F.shiftrightunsigned(t, 8))
-    df = df.select(*keys, F.sort_array(F.array_distinct(F.transform("t", rank))).alias("s"))
+    df = df.select(*keys, F.sort_array(F.array_distinct(F.transform(_hashes(F.col("words")), rank))).alias("s"))
+    one = F.lit(1).cast("long")
+    parity = lambda shift: F.aggregate("s", F.lit(0).cast("long"), lambda m, t: m.bitwiseXOR(
+        F.call_function("shiftleft", one, F.shiftright(t, shift).bitwiseAND(F.lit(63).cast("long")).cast("int"))))
     n = F.size("s")
+    used = n >= _least(percent)
     return df.select(*keys, F.xxhash64("s").alias("k1"), F.xxhash64(F.lit(1), "s").alias("k2"), n.alias("n"),
-                     F.slice("s", 1, n - _need(n, percent) + 1).alias("prefix"))
+                     F.when(used, parity(0)).otherwise(0).alias("h1"), F.when(n > ONE_MAP, parity(8)).otherwise(F.lit(0).cast("long")).alias("h2"),
+                     F.when(used, F.transform(F.slice("s", 1, n - _need(n, percent) + 1), lambda t: t.bitwiseAND(F.lit(0x7FFFFFFF).cast("long")).cast("int"))).alias("prefix"))
 
 
-def _sets(docs: DataFrame, places: DataFrame, k: int, text_col: str, id_col: str) -> DataFrame:
-    """doc, line, s (sorted distinct tokens) of the lines in ``places``."""
+def _sets(docs: DataFrame, pairs: DataFrame, text_col: str, id_col: str) -> DataFrame:
+    """doc, line, s (distinct words' hashes) of the lines in ``pairs`` (x, y)."""
+    places = pairs.select("x.doc", "x.line").union(pairs.select("y.doc", "y.line"))
     ids = shared_table(places.groupBy("doc").agg(F.collect_set("line").alias("at")), "ids")
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text_col).alias("text")).join(small_side(ids, lists="at"), "doc")
-    lines = texts.select("doc", "at", F.posexplode(F.split("text", "\n")).alias("line", "words")).where(F.array_contains("at", F.col("line")))
-    return _tokens(lines, ["doc", "line"], k).select("doc", "line", F.array_distinct("t").alias("s"))
+    lines = texts.select("doc", "at", F.posexplode_outer(F.split("text", "\n")).alias("line", "words")).where(F.array_contains("at", F.col("line")))
+    return lines.select("doc", "line", F.array_distinct(_hashes(F.col("words"))).alias("s"))
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (x, y: places) whose full sets are alike."""
+def _alike(docs: DataFrame, pairs: DataFrame, percent: int, text_col: str, id_col: str) -> DataFrame:
+    """doc, line of each y in ``pairs`` (x, y: places) whose full set is like that of its x."""
+    sets = shared_table(_sets(docs, pairs, text_col, id_col), "sets")
     x = sets.select(F.struct("doc", "line").alias("x"), F.col("s").alias("sx"))
     y = sets.select(F.struct("doc", "line").alias("y"), F.col("s").alias("sy"))
-    shared = F.size(F.array_intersect("sx", "sy"))
-    both = pairs.join(y, "y").join(x, "x").select("x", "y", F.size("sx").alias("nx"), F.size("sy").alias("ny"), shared.alias("o"))
-    return both.where((F.col("o") > 0) & (100 * F.col("o") >= percent * (F.col("nx") + F.col("ny") - F.col("o")))).select("x", "y")
-
-
-def duplicate_lines(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, text_col: str = "text",
-                    id_col: str = "doc_id") -> DataFrame:
+    both = pairs.join(y, "y").join(x, "x").select(
+        "y", F.size("sx").alias("nx"), F.size("sy").alias("ny"), F.size(F.array_intersect("sx", "sy")).alias("o"))
+    near = both.where((F.col("o") > 0) & (100 * F.col("o") >= percent * (F.col("nx") + F.col("ny") - F.col("o"))))
+    out = shared_table(near.select("y.doc", "y.line").distinct(), "near")
+    discard(sets)
+    return out
+
+
+def _meeting(x: DataFrame, y: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y: places, x earlier) with a common ``token`` that the filters let through."""
+    nx, ny = F.col("x.n"), F.col("y.n")
+    need = _both_need(nx + ny, percent)
+    room = F.least(nx - F.col("x.i"), ny - F.col("y.i"))         # the common word and what stands behind it
+    differ = F.bit_count(F.col("x.h1").bitwiseXOR(F.col("y.h1")))
+    more = F.when((nx > ONE_MAP) & (ny > ONE_MAP), F.bit_count(F.col("x.h2").bitwiseXOR(F.col("y.h2")))).otherwise(0)
+    first = (F.col("x.doc") < F.col("y.doc")) | ((F.col("x.doc") == F.col("y.doc")) & (F.col("x.line") < F.col("y.line")))
+    # ``open`` stands in a condition on both sides, so the two read one exchange
+    fits = (first & (room * F.col("y.open") >= need) & (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny))
+            & (differ <= nx + ny - 2 * need) & (more <= nx + ny - 2 * need))
+    return x.alias("x").join(y.alias("y"), (F.col("x.token") == F.col("y.token")) & fits).select(
+        F.struct("x.doc", "x.line").alias("x"), F.struct("y.doc", "y.line").alias("y")).distinct()
+
+
+def duplicate_lines(docs: DataFrame, percent: int = PERCENT, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc, line of every line to remove."""
-    rows = shared_table(signatures(docs, rarity(docs, k, text_col, id_col), k, percent, text_col, id_col), "lines")
-    firsts = rows.groupBy("k1", "k2").agg(F.min(F.struct("doc", "line")).alias("first"), F.count(F.lit(1)).alias("copies"))
-    firsts = shared_table(firsts, "classes")
-    # repeats of a class go at once; only its first line is compared with other classes
+    rows = shared_table(signatures(docs, rarity(docs, text_col), percent, text_col, id_col), "lines")
     place = F.struct("doc", "line")
-    repeats = rows.join(firsts.where("copies > 1"), ["k1", "k2"]).where(place != F.col("first")).select("doc", "line")
+    firsts = shared_table(rows.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1"), "classes")
+    # repeats of a class go at once; only its first line is compared with other classes
+    repeats = rows.join(small_side(firsts, 200_000), ["k1", "k2"]).where(place != F.col("first")).select("doc", "line")
     repeats = shared_table(repeats.distinct(), "repeats")
-    heads = rows.join(small_side(repeats, 1_000_000), ["doc", "line"], "left_anti").select(
-        place.alias("p"), "n", F.posexplode("prefix").alias("i", "token"))
-    # a class has a token once: what is counted twice, two classes have
-    live = heads.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
-    found = shared_table(heads.join(live, "token"), "found")
-    discard(rows)
     discard(firsts)
-    posts = shared_table(found.join(found.groupBy("token").agg(F.min("p").alias("lead")), "token"), "postings")
-    discard(found)
-
-    leaders = shared_table(posts.where("p <> lead").select(F.col("p").alias("y"), F.col("lead").alias("x")).distinct(), "leaders")
-    sets = shared_table(_sets(docs, posts.select("p.doc", "p.line").distinct(), k, text_col, id_col), "sets")
-    near = shared_table(_alike(leaders, sets, percent).select("y").distinct(), "near")
-    discard(leaders)
-
-    y = posts.join(near.select(F.col("y").alias("p")), "p", "left_anti").where("p <> lead").alias("y")
-    x = posts.alias("x")
-    need = F.floor((percent * (F.col("x.n") + F.col("y.n")) + 99 + percent) / (100 + percent))     # least overlap of the two
-    fits = ((F.col("x.p") < F.col("y.p")) & (F.col("x.p") != F.col("x.lead"))
-            & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
-            & (1 + F.least("x.i", "y.i") + F.least(F.col("x.n") - F.col("x.i"), F.col("y.n") - F.col("y.i")) - 1 >= need))
-    pairs = shared_table(y.join(x, (F.col("x.token") == F.col("y.token")) & fits).select(
-        F.col("x.p").alias("x"), F.col("y.p").alias("y")).distinct(), "pairs")
-    more = _alike(pairs, sets, percent).select("y").distinct()
-    return repeats.union(near.union(more).select("y.doc", "y.line")).distinct()
+    kept = ["doc", "line", "n", "h1", "h2", "prefix"]
+    heads = rows.where("prefix IS NOT NULL").join(small_side(repeats, 1_000_000), ["doc", "line"], "left_anti").select(*kept)
+    heads = shared_table(heads, "heads")
+    discard(rows)
+
+    def postings(df: DataFrame, *more: str) -> DataFrame:
+        return df.select("doc", "line", "n", "h1", "h2", *more, F.posexplode_outer("prefix").alias("i", "token"))
+
+    short = F.slice("prefix", 1, (F.col("n") - _both_need(2 * F.col("n"), percent) + 1).cast("int"))
+    posts = postings(heads.withColumn("prefix", short)).withColumn("open", F.lit(1))
+    lead = posts.groupBy("token").agg(F.min(place).alias("lead"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    met = posts.join(lead, "token")
+    leads = met.where((F.col("doc") == F.col("lead.doc")) & (F.col("line") == F.col("lead.line")))
+    near = _alike(docs, shared_table(_meeting(leads, met, percent), "leaders"), percent, text_col, id_col)
+
+    undecided = heads.join(small_side(near.withColumn("open", F.lit(0)), 1_000_000), ["doc", "line"], "left").withColumn(
+        "open", F.coalesce("open", F.lit(1)))
+    posts = postings(undecided, "open")
+    more = _alike(docs, shared_table(_meeting(posts, posts, percent), "pairs"), percent, text_col, id_col)
+    return shared_table(repeats.union(near).union(more).distinct(), "gone")
 
 
 def remove_lines(docs: DataFrame, gone: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -176,6 +197,7 @@ def op8_line_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: later like lines go; a document that loses all its words goes too."""
     out = remove_lines(docs, duplicate_lines(docs))
-    left = F.col("gone_lines").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    return out.where(left).withColumn("n_chars", F.when(F.col("gone_lines").isNull(), F.col("n_chars")).otherwise(
-        F.length("text").cast("long"))).select(*docs.columns)
+    out = out.where(F.col("gone_lines").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("gone_lines").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    return out.select(*docs.columns)

@@ -59,10 +59,28 @@ def test_id_with_two_texts_ties_their_groups(frame):
     assert {(r.doc_id, r.component_id) for r in link_components(frame(rows)).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4)}
 
 
-def test_duplicate_lines(frame):
+@pytest.mark.parametrize("percent", [60, 80, 93, 100])
+def test_duplicate_lines(frame, percent):
     from promolens.llm.line_join import duplicate_lines as operator
     rows = corpus(2)
-    assert {(r.doc, r.line) for r in operator(frame(rows)).collect()} == duplicate_lines(rows, 5, 80)
+    assert {(r.doc, r.line) for r in operator(frame(rows), percent).collect()} == duplicate_lines(rows, 1, percent)
+
+
+def test_lines_with_changed_words(frame):
+    """One changed word in lines of 12 to 48, a tenth of the words in long ones; and short lines."""
+    from promolens.llm.line_join import duplicate_lines as operator
+    r = random.Random(9)
+    lines = [[f"v{r.randrange(4000)}" for _ in range(k)] for k in [*range(1, 49), 150, 400, 900]]
+    copies = []
+    for w in lines:
+        w = list(w)
+        for at in r.sample(range(len(w)), max(1, len(w) // 20)):
+            w[at] = f"new{r.randrange(10**6)}"
+        copies.append(w)
+    rows = [(1, "\n".join(" ".join(w) for w in lines)), (2, "\n".join(" ".join(w) for w in copies)), (2, "a b c d\na b c d e\na b c d e f g"), *EDGES]
+    got = {(x.doc, x.line) for x in operator(frame(rows)).collect()}
+    assert got == duplicate_lines(rows, 1, 80)
+    assert {(2, k) for k in range(11, len(lines))} <= got
 
 
 def test_line_texts(frame):
