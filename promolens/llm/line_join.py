@@ -16,11 +16,12 @@ depend on each other.
 3. Prefix filter: like sets share one of their first ``n - need(n) + 1`` words.
    A prefix word that two sets share must also leave room for the overlap they
    need (positional filter) in sets of like size (length filter), and the two
-   sets' parity maps may differ in no more bits than the sets in words.
+   sets' parity maps (128 bits) may differ in no more bits than the sets in words.
    All three are conditions of the join by word, so no other pair leaves it.
-4. Leader round: a class is compared with the earliest class of each of the
-   words that sets of one size need.  Where that is alike it is decided (an
-   earlier like line exists); so a dense group costs a linear number of pairs.
+4. Leader round: for the words that sets of one size need, and that more than
+   ``CROWD`` classes have there, a class is compared with the word's earliest
+   class.  Where that is alike it is decided (an earlier like line exists); so a
+   dense group costs a linear number of pairs, as smaller blocks do anyway.
 5. The undecided classes are compared with every earlier class they meet by a
    prefix word; each pair is verified by its full sets.  Nothing is capped.
 
@@ -43,8 +44,8 @@ from promolens.llm.common import discard, documents, shared_table, small_side, w
 PERCENT = 80
 BUCKETS = 1 << 17
 NO_ID = -(1 << 63)
-#: sets of more words have a second parity map
-ONE_MAP = 48
+#: words in whose blocks more classes meet go through the leader round
+CROWD = 32
 
 
 def _need(n: str | Column, percent: int) -> Column:
@@ -98,12 +99,14 @@ def signatures(docs: DataFrame, tiers: list[int], percent: int, text_col: str, i
     rank = lambda t: F.shiftleft(order[F.pmod(t, F.lit(BUCKETS).cast("long")).cast("int")].cast("long"), 56).bitwiseOR(F.shiftrightunsigned(t, 8))
     df = df.select(*keys, F.sort_array(F.array_distinct(F.transform(_hashes(F.col("words")), rank))).alias("s"))
     one = F.lit(1).cast("long")
-    parity = lambda shift: F.aggregate("s", F.lit(0).cast("long"), lambda m, t: m.bitwiseXOR(
-        F.call_function("shiftleft", one, F.shiftright(t, shift).bitwiseAND(F.lit(63).cast("long")).cast("int"))))
+    # 128 bits: words with bit 6 toggle a bit of the second map, others one of the first
+    parity = lambda half: F.aggregate("s", F.lit(0).cast("long"), lambda m, t: F.when(
+        t.bitwiseAND(F.lit(64).cast("long")) == 64 * half, m.bitwiseXOR(
+            F.call_function("shiftleft", one, t.bitwiseAND(F.lit(63).cast("long")).cast("int")))).otherwise(m))
     n = F.size("s")
     used = n >= _least(percent)
     return df.select(*keys, F.xxhash64("s").alias("k1"), F.xxhash64(F.lit(1), "s").alias("k2"), n.alias("n"),
-                     F.when(used, parity(0)).otherwise(0).alias("h1"), F.when(n > ONE_MAP, parity(8)).otherwise(F.lit(0).cast("long")).alias("h2"),
+                     F.when(used, parity(0)).otherwise(0).alias("h1"), F.when(used, parity(1)).otherwise(0).alias("h2"),
                      F.when(used, F.transform(F.slice("s", 1, n - _need(n, percent) + 1), lambda t: t.bitwiseAND(F.lit(0x7FFFFFFF).cast("long")).cast("int"))).alias("prefix"))
 
 
@@ -134,12 +137,11 @@ def _meeting(x: DataFrame, y: DataFrame, percent: int) -> DataFrame:
     nx, ny = F.col("x.n"), F.col("y.n")
     need = _both_need(nx + ny, percent)
     room = F.least(nx - F.col("x.i"), ny - F.col("y.i"))         # the common word and what stands behind it
-    differ = F.bit_count(F.col("x.h1").bitwiseXOR(F.col("y.h1")))
-    more = F.when((nx > ONE_MAP) & (ny > ONE_MAP), F.bit_count(F.col("x.h2").bitwiseXOR(F.col("y.h2")))).otherwise(0)
+    differ = F.bit_count(F.col("x.h1").bitwiseXOR(F.col("y.h1"))) + F.bit_count(F.col("x.h2").bitwiseXOR(F.col("y.h2")))
     first = (F.col("x.doc") < F.col("y.doc")) | ((F.col("x.doc") == F.col("y.doc")) & (F.col("x.line") < F.col("y.line")))
     # ``open`` stands in a condition on both sides, so the two read one exchange
     fits = (first & (room * F.col("y.open") >= need) & (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny))
-            & (differ <= nx + ny - 2 * need) & (more <= nx + ny - 2 * need))
+            & (differ <= nx + ny - 2 * need))
     return x.alias("x").join(y.alias("y"), (F.col("x.token") == F.col("y.token")) & fits).select(
         F.struct("x.doc", "x.line").alias("x"), F.struct("y.doc", "y.line").alias("y")).distinct()
 
@@ -163,7 +165,9 @@ def duplicate_lines(docs: DataFrame, percent: int = PERCENT, text_col: str = "te
 
     short = F.slice("prefix", 1, (F.col("n") - _both_need(2 * F.col("n"), percent) + 1).cast("int"))
     posts = postings(heads.withColumn("prefix", short)).withColumn("open", F.lit(1))
-    lead = posts.groupBy("token").agg(F.min(place).alias("lead"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    crowded = shared_table(posts.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > CROWD).select("token"), "crowded")
+    posts = shared_table(posts.join(small_side(crowded), "token"), "crowds")
+    lead = posts.groupBy("token").agg(F.min(place).alias("lead"))
     met = posts.join(lead, "token")
     leads = met.where((F.col("doc") == F.col("lead.doc")) & (F.col("line") == F.col("lead.line")))
     near = _alike(docs, shared_table(_meeting(leads, met, percent), "leaders"), percent, text_col, id_col)
