@@ -133,14 +133,14 @@ def _alike(docs: DataFrame, pairs: DataFrame, percent: int, text_col: str, id_co
 
 
 def _meeting(x: DataFrame, y: DataFrame, percent: int) -> DataFrame:
-    """Pairs (x, y: places, x earlier) with a common ``token`` that the filters let through."""
-    nx, ny = F.col("x.n"), F.col("y.n")
+    """Pairs (x, y: places, x earlier) with a common ``token`` that the filters let through.
+    A decided class has a negative ``n`` and leaves no room as y; so one exchange serves both sides."""
+    nx, ny = F.abs("x.n"), F.abs("y.n")
     need = _both_need(nx + ny, percent)
-    room = F.least(nx - F.col("x.i"), ny - F.col("y.i"))         # the common word and what stands behind it
+    room = F.least(nx - F.col("x.i"), F.col("y.n") - F.col("y.i"))         # the common word and what stands behind it
     differ = F.bit_count(F.col("x.h1").bitwiseXOR(F.col("y.h1"))) + F.bit_count(F.col("x.h2").bitwiseXOR(F.col("y.h2")))
     first = (F.col("x.doc") < F.col("y.doc")) | ((F.col("x.doc") == F.col("y.doc")) & (F.col("x.line") < F.col("y.line")))
-    # ``open`` stands in a condition on both sides, so the two read one exchange
-    fits = (first & (room * F.col("y.open") >= need) & (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny))
+    fits = (first & (room >= need) & (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny))
             & (differ <= nx + ny - 2 * need))
     return x.alias("x").join(y.alias("y"), (F.col("x.token") == F.col("y.token")) & fits).select(
         F.struct("x.doc", "x.line").alias("x"), F.struct("y.doc", "y.line").alias("y")).distinct()
@@ -160,11 +160,11 @@ def duplicate_lines(docs: DataFrame, percent: int = PERCENT, text_col: str = "te
     heads = shared_table(heads, "heads")
     discard(rows)
 
-    def postings(df: DataFrame, *more: str) -> DataFrame:
-        return df.select("doc", "line", "n", "h1", "h2", *more, F.posexplode_outer("prefix").alias("i", "token"))
+    def postings(df: DataFrame) -> DataFrame:
+        return df.select("doc", "line", "n", "h1", "h2", F.posexplode_outer("prefix").alias("i", "token"))
 
     short = F.slice("prefix", 1, (F.col("n") - _both_need(2 * F.col("n"), percent) + 1).cast("int"))
-    posts = postings(heads.withColumn("prefix", short)).withColumn("open", F.lit(1))
+    posts = postings(heads.withColumn("prefix", short))
     crowded = shared_table(posts.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > CROWD).select("token"), "crowded")
     posts = shared_table(posts.join(small_side(crowded), "token"), "crowds")
     lead = posts.groupBy("token").agg(F.min(place).alias("lead"))
@@ -172,9 +172,10 @@ def duplicate_lines(docs: DataFrame, percent: int = PERCENT, text_col: str = "te
     leads = met.where((F.col("doc") == F.col("lead.doc")) & (F.col("line") == F.col("lead.line")))
     near = _alike(docs, shared_table(_meeting(leads, met, percent), "leaders"), percent, text_col, id_col)
 
-    undecided = heads.join(small_side(near.withColumn("open", F.lit(0)), 1_000_000), ["doc", "line"], "left").withColumn(
-        "open", F.coalesce("open", F.lit(1)))
-    posts = postings(undecided, "open")
+    decided = near.withColumn("decided", F.lit(True))
+    marked = heads.join(small_side(decided, 1_000_000), ["doc", "line"], "left").withColumn(
+        "n", F.when(F.col("decided"), -F.col("n")).otherwise(F.col("n")))
+    posts = postings(marked)
     more = _alike(docs, shared_table(_meeting(posts, posts, percent), "pairs"), percent, text_col, id_col)
     return shared_table(repeats.union(near).union(more).distinct(), "gone")
 
