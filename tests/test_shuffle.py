@@ -4,12 +4,15 @@ import datetime as dt
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from promolens.operators.clean import clean_promo, clean_promo_rows, clean_sales, clean_sales_rows
 from promolens.operators.yoy import (
     DAILY_CATEGORY_GRAIN, MONTHLY_ARTICLE_GRAIN, REFERENCE_GRAIN, article_facts, article_facts_from_rows,
 )
+from promolens.plans import operators as OPS
 from promolens.plans.common import facts_from_tables
+from promolens.sources import files as FS
 from promolens.sources.fixtures import raw_feed
 
 
@@ -62,3 +65,23 @@ def test_promotion_rows_move_once(spark, tables, tmpdir_spark, grain):
 def test_a_line_makes_its_date_once_a_side(spark, tables):
     plan = facts_from_tables(spark, tables, REFERENCE_GRAIN)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("date_format(") == 2 and plan.count("gettimestamp(") == 2
+
+
+@pytest.mark.parametrize("kind", ["promo", "promo-days", "promo-layouts", "sales", "sales-days"])
+def test_zones_hold_the_feed_and_move_it_before_it_is_text(spark, tables, tmpdir_spark, monkeypatch, kind):
+    plans = []
+    write = FS.write_raw_feed
+    monkeypatch.setattr(FS, "write_raw_feed", lambda feed, *a, **k: (plans.append(feed), write(feed, *a, **k)))
+    path = tmpdir_spark(kind)
+    OPS._write_zone(spark, tables, kind, path)
+    for feed in plans:
+        plan = feed._jdf.queryExecution().optimizedPlan().toString()
+        assert 0 <= plan.find(" AS netsales") < plan.find("RebalancePartitions")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path").collect()
+    assert files and all(r.path.endswith(".csv.gz") for r in files)
+    got = FS.read_promo_csv(spark, path) if kind.startswith("promo") else FS.read_sales_csv(spark, path)
+    feed = raw_feed(spark, tables)
+    names = [c for c in got.columns if c.lower() in feed.columns]
+    want = feed.select(*[FS.na_to_null(c.lower()).alias(c) for c in names])
+    assert rows(got.select(*names)) == rows(want)
+    assert feed.where(F.col("bdate").isNull()).count() > 0
