@@ -67,6 +67,22 @@ def test_a_line_makes_its_date_once_a_side(spark, tables):
     assert plan.count("date_format(") == 2 and plan.count("gettimestamp(") == 2
 
 
+@pytest.mark.parametrize("grain", [REFERENCE_GRAIN, MONTHLY_ARTICLE_GRAIN, DAILY_CATEGORY_GRAIN])
+def test_both_years_read_one_join_of_the_feed(spark, tables, grain):
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        plan = facts_from_tables(spark, tables, grain)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    for key in ("l_orderkey", "o_orderkey", "l_partkey", "p_partkey", "l_suppkey", "s_suppkey"):
+        assert len(re.findall(rf"- Exchange hashpartitioning\({key}#", plan)) <= 1, key
+    assert "ReusedExchange" in plan and plan.count("FileScan parquet") == 4     # each table once
+
+
 @pytest.mark.parametrize("kind", ["promo", "promo-days", "promo-layouts", "sales", "sales-days"])
 def test_zones_hold_the_feed_and_move_it_before_it_is_text(spark, tables, tmpdir_spark, monkeypatch, kind):
     plans = []
