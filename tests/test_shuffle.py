@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from promolens.operators.clean import clean_promo, clean_promo_rows, clean_sales, clean_sales_rows
+from promolens.operators.clean import _parsed, clean_promo, clean_promo_rows, clean_sales, clean_sales_rows
 from promolens.operators.yoy import (
     DAILY_CATEGORY_GRAIN, MONTHLY_ARTICLE_GRAIN, REFERENCE_GRAIN, article_facts, article_facts_from_rows,
 )
@@ -67,6 +67,16 @@ def test_a_line_makes_its_date_once_a_side(spark, tables):
     assert plan.count("date_format(") == 2 and plan.count("gettimestamp(") == 2
 
 
+def test_a_measure_is_parsed_once(spark):
+    texts = ["1", " 2.5 ", "1e400", "-1e400", "NaN", "Infinity", "1.0d", "7F", "", "x", None, "-3"]
+    feed = spark.createDataFrame([("15-03-1998", t, t) for t in texts], "bdate string, qty string, cogs string")
+    parsed = _parsed(feed, ["qty", "cogs"])
+    assert [r["_qty"] for r in parsed.collect()] == [1.0, 2.5, *[None] * 9, -3.0]
+    kept = parsed.where((F.col("_qty") > 0) & F.col("_cogs").isNotNull())
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("try_cast(") == 2 and [r["_qty"] for r in kept.collect()] == [1.0, 2.5]
+
+
 @pytest.mark.parametrize("grain", [REFERENCE_GRAIN, MONTHLY_ARTICLE_GRAIN, DAILY_CATEGORY_GRAIN])
 def test_both_years_read_one_join_of_the_feed(spark, tables, grain):
     settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
