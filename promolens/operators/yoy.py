@@ -131,7 +131,7 @@ def dedupe_baseline(facts: DataFrame, grain: Grain = REFERENCE_GRAIN) -> DataFra
 
 
 def article_facts_from_rows(sales_rows: DataFrame, promo_rows: DataFrame,
-                            grain: Grain = REFERENCE_GRAIN) -> DataFrame:
+                            grain: Grain = REFERENCE_GRAIN, few_baselines: bool = False) -> DataFrame:
     """Q_ARTICLE_GROWTH computed from cleaned *rows* in one aggregation per
     side (same result as ``article_facts(clean_sales(..), clean_promo(..))``).
 
@@ -144,6 +144,10 @@ def article_facts_from_rows(sales_rows: DataFrame, promo_rows: DataFrame,
     them fewer.  So they move once, as rows of plain measures, to the task of their
     baseline (join keys and period, which the fact keys contain); they are grouped
     and joined there.  The sales side is collapsed map-side before it moves.
+
+    Where the caller has counted that the baselines are few (``few_baselines``), these
+    are broadcast, and the promotion rows are grouped and joined by article: rows that
+    already lie by ``sku`` do not move at all.
     """
     ly = sales_rows.where(not_null_keys(SALES_KEYS)).withColumn("period", period_start("bdate", grain.period))
     ly = sum_by(ly, [*grain.keys, "period"], SALES_MEASURES, drop_null_keys=False)
@@ -152,13 +156,13 @@ def article_facts_from_rows(sales_rows: DataFrame, promo_rows: DataFrame,
     ty = (promo_rows.where(not_null_keys(PROMO_KEYS))
           .withColumn("bdate", period_start("bdate", grain.period))
           .withColumn("ly_bdate", prev_year("bdate")))
-    ty = ty.repartition(*grain.keys, "ly_bdate")
+    ty = ty.repartition(*(["sku"] if few_baselines else [*grain.keys, "ly_bdate"]))
     ty = sum_by(ty, [*PROMO_KEYS, "ly_bdate"], PROMO_MEASURES, drop_null_keys=False)
     ren = {"bdate": "bdate_y", **{d: f"{d}_y" for d in DESCRIPTORS},
            **{m: f"{m}_y" for m in SALES_MEASURES}}
     ty = ty.select(*[F.col(c).alias(ren.get(c, c)) for c in ty.columns])
     cond = [ty[_fact_column(k)] == ly[f"ly_{k}"] for k in grain.keys] + [ty["ly_bdate"] == ly["ly_period"]]
-    joined = ty.join(ly, cond, "inner")
+    joined = ty.join(F.broadcast(ly) if few_baselines else ly, cond, "inner")
     return joined.select(*[F.col(c).cast(FACT_TYPE).alias(c) if c in FACT_MEASURES else F.col(c)
                            for c in ARTICLE_FACT_COLUMNS])
 

@@ -15,7 +15,7 @@ from promolens.operators.clean import clean_promo_rows, clean_sales_rows
 from promolens.operators.yoy import REFERENCE_GRAIN, Grain, article_facts_from_rows
 from promolens.session import scratch_path, session_key
 from promolens.sources.files import read_clean, write_facts
-from promolens.sources.fixtures import feed_of_both_years
+from promolens.sources.fixtures import category_days, feed_of_both_years
 from promolens.sources.tables import table_path
 
 
@@ -30,10 +30,14 @@ def facts_from_tables(spark: SparkSession, sf_dir: str, grain: Grain = REFERENCE
     """Article facts computed from the warehouse tables (raw feed -> clean ->
     year-over-year).  A deployment reads the written fact table instead
     (``sources.files.read_clean``)."""
-    feed = feed_of_both_years(spark, sf_dir)
-    return article_facts_from_rows(clean_sales_rows(feed), clean_promo_rows(feed), grain)
+    # the chain's baselines by category are few where categories are; counted before the plan is made
+    few = grain.keys == ("mercat",) and category_days(spark, sf_dir) <= FEW_BASELINES
+    feed = feed_of_both_years(spark, sf_dir, by_article=few)
+    return article_facts_from_rows(clean_sales_rows(feed), clean_promo_rows(feed), grain, few_baselines=few)
 
 
+#: baselines (narrow rows) up to which they are broadcast
+FEW_BASELINES = 500_000
 _FACT_TABLES: dict[tuple, str] = {}
 _LOCK = threading.Lock()
 FEED_TABLES = ("lineitem", "orders", "part", "supplier")

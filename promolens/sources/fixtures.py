@@ -53,26 +53,39 @@ def _category() -> Column:
     return F.when(F.col("p_partkey") % 71 == 0, F.lit("123")).otherwise(F.col("p_type"))
 
 
-def feed_of_both_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+def feed_of_both_years(spark: SparkSession, sf_dir: str, by_article: bool = False) -> DataFrame:
     """The feed's rows that pass ``base_filter``, for a plan that reads them as both years.
 
     The joined rows come out of an outer generator over one struct, so neither reader's
     columns and predicates go below it: the joins are the same plan on both sides and
     Spark moves their rows once (ReusedExchange).  The filter, which both sides have, is
-    below it."""
+    below it.  With ``by_article`` the rows come laid out by ``sku``, which stays outside
+    the struct for that."""
     def rows(j: DataFrame) -> DataFrame:
         texts = {"nama_site": _site_name(), "kode_store": _site_code(), "mercat": _category()}
         kept = j.withColumns(texts).where(base_filter()).select(*j.columns)
-        return kept.select(F.inline_outer(F.array(F.struct(*kept.columns))))
+        outside = ["sku"] if by_article else []
+        return kept.select(*outside, F.inline_outer(F.array(F.struct(*[c for c in kept.columns if c not in outside]))))
 
-    return raw_feed(spark, sf_dir, spread=rows)
+    return raw_feed(spark, sf_dir, spread=rows, by_article=by_article)
 
 
-def raw_feed(spark: SparkSession, sf_dir: str, spread: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def category_days(spark: SparkSession, sf_dir: str) -> int:
+    """A bound of the feed's different (category, day) pairs, from two narrow scans."""
+    types = read_table(spark, sf_dir, "part", ["p_type"]).agg(F.countDistinct("p_type")).first()[0]
+    day = F.to_date("l_shipdate")
+    days = read_table(spark, sf_dir, "lineitem", ["l_shipdate"]).agg(F.date_diff(F.max(day), F.min(day))).first()[0]
+    return (types + 1) * (days + 1) if days is not None else 0
+
+
+def raw_feed(spark: SparkSession, sf_dir: str, spread: Callable[[DataFrame], DataFrame] | None = None,
+             by_article: bool = False) -> DataFrame:
     """The dirty daily feed, all columns text (sales and promotion columns).
 
     ``spread`` may lay out the joined rows (``bdate`` among their columns) before
-    their measures become text, which is several times longer."""
+    their measures become text, which is several times longer.  With ``by_article``
+    the articles are joined last, by a shuffle on ``sku``: the rows that move there are
+    narrow, and what groups them by article finds them in place."""
     l = read_table(spark, sf_dir, "lineitem",
                    ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
                     "l_extendedprice", "l_discount", "l_returnflag", "l_shipdate"])
@@ -87,9 +100,15 @@ def raw_feed(spark: SparkSession, sf_dir: str, spread: Callable[[DataFrame], Dat
                   .otherwise(F.date_format(F.col("l_shipdate"), FEED_DATE))})
 
     # both sides are facts: a shuffled join, which also spreads a table of few splits
-    j = (l.join(o.hint("merge"), l.l_orderkey == o.o_orderkey)
-         .join(p, l.l_partkey == p.p_partkey)
-         .join(s, l.l_suppkey == s.s_suppkey))
+    j = l.join(o.hint("merge"), l.l_orderkey == o.o_orderkey)
+    sku = _text(F.col("l_partkey"))
+    if by_article:
+        j = j.join(s, l.l_suppkey == s.s_suppkey).withColumn("sku", sku).drop("l_partkey")
+        p = p.withColumn("p_sku", _text(F.col("p_partkey")))
+        j = j.join(p.hint("merge"), j.sku == p.p_sku).drop("p_sku")
+        sku = F.col("sku")
+    else:
+        j = j.join(p, l.l_partkey == p.p_partkey).join(s, l.l_suppkey == s.s_suppkey)
 
     if spread is not None:
         j = spread(j.drop("l_shipdate", "o_orderkey", "s_suppkey"))
@@ -105,7 +124,7 @@ def raw_feed(spark: SparkSession, sf_dir: str, spread: Callable[[DataFrame], Dat
         F.concat(F.lit("DIV "), F.substring(mercat, 1, 1)).alias("merdivdesc"),
         mercat.alias("mercat"),
         mercat.alias("mercatdesc"),
-        _text(F.col("l_partkey")).alias("sku"),
+        sku.alias("sku"),
         F.col("p_name").alias("sku_desc"),
         F.col("p_brand").alias("brand"),
         F.col("p_brand").alias("principle"),

@@ -93,6 +93,40 @@ def test_both_years_read_one_join_of_the_feed(spark, tables, grain):
     assert "ReusedExchange" in plan and plan.count("FileScan parquet") == 4     # each table once
 
 
+@pytest.mark.parametrize("few", [10 ** 6, 0])
+def test_rows_of_few_baselines_are_grouped_where_they_were_joined(spark, tables, monkeypatch, few):
+    monkeypatch.setattr("promolens.plans.common.FEW_BASELINES", few)
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        facts = facts_from_tables(spark, tables, DAILY_CATEGORY_GRAIN)
+        plan = facts._jdf.queryExecution().executedPlan().toString()
+        got = rows(facts)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    # six exchanges of the joins' sides, the baselines' own and, where these are many, that of the promotion rows
+    assert len(re.findall(r"- Exchange hashpartitioning", plan)) == (7 if few else 8)
+    assert ("BroadcastHashJoin" in plan) == bool(few)
+    feed = raw_feed(spark, tables)
+    assert got == rows(article_facts(clean_sales(feed), clean_promo(feed), DAILY_CATEGORY_GRAIN))
+
+
+def test_facts_are_sorted_before_they_move(spark, tables, tmpdir_spark, monkeypatch):
+    made = []
+    once = FS._once
+    monkeypatch.setattr(FS, "_once", lambda df, columns: made.append(once(df, columns)) or made[-1])
+    path = tmpdir_spark("facts")
+    facts = facts_from_tables(spark, tables, MONTHLY_ARTICLE_GRAIN)
+    FS.write_facts(facts, path)
+    moved = made[0].hint("rebalance", "yymm", "bdate_y").sortWithinPartitions("yymm", "bdate_y")
+    plan = moved._jdf.queryExecution().optimizedPlan().toString()
+    assert -1 < plan.find("RebalancePartitions") < plan.rfind("Sort [bdate_y")
+    assert rows(FS.read_clean(spark, path).select(*facts.columns)) == rows(facts)
+
+
 @pytest.mark.parametrize("kind", ["promo", "promo-days", "promo-layouts", "sales", "sales-days"])
 def test_zones_hold_the_feed_and_move_it_before_it_is_text(spark, tables, tmpdir_spark, monkeypatch, kind):
     plans = []
