@@ -385,3 +385,24 @@ def test_sentencepiece_remembered_runs_equal_the_agenda(dropout):
         want = [x for u, k in zip(units, pieces.keys(i, len(units)), strict=True) for x in pieces.agenda(u, k)]
         assert ids == np.array(want, "<i4").tobytes()
         assert pieces.decode(ids) == text
+
+
+@pytest.mark.parametrize("dropout", [0.0, 0.1, 0.6])
+def test_sentencepiece_cuts_a_block_of_words_together(monkeypatch, dropout):
+    """Words of up to 24 letters of the vocabulary are merged together; each as the agenda does."""
+    import random
+
+    from promolens.llm.sentencepiece_dropout import MODEL, Pieces
+    r = random.Random(11)
+    words = ["".join(r.choice("abcdeinorst,.1" + "é漢") for _ in range(r.randrange(1, 30))) for _ in range(400)]
+    texts = [" ".join(r.choices(words, k=60)) for _ in range(40)]
+    pieces, alone = Pieces(MODEL, dropout, 17), []
+    cut = Pieces.cut
+    monkeypatch.setattr(Pieces, "cut", lambda self, unit, *a, **k: (alone.append(unit), cut(self, unit, *a, **k))[1])
+    got = pieces.encode_all(texts, list(range(40)))
+    known = {u for u in alone if len(u) <= 24 and all(c == " " or pieces.ids.get(c) for c in u)}
+    assert not known - {u for n, u in enumerate(pieces.unit) if any(k >> 60 == n for k in pieces.variant)}
+    for i, (t, x) in enumerate(zip(texts, got, strict=True)):
+        units = [" " + w for w in t.split(" ")]
+        keys = pieces.keys(i, len(units))
+        assert x == b"".join(pieces._bytes(pieces.agenda(u, k)) for u, k in zip(units, keys, strict=True))
