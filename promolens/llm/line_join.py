@@ -18,10 +18,12 @@ depend on each other.
    need (positional filter) in sets of like size (length filter), and the two
    sets' parity maps (128 bits) may differ in no more bits than the sets in words.
    All three are conditions of the join by word, so no other pair leaves it.
-4. Leader round: for the words that sets of one size need, and that more than
-   ``CROWD`` classes have there, a class is compared with the word's earliest
-   class.  Where that is alike it is decided (an earlier like line exists); so a
-   dense group costs a linear number of pairs, as smaller blocks do anyway.
+4. Leader rounds: a class is compared with one class, at first the earliest, that
+   has the same two neighbours among its rarest words (more words than sets of one
+   size can differ in; of their pairs the ``LEAD`` with the least hash).  Where that is
+   alike and earlier the class is decided.  Two rare words seldom meet but in like
+   lines, so a round costs dense groups of any size a linear number of pairs.  In the
+   later rounds the classes of these groups meet leaders by single prefix words.
 5. The undecided classes are compared with every earlier class they meet by a
    prefix word; each pair is verified by its full sets.  Nothing is capped.
 
@@ -43,9 +45,11 @@ from promolens.llm.common import discard, documents, shared_table, small_side, w
 
 PERCENT = 80
 BUCKETS = 1 << 17
+#: words from which on a set has a second parity map
+LONG = 64
 NO_ID = -(1 << 63)
-#: words in whose blocks more classes meet go through the leader round
-CROWD = 32
+#: a class has leaders by so many pairs of its rarest words, in so many rounds
+LEAD, ROUNDS = 8, 3
 
 
 def _need(n: str | Column, percent: int) -> Column:
@@ -54,11 +58,22 @@ def _need(n: str | Column, percent: int) -> Column:
     return F.floor((n * percent + 99) / 100).cast("int")
 
 
+def _prefix(n: str | Column, percent: int) -> Column:
+    """How many of its rarest words a set of ``n`` words shares one of with each like set."""
+    return (F.col(n) if isinstance(n, str) else n) - _need(n, percent) + 1
+
+
 def _both_need(sizes: Column, percent: int) -> Column:
     """Least overlap of two like sets of ``sizes`` words together."""
     return F.floor((percent * sizes + 99 + percent) / (100 + percent))
 
 
+def _front(n: str | Column, percent: int) -> Column:
+    """Three more of the rarest words than a set of ``n`` can have apart from a like one of its size."""
+    n = F.col(n) if isinstance(n, str) else n
+    return F.greatest(F.lit(4), n - _both_need(2 * n, percent) + 4).cast("int")
+
+
 def _least(percent: int) -> int:
     """The smallest size of a set that can be like another set than its equal."""
     n = 1
@@ -91,61 +106,88 @@ def rarity(docs: DataFrame, text_col: str = "text") -> list[int]:
 
 
 def signatures(docs: DataFrame, tiers: list[int], percent: int, text_col: str, id_col: str) -> DataFrame:
-    """doc, line, k1, k2 (digest), n (set size), h1, h2 (parity maps), prefix of each line with words."""
+    """doc, line, k1, k2 (digest), n (set size), h1, h2 (parity maps), prefix (rarest words, as
+    many as a step needs) of each line with words."""
     order = F.split(F.lit(",".join(map(str, tiers))), ",").cast("array<int>")
     keys = ["doc", "line"]
     df = _lines(docs, text_col, id_col)
-    # the sort key has the tier on top; its lower 56 bits are the word
-    rank = lambda t: F.shiftleft(order[F.pmod(t, F.lit(BUCKETS).cast("long")).cast("int")].cast("long"), 56).bitwiseOR(F.shiftrightunsigned(t, 8))
+    # the sort key has the tier on top; its lower 56 bits are the word.  No tier is null, and
+    # saying so lets the array be sorted as plain numbers
+    tier = lambda t: F.coalesce(order[t.bitwiseAND(F.lit(BUCKETS - 1).cast("long")).cast("int")].cast("long"), F.lit(0).cast("long"))
+    rank = lambda t: F.shiftleft(tier(t), 56).bitwiseOR(F.shiftrightunsigned(t, 8))
     df = df.select(*keys, F.sort_array(F.array_distinct(F.transform(_hashes(F.col("words")), rank))).alias("s"))
     one = F.lit(1).cast("long")
-    # 128 bits: words with bit 6 toggle a bit of the second map, others one of the first
-    parity = lambda half: F.aggregate("s", F.lit(0).cast("long"), lambda m, t: F.when(
-        t.bitwiseAND(F.lit(64).cast("long")) == 64 * half, m.bitwiseXOR(
-            F.call_function("shiftleft", one, t.bitwiseAND(F.lit(63).cast("long")).cast("int")))).otherwise(m))
+    # every word toggles a bit of the first map; of a long set, words with bit 6 one of the second
+    parity = lambda words: F.aggregate(words, F.lit(0).cast("long"), lambda m, t: m.bitwiseXOR(
+        F.call_function("shiftleft", one, t.bitwiseAND(F.lit(63).cast("long")).cast("int"))))
+    second = F.filter("s", lambda t: t.bitwiseAND(F.lit(64).cast("long")) != 0)
     n = F.size("s")
     used = n >= _least(percent)
     return df.select(*keys, F.xxhash64("s").alias("k1"), F.xxhash64(F.lit(1), "s").alias("k2"), n.alias("n"),
-                     F.when(used, parity(0)).otherwise(0).alias("h1"), F.when(used, parity(1)).otherwise(0).alias("h2"),
-                     F.when(used, F.transform(F.slice("s", 1, n - _need(n, percent) + 1), lambda t: t.bitwiseAND(F.lit(0x7FFFFFFF).cast("long")).cast("int"))).alias("prefix"))
+                     F.when(used, parity("s")).otherwise(0).alias("h1"), F.when(n > LONG, parity(second)).otherwise(0).alias("h2"),
+                     F.when(used, F.transform(F.slice("s", 1, F.greatest(_prefix(n, percent), _front(n, percent))), lambda t: t.bitwiseAND(F.lit(0x7FFFFFFF).cast("long")).cast("int"))).alias("prefix"))
 
 
-def _sets(docs: DataFrame, pairs: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """doc, line, s (distinct words' hashes) of the lines in ``pairs`` (x, y)."""
-    places = pairs.select("x.doc", "x.line").union(pairs.select("y.doc", "y.line"))
+def _sets(docs: DataFrame, places: DataFrame, text_col: str, id_col: str) -> DataFrame:
+    """doc, line, s (distinct words' hashes) of the lines at ``places`` (doc, line)."""
     ids = shared_table(places.groupBy("doc").agg(F.collect_set("line").alias("at")), "ids")
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text_col).alias("text")).join(small_side(ids, lists="at"), "doc")
     lines = texts.select("doc", "at", F.posexplode_outer(F.split("text", "\n")).alias("line", "words")).where(F.array_contains("at", F.col("line")))
-    return lines.select("doc", "line", F.array_distinct(_hashes(F.col("words"))).alias("s"))
+    return shared_table(lines.select("doc", "line", F.array_distinct(_hashes(F.col("words"))).alias("s")), "sets")
 
 
-def _alike(docs: DataFrame, pairs: DataFrame, percent: int, text_col: str, id_col: str) -> DataFrame:
+def _alike(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """doc, line of each y in ``pairs`` (x, y: places) whose full set is like that of its x."""
-    sets = shared_table(_sets(docs, pairs, text_col, id_col), "sets")
     x = sets.select(F.struct("doc", "line").alias("x"), F.col("s").alias("sx"))
     y = sets.select(F.struct("doc", "line").alias("y"), F.col("s").alias("sy"))
     both = pairs.join(y, "y").join(x, "x").select(
         "y", F.size("sx").alias("nx"), F.size("sy").alias("ny"), F.size(F.array_intersect("sx", "sy")).alias("o"))
     near = both.where((F.col("o") > 0) & (100 * F.col("o") >= percent * (F.col("nx") + F.col("ny") - F.col("o"))))
-    out = shared_table(near.select("y.doc", "y.line").distinct(), "near")
-    discard(sets)
-    return out
+    return shared_table(near.select("y.doc", "y.line").distinct(), "near")
 
 
-def _meeting(x: DataFrame, y: DataFrame, percent: int) -> DataFrame:
-    """Pairs (x, y: places, x earlier) with a common ``token`` that the filters let through.
-    A decided class has a negative ``n`` and leaves no room as y; so one exchange serves both sides."""
+def _plausible(percent: int) -> Column:
+    """Whether x is earlier than y, and sizes and parity maps do not rule out that they are alike."""
     nx, ny = F.abs("x.n"), F.abs("y.n")
-    need = _both_need(nx + ny, percent)
-    room = F.least(nx - F.col("x.i"), F.col("y.n") - F.col("y.i"))         # the common word and what stands behind it
-    differ = F.bit_count(F.col("x.h1").bitwiseXOR(F.col("y.h1"))) + F.bit_count(F.col("x.h2").bitwiseXOR(F.col("y.h2")))
+    xor = lambda h: F.col(f"x.{h}").bitwiseXOR(F.col(f"y.{h}"))
+    apart = F.when((nx > LONG) & (ny > LONG), F.bit_count(xor("h1").bitwiseXOR(xor("h2"))) + F.bit_count(xor("h2"))).otherwise(F.bit_count(xor("h1")))
     first = (F.col("x.doc") < F.col("y.doc")) | ((F.col("x.doc") == F.col("y.doc")) & (F.col("x.line") < F.col("y.line")))
-    fits = (first & (room >= need) & (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny))
-            & (differ <= nx + ny - 2 * need))
-    return x.alias("x").join(y.alias("y"), (F.col("x.token") == F.col("y.token")) & fits).select(
+    return ((100 * F.least(nx, ny) >= percent * F.greatest(nx, ny))
+            & (apart <= nx + ny - 2 * _both_need(nx + ny, percent)) & first)
+
+
+def _meeting(x: DataFrame, y: DataFrame, key: str, fits: Column) -> DataFrame:
+    """Pairs (x, y: places, x earlier) with a common ``key`` that ``fits`` lets through."""
+    return x.alias("x").join(y.alias("y"), (F.col(f"x.{key}") == F.col(f"y.{key}")) & fits).select(
         F.struct("x.doc", "x.line").alias("x"), F.struct("y.doc", "y.line").alias("y")).distinct()
 
 
+def _led(docs: DataFrame, heads: DataFrame, percent: int, text_col: str, id_col: str) -> DataFrame:
+    """doc, line of the classes that are like one of their leaders."""
+    front = F.least(F.size("prefix"), _front("n", percent))
+    two = F.zip_with(F.slice("prefix", 1, front - 1), F.slice("prefix", 2, front - 1), lambda a, b: F.xxhash64(a, b))
+    keys = F.when(front > 1, F.slice(F.sort_array(two), 1, LEAD)).otherwise(F.transform("prefix", lambda a: F.xxhash64(a)))
+    keyed = heads.select("doc", "line", "n", "h1", "h2", F.explode_outer(keys).alias("key"))
+    met = shared_table(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), "met")
+    groups = shared_table(keyed.join(small_side(met), "key"), "groups")
+    sets = _sets(docs, groups, text_col, id_col)
+    ids = shared_table(groups.select("doc", "line").distinct(), "ids")
+    words = shared_table(heads.join(small_side(ids), ["doc", "line"], "left_semi").select(
+        "doc", "line", "n", "h1", "h2", F.explode_outer(F.slice("prefix", 1, _prefix("n", percent))).alias("key")), "words")
+    near = None
+    leader = F.struct("doc", "line", "n", "h1", "h2")
+    for k in range(ROUNDS):
+        # the earliest of two words, of one word, then others at random: what is not like the one may be like the next
+        side = words if k else groups
+        live = side if near is None else side.join(small_side(near, 1_000_000), ["doc", "line"], "left_anti")
+        lead = side.groupBy("key").agg(F.min_by(leader, F.xxhash64(F.lit(k), "doc", "line")).alias("m") if k > 1 else F.min(leader).alias("m")).select("key", "m.*")
+        found = _alike(sets, shared_table(_meeting(lead, live, "key", _plausible(percent)), "leaders"), percent)
+        near = found if near is None else shared_table(near.union(found), "near")
+    for part in (sets, groups, words):
+        discard(part)
+    return near
+
+
 def duplicate_lines(docs: DataFrame, percent: int = PERCENT, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc, line of every line to remove."""
     rows = shared_table(signatures(docs, rarity(docs, text_col), percent, text_col, id_col), "lines")
@@ -155,28 +197,23 @@ def duplicate_lines(docs: DataFrame, percent: int = PERCENT, text_col: str = "te
     repeats = rows.join(small_side(firsts, 200_000), ["k1", "k2"]).where(place != F.col("first")).select("doc", "line")
     repeats = shared_table(repeats.distinct(), "repeats")
     discard(firsts)
-    kept = ["doc", "line", "n", "h1", "h2", "prefix"]
-    heads = rows.where("prefix IS NOT NULL").join(small_side(repeats, 1_000_000), ["doc", "line"], "left_anti").select(*kept)
+    heads = rows.where("prefix IS NOT NULL").join(small_side(repeats, 1_000_000), ["doc", "line"], "left_anti").select(
+        "doc", "line", "n", "h1", "h2", "prefix")
     heads = shared_table(heads, "heads")
     discard(rows)
-
-    def postings(df: DataFrame) -> DataFrame:
-        return df.select("doc", "line", "n", "h1", "h2", F.posexplode_outer("prefix").alias("i", "token"))
-
-    short = F.slice("prefix", 1, (F.col("n") - _both_need(2 * F.col("n"), percent) + 1).cast("int"))
-    posts = postings(heads.withColumn("prefix", short))
-    crowded = shared_table(posts.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > CROWD).select("token"), "crowded")
-    posts = shared_table(posts.join(small_side(crowded), "token"), "crowds")
-    lead = posts.groupBy("token").agg(F.min(place).alias("lead"))
-    met = posts.join(lead, "token")
-    leads = met.where((F.col("doc") == F.col("lead.doc")) & (F.col("line") == F.col("lead.line")))
-    near = _alike(docs, shared_table(_meeting(leads, met, percent), "leaders"), percent, text_col, id_col)
-
-    decided = near.withColumn("decided", F.lit(True))
-    marked = heads.join(small_side(decided, 1_000_000), ["doc", "line"], "left").withColumn(
-        "n", F.when(F.col("decided"), -F.col("n")).otherwise(F.col("n")))
-    posts = postings(marked)
-    more = _alike(docs, shared_table(_meeting(posts, posts, percent), "pairs"), percent, text_col, id_col)
+    near = _led(docs, heads, percent, text_col, id_col)
+
+    # a decided class has a negative ``n`` and leaves no room as y; so one exchange serves both sides
+    marked = heads.join(small_side(near.withColumn("decided", F.lit(True)), 1_000_000), ["doc", "line"], "left").withColumn(
+        "prefix", F.slice("prefix", 1, _prefix("n", percent))).withColumn("n", F.when(F.col("decided"), -F.col("n")).otherwise(F.col("n")))
+    posts = marked.select("doc", "line", "n", "h1", "h2", F.posexplode_outer("prefix").alias("i", "token"))
+    room = F.least(F.abs("x.n") - F.col("x.i"), F.col("y.n") - F.col("y.i"))   # the common word and what stands behind it
+    fits = (room >= _both_need(F.abs("x.n") + F.abs("y.n"), percent)) & _plausible(percent)
+    pairs = shared_table(_meeting(posts, posts, "token", fits), "pairs")
+    discard(heads)
+    sets = _sets(docs, pairs.select("x.doc", "x.line").union(pairs.select("y.doc", "y.line")), text_col, id_col)
+    more = _alike(sets, pairs, percent)
+    discard(sets)
     return shared_table(repeats.union(near).union(more).distinct(), "gone")
 
 
@@ -184,7 +221,7 @@ def remove_lines(docs: DataFrame, gone: DataFrame, text_col: str = "text", id_co
     """``docs`` with ``gone_lines array<int>``, and ``text_col`` without these lines."""
     lists = shared_table(gone.groupBy("doc").agg(F.array_sort(F.collect_set("line")).alias("gone_lines")), "gone")
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
-    df = docs.drop("gone_lines").withColumn("_doc", key).join(small_side(lists, lists="gone_lines").withColumnRenamed("doc", "_doc"), "_doc", "left").drop("_doc")
+    df = docs.drop("gone_lines").withColumn("_doc", key).join(small_side(lists, 100_000, "gone_lines").withColumnRenamed("doc", "_doc"), "_doc", "left").drop("_doc")
     kept = F.filter(F.split(F.col(text_col), "\n"), lambda _, i: ~F.array_contains("gone_lines", i))
     return df.withColumn(text_col, F.when(F.col("gone_lines").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")))
 

@@ -130,3 +130,22 @@ def test_kth_largest(spark):
     for k in (1, 2, 77, 300, 542, 9999):
         assert kth_largest(df, "x", k, 16) == sorted(values, reverse=True)[min(k, len(values)) - 1]
     assert kth_largest(df.where("x > 1e301"), "x", 3) is None
+
+
+def test_lines_of_a_dense_group_meet_few(frame, monkeypatch):
+    """30 lines that are all alike: the pair join does not list their 435 pairs."""
+    from promolens.llm import line_join
+
+    words = [f"common{i}" for i in range(20)]
+    rows = [(k, " ".join([*words[:k % 20], f"single{k}", *words[k % 20 + 1:]])) for k in range(30)]
+    listed, write = [], line_join.shared_table
+
+    def counted(df, name):
+        out = write(df, name)
+        listed.append(out.count() if name in ("pairs", "leaders") else 0)
+        return out
+
+    monkeypatch.setattr(line_join, "shared_table", counted)
+    got = {(r.doc, r.line) for r in line_join.duplicate_lines(frame(rows), 80).collect()}
+    assert got == duplicate_lines(rows, 1, 80)
+    assert sum(listed) <= 5 * len(rows)
