@@ -1,7 +1,9 @@
 """What moves in the fact build and in the raw zones, on rows of the tests' own."""
 
 import datetime as dt
+import os
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -145,3 +147,46 @@ def test_zones_hold_the_feed_and_move_it_before_it_is_text(spark, tables, tmpdir
     want = feed.select(*[FS.na_to_null(c.lower()).alias(c) for c in names])
     assert rows(got.select(*names)) == rows(want)
     assert feed.where(F.col("bdate").isNull()).count() > 0
+
+
+def shuffle_files(spark):
+    found = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().iterator()
+    names = set()
+    while found.hasNext():
+        names.add(found.next().getName())
+    return {n for n in names if n.startswith("shuffle_")}
+
+
+def test_zones_written_together_read_one_join_and_leave_no_shuffle_files(spark, tables, monkeypatch):
+    joins, staged = [], []
+    real, drop = OPS.feed_lines, OPS.discard
+    monkeypatch.setattr(OPS, "feed_lines", lambda *a: joins.append(a) or real(*a))
+    monkeypatch.setattr(OPS, "discard", lambda spark, path: (staged.append(spark.read.parquet(path).count()), drop(spark, path), staged.append(path)))
+    before = shuffle_files(spark)
+    promo, sales = OPS._raw_zones(spark, tables, "promo", "sales")
+    end = time.time() + 20
+    while shuffle_files(spark) - before and time.time() < end:                 # they go in the background
+        time.sleep(0.2)
+    assert len(joins) == 1 and not shuffle_files(spark) - before
+    feed = raw_feed(spark, tables)
+    assert staged[0] == feed.count() and not os.path.exists(staged[1].removeprefix("file:"))
+    for got in (FS.read_promo_csv(spark, promo), FS.read_sales_csv(spark, sales)):
+        names = [c for c in got.columns if c.lower() in feed.columns]
+        assert rows(got.select(*names)) == rows(feed.select(*[FS.na_to_null(c.lower()).alias(c) for c in names]))
+    assert OPS._raw_zones(spark, tables, "sales", "promo") == [sales, promo] and len(joins) == 1
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+
+
+def test_a_first_build_moves_one_year_at_a_time_and_its_rows_once(spark, tables, tmpdir_spark, monkeypatch):
+    from promolens.streaming import nightly
+    written, out = [], tmpdir_spark("stream")
+    write = nightly.write_facts
+    monkeypatch.setattr(nightly, "write_facts", lambda facts, path: (written.append(facts), write(facts, path)))
+    promo, sales = OPS._raw_zones(spark, tables, "promo", "sales")
+    nightly.start_incremental_build(spark, promo, sales, out, grain=OPS.STREAM_GRAIN).awaitTermination()
+    years = [sorted({r.bdate_y.year for r in f.select("bdate_y").collect()}) for f in written]
+    assert len(years) == 3 and years[0] == [] and years[1:] == [[1997], [1998]]      # 1996 has no year before it
+    assert not any("LeftSemi" in f._jdf.queryExecution().optimizedPlan().toString() for f in written)
+    feed = raw_feed(spark, tables)
+    want = article_facts(clean_sales(feed), clean_promo(feed), OPS.STREAM_GRAIN)
+    assert rows(FS.read_clean(spark, out).select(*want.columns)) == rows(want)
