@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from promolens.operators.clean import _parsed, clean_promo, clean_promo_rows, clean_sales, clean_sales_rows
 from promolens.operators.yoy import (
-    DAILY_CATEGORY_GRAIN, MONTHLY_ARTICLE_GRAIN, REFERENCE_GRAIN, article_facts, article_facts_from_rows,
+    DAILY_CATEGORY_GRAIN, DAILY_STORE_CATEGORY_GRAIN, MONTHLY_ARTICLE_GRAIN, REFERENCE_GRAIN, article_facts, article_facts_from_rows,
 )
 from promolens.plans import operators as OPS
 from promolens.plans.common import facts_from_tables
@@ -190,3 +190,18 @@ def test_a_first_build_moves_one_year_at_a_time_and_its_rows_once(spark, tables,
     feed = raw_feed(spark, tables)
     want = article_facts(clean_sales(feed), clean_promo(feed), OPS.STREAM_GRAIN)
     assert rows(FS.read_clean(spark, out).select(*want.columns)) == rows(want)
+
+
+def test_day_refresh_reads_one_join_and_equals_the_batch_build(spark, tables, monkeypatch):
+    joins = []
+    real = OPS.feed_lines
+    monkeypatch.setattr(OPS, "feed_lines", lambda *a: joins.append(a) or real(*a))
+    got = rows(OPS.stream_day_refresh(spark, tables))
+    assert len(joins) == 1
+    monkeypatch.undo()
+    feed = raw_feed(spark, tables)
+    want = article_facts(clean_sales(feed), clean_promo(feed), DAILY_STORE_CATEGORY_GRAIN).where(F.year("bdate_y") == 1998)
+    assert got and got == rows(OPS.present(want))
+    for days in (True, False):                                                # a folder moves as one number
+        plan = FS.by_folder(feed, days)._jdf.queryExecution().optimizedPlan().toString()
+        assert "RebalancePartitions [_folder" in plan and not re.search(r"AS (yymm|day)#", plan)
