@@ -37,6 +37,10 @@ _RAW: dict[tuple, str] = {}
 PROMO_LAYOUTS = [list(RAW_PROMO_USED), [c for c in reversed(RAW_PROMO_USED) if c != "member"], RAW_PROMO_USED[7:] + RAW_PROMO_USED[:7]]
 
 
+#: lines of a compressed file of the zone without folders (about 70 MB)
+LINES_A_FILE = 2_000_000
+
+
 def _with_broken_lines(feed: DataFrame) -> DataFrame:
     """The feed as sales lines; by article some lost their last fields, some gained one."""
     cells = [F.coalesce(F.col(c.lower()), F.lit("")) if c in RAW_SALES_USED and c.lower() in feed.columns else F.lit("") for c in RAW_SALES_COLUMNS]
@@ -48,11 +52,14 @@ def _with_broken_lines(feed: DataFrame) -> DataFrame:
 def _write_zone(spark: SparkSession, sf: str, kind: str, path: str, lines: DataFrame | None = None) -> None:
     """One raw zone; ``lines`` are the feed's joined rows where they are there already."""
     days = kind.endswith("-days")
+    lines = lines if lines is not None else feed_lines(spark, sf)
+    # the text is written compressed
     if kind == "sales-broken":
-        _with_broken_lines(raw_feed(spark, sf)).write.text(path)
+        broken = _with_broken_lines(feed_of_lines(lines)).write.option("compression", "gzip")
+        broken.option("maxRecordsPerFile", LINES_A_FILE).text(path)              # such a file is one task's work
         return
-    # rows move to their folder before they become text, and the text is written compressed
-    feed = feed_of_lines(FS.by_folder(lines if lines is not None else feed_lines(spark, sf), days))
+    # rows move to their folder before they become text
+    feed = feed_of_lines(FS.by_folder(lines, days))
     how = {"laid_out": True, "compression": "gzip"}
     if kind == "promo-layouts":
         part = F.pmod(F.col("sku").cast("long"), F.lit(len(PROMO_LAYOUTS)))

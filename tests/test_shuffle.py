@@ -205,3 +205,27 @@ def test_day_refresh_reads_one_join_and_equals_the_batch_build(spark, tables, mo
     for days in (True, False):                                                # a folder moves as one number
         plan = FS.by_folder(feed, days)._jdf.queryExecution().optimizedPlan().toString()
         assert "RebalancePartitions [_folder" in plan and not re.search(r"AS (yymm|day)#", plan)
+
+
+def test_broken_sales_lines_are_written_compressed_in_bounded_files(spark, tables, tmpdir_spark, monkeypatch):
+    monkeypatch.setattr(OPS, "LINES_A_FILE", 50)
+    path = tmpdir_spark("broken")
+    parts = [(101, "red", "Brand#1", "PROMO", 900.0), (103, "blue", "Brand#2", "SMALL", 950.0)]
+    base = tmpdir_spark("broken-tables")
+    for name in ("lineitem", "orders", "part", "supplier"):
+        t = spark.read.parquet(f"{tables}/{name}.parquet")
+        if name == "part":
+            t = t.unionAll(spark.createDataFrame(parts, t.schema))
+        if name == "lineitem":
+            t = t.unionAll(t.where("l_orderkey % 4 = 0").withColumn("l_partkey", F.when(F.col("l_linenumber") == 1, 101).otherwise(103).cast("long")))
+        t.write.parquet(f"{base}/{name}.parquet")
+    OPS._write_zone(spark, base, "sales-broken", path)
+    want = OPS._with_broken_lines(raw_feed(spark, base))
+    files = spark.read.text(path).groupBy(F.col("_metadata.file_path").alias("path")).count().collect()
+    assert files and all(r.path.endswith(".gz") and r["count"] <= 50 for r in files)
+    assert rows(spark.read.text(path)) == rows(want)
+    records, bad = FS.split_sales_lines(spark, path)
+    assert {r.reason for r in bad.select("reason").collect()} == {"too few fields", "too many fields"}
+    feed = raw_feed(spark, base).where("sku NOT IN ('101', '103')")
+    assert records.count() == feed.count() and records.count() + bad.count() == want.count()
+    assert rows(clean_sales(records)) == rows(clean_sales(feed))
